@@ -159,3 +159,20 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def op1_query(spark, sf_dir: str) -> DataFrame:
     return substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP1_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+win AS (
+  SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 49)) AS i FROM d)),
+firsts AS (SELECT h, min(doc_id) AS least FROM win GROUP BY h),
+cut AS (
+  SELECT DISTINCT doc_id, i + k AS p FROM win JOIN firsts USING (h), generate_series(0, 49) AS g(k) WHERE least < doc_id),
+word AS (SELECT doc_id, unnest(w) AS word, unnest(generate_series(1, len(w))) AS p FROM d),
+kept AS (
+  SELECT word.doc_id, string_agg(word, ' ' ORDER BY word.p) FILTER (WHERE cut.p IS NULL) AS kept, count(cut.p) AS n_removed
+  FROM word LEFT JOIN cut ON word.doc_id = cut.doc_id AND word.p = cut.p GROUP BY word.doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""
