@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import small_batches
+from .storage import materialize, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
@@ -203,7 +203,11 @@ def _train_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, documents: int = TRAIN_DOCUMENTS) -> Weights:
     """Weights from a bounded sample: at most so many documents, of at most TRAIN_UNITS units each."""
-    rows = docs.mapInArrow(_train_rows, "doc_id long, labels array<long>, x array<double>").orderBy(F.xxhash64("doc_id"), "doc_id").limit(documents).collect()
+    found = materialize(docs.mapInArrow(_train_rows, "doc_id long, labels array<long>, x array<double>"), "units")
+    # a share of the hashes that holds enough rows, so that tasks don't each send the driver a full sample
+    slots = 1 << 20
+    share = min(slots, 2 + int(1.5 * slots * documents / max(1, found.count())))
+    rows = found.where(F.pmod(F.xxhash64("doc_id"), F.lit(slots)) < share).orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(slots)), "doc_id").limit(documents).collect()
     if not rows:
         return Weights()
     x = np.concatenate([np.array(r.x).reshape(len(r.labels), -1) for r in rows])
