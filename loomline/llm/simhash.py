@@ -173,7 +173,9 @@ def fingerprint_links(fps: DataFrame, hot_block: int = HOT_BLOCK) -> DataFrame:
     pairs = F.expr(f"transform(array({','.join(map(str, masks))}), m -> struct(least(sub, sub ^ m) AS sub_a, greatest(sub, sub ^ m) AS sub_b))")
     whole = F.array(F.struct(F.lit(-1).alias("sub_a"), F.lit(-1).alias("sub_b")))
     dealt = filed.join(F.broadcast(hot), ["block", "value"], "left").select("node", "fp", "block", "value", F.explode(F.when(F.col("hot"), pairs).otherwise(whole)).alias("y")).select("node", "fp", "block", "value", "y.*")
-    return dealt.repartition("block", "value", "sub_a", "sub_b").mapInArrow(_join_blocks, "a long, b long")
+    # a fixed number: the walk costs far more than its few bytes suggest, so small partitions shouldn't be merged
+    partitions = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(partitions, "block", "value", "sub_a", "sub_b").mapInArrow(_join_blocks, "a long, b long")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
