@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -123,7 +124,7 @@ def _ranked(classes: DataFrame, passes: int, window: int, bits: int, n: int) ->
     rows = materialize(rows.select("node", "pass", "key", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("place")), "order")
     # a row for each range partition: where its first row stands
     sizes = {r.part: r.n for r in rows.groupBy("part").agg(F.count("*").alias("n")).collect()}
-    starts = dict(zip(sorted(sizes), np.concatenate([[0], np.cumsum([sizes[p] for p in sorted(sizes)])[:-1]]).tolist(), strict=True))
+    starts = dict(zip(sorted(sizes), accumulate([sizes[p] for p in sorted(sizes)], initial=0)))
     offsets = F.broadcast(rows.sparkSession.createDataFrame(list(starts.items()), "part int, start long"))
     rank = F.col("start") + F.col("place").bitwiseAND((1 << 33) - 1) - F.col("pass") * F.lit(n)
     placed = rows.join(offsets, "part").select("node", F.struct("pass", rank.alias("rank"), F.shiftright("key", BITS - bits).alias("prefix")).alias("at"))

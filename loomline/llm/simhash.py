@@ -141,9 +141,10 @@ def _join_block(keys: np.ndarray, sub_a: int, sub_b: int) -> tuple[np.ndarray, n
 
 def _join_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All blocks of one task, whose rows come sorted by block."""
-    table = pa.Table.from_batches(list(batches))
-    if not table.num_rows:
+    filled = [b for b in batches if b.num_rows]
+    if not filled:
         return
+    table = pa.Table.from_batches(filled)
     part = {c: table.column(c).to_numpy() for c in table.column_names}
     rotated = _rotate(part["fp"].view(np.uint64), part["block"].astype(np.uint64))
     order = np.lexsort([rotated, part["sub_b"], part["sub_a"], part["value"], part["block"]])
