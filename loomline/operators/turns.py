@@ -69,19 +69,19 @@ def half_hours(x: DataFrame) -> DataFrame:
     return x.groupBy(F.window("timestamp", "30 minutes").start.cast("timestamp_ntz").alias("start")).agg(F.count("*").alias("calls"), F.sum("tokens").alias("tokens"))
 
 
-def rules(t: DataFrame) -> DataFrame:
-    """One aggregate over turns and one over sessions, a row for each rule."""
+def rules(t: DataFrame, *by: str) -> DataFrame:
+    """One aggregate over turns and one over sessions, a row for each rule (and value of by)."""
     n = lambda c: F.coalesce(F.count_if(c), F.lit(0)).cast("long")
     hour, has_time = F.hour("start"), F.col("start").isNotNull()
     weekend = has_time & (F.weekday("start") >= 5)
     context = (F.col("input_tokens") + F.col("cache_read_tokens")) > 5000
-    of_turns = t.agg(
+    of_turns = t.groupBy(*by).agg(
         n((F.col("output_tokens") > 5000) & (F.col("prompt_chars") > 0) & (F.col("prompt_chars") < 200)).alias("verbose"), n(F.col("prompt_chars").isNotNull()).alias("prompts"), n(has_time).alias("timed"), n(has_time & (hour < 5)).alias("late"), n(weekend).alias("weekend"),
         n("is_canceled").alias("canceled"), n(F.lit(True)).alias("turns"), n(F.col("elapsed_ms") > 300_000).alias("slow"), n(F.col("elapsed_ms").isNotNull()).alias("measured"), n(F.col("tool_calls") >= 40).alias("runaway"), n(context).alias("large"),
         F.coalesce(F.try_divide(F.sum(F.when(context, F.col("cache_read_tokens"))), F.sum(F.when(context, F.col("input_tokens") + F.col("cache_read_tokens")))), F.lit(1.0)).alias("hit"),
     )
-    of_sessions = t.groupBy("skey").agg(F.count("*").alias("turns")).agg(n(F.col("turns") >= 50).alias("mega"), n(F.col("turns") == 1).alias("abandoned"), n(F.lit(True)).alias("sessions"))
-    both = of_turns.crossJoin(of_sessions)  # one row each
+    of_sessions = t.groupBy(*by, "skey").agg(F.count("*").alias("turns")).groupBy(*by).agg(n(F.col("turns") >= 50).alias("mega"), n(F.col("turns") == 1).alias("abandoned"), n(F.lit(True)).alias("sessions"))
+    both = of_turns.join(of_sessions, list(by)) if by else of_turns.crossJoin(of_sessions)  # one row each
 
     def rule(name: str, severity: str, count: str, total: str, fires: str) -> Column:
         return F.struct(F.lit(name).alias("rule"), F.lit(severity).alias("severity"), F.col(count).alias("occurrences"), F.col(total).alias("total"), F.expr(fires).alias("fires"))
@@ -97,13 +97,13 @@ def rules(t: DataFrame) -> DataFrame:
         rule("runaway-agent-loops", "high", "runaway", "turns", "runaway >= 3"),
         rule("cache-hit-starvation", "medium", "large", "turns", "large > 20 and hit < 0.1"),
     ]
-    return both.select(F.explode(F.array(*made)).alias("r")).select("r.*")
+    return both.select(*by, F.explode(F.array(*made)).alias("r")).select(*by, "r.*")
 
 
-def score(outcomes: DataFrame) -> DataFrame:
+def score(outcomes: DataFrame, *by: str) -> DataFrame:
     """100 less the share of the greatest penalty that fired, and its grade."""
     lost = F.sum(F.when(F.col("fires"), F.when(F.col("severity") == "high", 12).when(F.col("severity") == "medium", 7).otherwise(3)).otherwise(0))
-    return outcomes.agg(F.count("*").alias("rules"), F.round(100 * (1 - lost / (F.count("*") * 12))).cast("long").alias("score"))
+    return outcomes.groupBy(*by).agg(F.count("*").alias("rules"), F.round(100 * (1 - lost / (F.count("*") * 12))).cast("long").alias("score"))
 
 
 def graph_edges(x: DataFrame) -> DataFrame:

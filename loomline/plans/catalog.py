@@ -11,8 +11,9 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import texts
 from ..functions.columns import caps_letter_ratio
-from ..operators import lookups, search, turns, usage
+from ..operators import lookups, prompt_rules, search, turns, usage
 from ..sources import driver_tables as tables
 from ..sources.driver_tables import CALLS_SQL
 
@@ -236,6 +237,66 @@ _over("X10_caps_ratio", lambda spark, d: spark.read.parquet(f"{d}/documents.parq
 SELECT doc_id, round(length(regexp_replace(left(text, 2000), '[^A-Z]', '', 'g')) / nullif(length(regexp_replace(left(text, 2000), '[^A-Za-z]', '', 'g')), 0), 6) AS caps FROM documents""")
 
 
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _has(text: str, phrases) -> str:
+    return f"regexp_matches(lower({text}), {_quoted(texts.phrase_pattern(phrases))})"
+
+
+def _signals_sql(text: str) -> str:
+    """The columns of prompt_rules.signals over a text that isn't null."""
+    types = " ".join(f"WHEN {_has(f'left({text}, 300)', p)} THEN {_quoted(n)}" for n, p in texts.WORK_TYPES)
+    words = f"list_filter(regexp_split_to_array(left({text}, 2000), '\\s+'), lambda w: length(w) >= 3)"
+    loud = f"list_filter({words}, lambda w: regexp_matches(w, '[A-Z]') AND NOT regexp_matches(w, '[a-z]'))"
+    return f"""{_has(f'left({text}, 500)', texts.CONSTRAINTS)} AS "constraint", contains({text}, '!!!') OR contains({text}, '???') OR {_has(text, texts.FRUSTRATION)} AS frustrated,
+  regexp_matches(lower({text}), {_quoted('^[[:space:]]*(' + '|'.join(texts.LOOKUPS) + ')')}) AS lookup, {_has(text, texts.REFINEMENTS)} AS refinement,
+  regexp_matches({text}, {_quoted(texts.SPEC_LINE)}) OR len(string_split(regexp_replace({text}, '\\n$', ''), chr(10))) >= 4 OR {_has(text, texts.SPEC_WORDS)} AS spec,
+  ({' + '.join(f'{_has(text, [p])}::BIGINT' for p in texts.FILLERS)})::BIGINT AS fillers, round(coalesce(len({loud}) / nullif(len({words}), 0), 0), 6)::DOUBLE AS caps_words, CASE {types} ELSE 'feature' END AS work_type"""
+
+
+_over("X12_prompt_signals", lambda spark, d: prompt_rules.signals(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")).drop("text"), f"""
+SELECT doc_id, {_signals_sql('text')} FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)""")
+_over("R01_prompt_rules", lambda spark, d: prompt_rules.prompt_rules(tables.transcripts(spark, d)), f"""
+WITH u AS (SELECT conv_id::VARCHAR AS session_id, text AS user_text FROM conversations WHERE role = 'user' AND text <> ''),
+p AS (SELECT *, length(user_text) AS chars, coalesce(length(regexp_replace(left(user_text, 2000), '[^A-Z]', '', 'g')) / nullif(length(regexp_replace(left(user_text, 2000), '[^A-Za-z]', '', 'g')), 0), 0) AS caps, {_signals_sql('user_text')} FROM u),
+a AS (SELECT count(*) AS prompts, count(*) FILTER (chars < 30) AS lazy, count(*) FILTER (chars >= 10 AND caps >= 0.9) AS caps, count(*) FILTER (chars >= 10 AND (frustrated OR caps_words >= 0.4)) AS frustrated,
+  count(*) FILTER (chars >= 40) AS lengthy, count(*) FILTER (chars >= 40 AND NOT "constraint") AS loose, count(*) FILTER (chars >= 800 AND fillers >= 2) AS wordy FROM p),
+k AS (SELECT coalesce(sum(n), 0)::BIGINT AS repeated FROM (SELECT count(*) AS n FROM p GROUP BY lower(trim(left(user_text, 100))) HAVING count(*) >= 3 AND length(lower(trim(left(any_value(user_text), 100)))) >= 10)),
+s AS (SELECT count(*) FILTER (n >= 5 AND types >= 4) AS drifted, count(*) AS sessions FROM (SELECT count(*) AS n, count(DISTINCT work_type) AS types FROM p GROUP BY session_id))
+SELECT unnest([
+  {{'rule': 'lazy-prompting', 'severity': 'medium', 'occurrences': lazy, 'total': prompts, 'fires': lazy > 10 AND lazy > 0.3 * prompts}},
+  {{'rule': 'caps-lock', 'severity': 'medium', 'occurrences': caps, 'total': prompts, 'fires': caps >= 1}},
+  {{'rule': 'frustration-signals', 'severity': 'medium', 'occurrences': frustrated, 'total': prompts, 'fires': frustrated >= 2}},
+  {{'rule': 'repeated-prompts', 'severity': 'medium', 'occurrences': repeated, 'total': prompts, 'fires': repeated >= 3}},
+  {{'rule': 'low-constraint-usage', 'severity': 'medium', 'occurrences': loose, 'total': lengthy, 'fires': lengthy >= 30 AND loose > 0.92 * lengthy}},
+  {{'rule': 'verbose-prompt', 'severity': 'low', 'occurrences': wordy, 'total': prompts, 'fires': wordy > 15 AND wordy > 0.2 * prompts}},
+  {{'rule': 'session-drift', 'severity': 'medium', 'occurrences': drifted, 'total': sessions, 'fires': drifted > 3}}], recursive := true) FROM a, k, s""")
+_over_calls("R20_output_rules", prompt_rules.output_rules, _TURNS + """
+, q AS (SELECT skey, turn, ((epoch_us(lead(start) OVER w) - epoch_us("end")) // 1000 - coalesce(lead(elapsed_ms) OVER w, 0))::BIGINT AS gap_ms FROM t WINDOW w AS (PARTITION BY skey ORDER BY turn)),
+o AS (SELECT skey, turn, coalesce(sum(loc), 0) AS loc, arg_min(project, seq) AS project, arg_min(canonical, seq) AS canonical FROM h GROUP BY skey, turn),
+a AS (SELECT count(*) FILTER (loc >= 20 AND gap_ms BETWEEN 0 AND 15000) AS quick, count(*) FILTER (loc >= 20) AS written, count(*) AS turns FROM o LEFT JOIN q USING (skey, turn)),
+b AS (SELECT max(n) AS top_project, count(*) AS projects FROM (SELECT count(*) AS n FROM o GROUP BY project)), c AS (SELECT max(n) AS top_model, count(*) AS models FROM (SELECT count(*) AS n FROM o GROUP BY canonical)),
+d AS (SELECT count(*) FILTER (n > 40) AS bloated, count(*) AS sessions FROM (SELECT len(list_distinct(flatten(list(tools)))) AS n FROM h GROUP BY skey))
+SELECT unnest([
+  {'rule': 'speed-accept', 'severity': 'high', 'occurrences': quick, 'total': written, 'fires': quick >= 5},
+  {'rule': 'tunnel-vision', 'severity': 'low', 'occurrences': top_project, 'total': turns, 'fires': top_project > 0.95 * turns AND turns >= 50 AND projects >= 3},
+  {'rule': 'mcp-tool-bloat', 'severity': 'medium', 'occurrences': bloated, 'total': sessions, 'fires': bloated >= 3},
+  {'rule': 'model-overreliance', 'severity': 'medium', 'occurrences': top_model, 'total': turns, 'fires': turns > 10 AND models < 3 AND top_model > 0.8 * turns}], recursive := true) FROM a, b, c, d""")
+_WEEKS = """
+, y AS (SELECT * REPLACE ((isoyear(timestamp) * 53 + week(timestamp)) || '|' || coalesce(session_key, tool || ':' || identity) AS session_key) FROM x)
+""" + _TURNS.replace("FROM x)", "FROM y)").replace("FROM h GROUP BY skey, turn)", "FROM h GROUP BY skey, turn),\nt2 AS (SELECT *, split_part(skey, '|', 1)::BIGINT AS week FROM t)")
+_over_calls("C14_weekly_scores", prompt_rules.weekly_scores, _WEEKS + """
+, a AS (SELECT week, count(*) FILTER (output_tokens > 5000 AND prompt_chars > 0 AND prompt_chars < 200) AS wordy, count(prompt_chars) AS prompts, count(start) AS timed, count(*) FILTER (hour(start) < 5) AS late,
+  count(*) FILTER (isodow(start) >= 6) AS weekend, count(*) FILTER (is_canceled) AS canceled, count(*) AS turns, count(*) FILTER (elapsed_ms > 300000) AS slow, count(*) FILTER (tool_calls >= 40) AS runaway, count(*) FILTER (input_tokens + cache_read_tokens > 5000) AS large,
+  coalesce(sum(cache_read_tokens) FILTER (input_tokens + cache_read_tokens > 5000)::DOUBLE / sum(input_tokens + cache_read_tokens) FILTER (input_tokens + cache_read_tokens > 5000)::DOUBLE, 1) AS hit FROM t2 GROUP BY week),
+s AS (SELECT week, count(*) FILTER (n >= 50) AS mega, count(*) FILTER (n = 1) AS abandoned, count(*) AS sessions FROM (SELECT week, count(*) AS n FROM t2 GROUP BY week, skey) GROUP BY week)
+SELECT week, 9::BIGINT AS rules, round(100 * (1 - ((CASE WHEN wordy > 10 AND wordy > 0.1 * prompts THEN 7 ELSE 0 END) + (CASE WHEN late > 10 THEN 3 ELSE 0 END) + (CASE WHEN weekend > 20 AND weekend > 0.25 * timed THEN 3 ELSE 0 END)
+  + (CASE WHEN mega > 0 THEN 12 ELSE 0 END) + (CASE WHEN abandoned > 10 AND abandoned > 0.4 * sessions THEN 3 ELSE 0 END) + (CASE WHEN canceled > 0.15 * turns THEN 7 ELSE 0 END) + (CASE WHEN slow > 5 THEN 3 ELSE 0 END)
+  + (CASE WHEN runaway >= 3 THEN 12 ELSE 0 END) + (CASE WHEN large > 20 AND hit < 0.1 THEN 7 ELSE 0 END)) / 108))::BIGINT AS score FROM a JOIN s USING (week)""")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The by-model table with ranks, over one month."""
     return usage.ranked(usage.models(usage.of_period(_x(spark, sf_dir), "month", NOW)), "canonical").orderBy("rank")
