@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import texts
 from ..functions.columns import caps_letter_ratio
-from ..operators import lookups, prompt_rules, search, turns, usage
+from ..operators import lookups, panels, prompt_rules, search, turns, usage
 from ..sources import driver_tables as tables
 from ..sources.driver_tables import CALLS_SQL
 
@@ -295,6 +295,45 @@ s AS (SELECT week, count(*) FILTER (n >= 50) AS mega, count(*) FILTER (n = 1) AS
 SELECT week, 9::BIGINT AS rules, round(100 * (1 - ((CASE WHEN wordy > 10 AND wordy > 0.1 * prompts THEN 7 ELSE 0 END) + (CASE WHEN late > 10 THEN 3 ELSE 0 END) + (CASE WHEN weekend > 20 AND weekend > 0.25 * timed THEN 3 ELSE 0 END)
   + (CASE WHEN mega > 0 THEN 12 ELSE 0 END) + (CASE WHEN abandoned > 10 AND abandoned > 0.4 * sessions THEN 3 ELSE 0 END) + (CASE WHEN canceled > 0.15 * turns THEN 7 ELSE 0 END) + (CASE WHEN slow > 5 THEN 3 ELSE 0 END)
   + (CASE WHEN runaway >= 3 THEN 12 ELSE 0 END) + (CASE WHEN large > 20 AND hit < 0.1 THEN 7 ELSE 0 END)) / 108))::BIGINT AS score FROM a JOIN s USING (week)""")
+_over_calls("A05_timeline_month", lambda x: panels.activity_timeline(x, "month", NOW), f"""
+, s AS (SELECT timestamp::DATE AS day, {_SUMS} FROM x GROUP BY ALL)
+SELECT g.day::DATE AS day, coalesce(cost, 0)::DOUBLE AS cost, coalesce(calls, 0)::BIGINT AS calls, coalesce(tokens, 0)::BIGINT AS tokens
+FROM generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-31', INTERVAL 1 DAY) AS g(day) LEFT JOIN s ON s.day = g.day::DATE""")
+_over_calls("A09_tool_mix", panels.tool_mix, """
+, g AS (SELECT identity, tool, row_number() OVER (PARTITION BY identity ORDER BY round(sum(cost), 6) DESC, tool) AS place FROM x GROUP BY identity, tool)
+SELECT identity, string_agg(tool, ' / ' ORDER BY place) AS mix FROM g WHERE place <= 3 GROUP BY identity""")
+_over_calls("A12_session_options", panels.session_options, f"""
+SELECT session_key, {_SUMS}, arg_min(tool, seq) AS tool, arg_min(identity, seq) AS project, max(timestamp) AS latest FROM x WHERE session_key IS NOT NULL GROUP BY session_key""")
+_over_calls("A13_session_calls", lambda x: panels.session_calls(x, x.agg(F.min("session_key").alias("session_key"))), """
+SELECT session_key, dedup_key, model, round(cost, 6) AS cost, input_tokens + cache_read_tokens AS input,
+  array_to_string(list_concat(list_filter(tools, lambda t: NOT starts_with(t, 'mcp__')), list_transform(list_filter(tools, lambda t: starts_with(t, 'mcp__')), lambda t: 'mcp:' || split_part(t, '__', 2))), ',') AS used,
+  row_number() OVER (ORDER BY x.cost DESC, tokens DESC, timestamp DESC, model, seq)::BIGINT AS rank FROM x WHERE session_key = (SELECT min(session_key) FROM x)""")
+_over_calls("A15_model_catalog", panels.model_catalog, """
+, g AS (SELECT canonical, tool, count(*) AS n, round(sum(cost), 6) AS c FROM x GROUP BY canonical, tool)
+SELECT canonical, sum(n)::BIGINT AS calls, round(sum(c), 6) AS cost, string_agg(tool || '=' || n, ',' ORDER BY n DESC, tool) AS split FROM g GROUP BY canonical""")
+_over_calls("A21_fallback_models", lambda x: panels.fallback_models(lookups.priced(x, lookups.price_book(x.sparkSession))), f"""
+, k AS (SELECT DISTINCT tool, model, canonical, timestamp::DATE AS day FROM x)
+SELECT DISTINCT tool, model FROM k WHERE NOT EXISTS (FROM (VALUES {', '.join('(' + ', '.join(map(_value, p[:3])) + ')' for p in lookups.PRICES)}) AS b(scope, key, since)
+  WHERE (b.scope IS NULL OR b.scope = k.tool) AND starts_with(k.canonical, b.key) AND (b.since IS NULL OR b.since::DATE <= k.day))""")
+_over_calls("A24_project_tool_split", lambda x: panels.project_tool_split(x, "/work/t1/app1"), f"""
+SELECT *, round(cost / greatest(sessions, 1), 6) AS cost_per_session FROM (SELECT tool, {_SUMS}, {_SESSIONS}, max(timestamp) AS latest FROM x WHERE identity = '/work/t1/app1' GROUP BY tool)""")
+_over_calls("A26_tool_stack", panels.tool_stack, """
+SELECT timestamp::DATE AS day, tool, round(round(sum(cost), 6) * 10000)::BIGINT AS amount FROM x GROUP BY 1, 2""")
+_over_calls("A27_recent_by_tool", lambda x: panels.recent_by_tool(x, NOW), f"""
+, s AS (SELECT tool, date_trunc('hour', timestamp) AS hour, sum(tokens)::BIGINT AS tokens FROM x GROUP BY 1, 2),
+d AS (SELECT t.tool, g.hour::TIMESTAMP AS hour, coalesce(s.tokens, 0)::BIGINT AS tokens FROM (SELECT DISTINCT tool FROM x) AS t CROSS JOIN generate_series(TIMESTAMP '2024-01-30 01:00:00', TIMESTAMP '2024-01-31', INTERVAL 1 HOUR) AS g(hour)
+  LEFT JOIN s ON s.tool = t.tool AND s.hour = g.hour)
+SELECT *, CASE WHEN tokens > 0 THEN {_bar('tokens', 'max(tokens) OVER (PARTITION BY tool)')} ELSE 0 END::BIGINT AS bar FROM d""")
+_over_calls("A29_newest_roots", panels.newest_roots, """
+SELECT identity, max(timestamp) AS latest FROM x WHERE starts_with(identity, '/') GROUP BY identity ORDER BY latest DESC, identity LIMIT 25""")
+_over_calls("A30_report_summary", panels.report_summary, f"""
+SELECT round(sum(cost), 6) AS cost, count(*)::BIGINT AS calls, {_SESSIONS}, count(DISTINCT identity)::BIGINT AS projects, sum(tokens + reasoning_tokens)::BIGINT AS total_tokens FROM x""")
+_over_calls("A32_report_projects", panels.report_projects, f"""
+SELECT identity, {_SUMS}, string_agg(DISTINCT project, ',' ORDER BY project) AS paths FROM x GROUP BY identity""")
+_over_calls("A41_heatmap_days", panels.heatmap_days, f"""
+, s AS (SELECT timestamp::DATE AS day, {_SUMS} FROM x GROUP BY ALL)
+SELECT g.day::DATE AS day, coalesce(cost, 0)::DOUBLE AS cost, coalesce(calls, 0)::BIGINT AS calls, coalesce(tokens, 0)::BIGINT AS tokens
+FROM (SELECT unnest(generate_series((SELECT min(day) FROM s)::TIMESTAMP, (SELECT max(day) FROM s)::TIMESTAMP, INTERVAL 1 DAY)) AS day) AS g LEFT JOIN s ON s.day = g.day::DATE""")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,3 +30,42 @@ def merge_batches(path: str) -> Callable[[DataFrame, int], None]:
         batch.dropDuplicates(["tool", "dedup_key"]).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return write
+
+
+#: A usage alert's thresholds and the least time between two alerts.
+ALERT_COST, ALERT_TOKENS, ALERT_CALLS, COOLDOWN_MS = 1.0, 100_000, 25, 30 * 60_000
+State = tuple[float, int, int, int]
+
+
+def alert_step(state: State | None, total: tuple[float, int, int], now_ms: int) -> tuple[State, tuple[float, int, int] | None]:
+    """The next (baseline cost, tokens, calls, time of the last alert) and what an alert reports.
+
+    Small growth adds up, as the baseline moves only with an alert; totals that shrink set it anew, and
+    within the cooldown it stays where it is.
+    """
+    if state is None or any(t < b for t, b in zip(total, state[:3], strict=True)):
+        return (*total, -COOLDOWN_MS if state is None else state[3]), None
+    grown = tuple(t - b for t, b in zip(total, state[:3], strict=True))
+    if now_ms - state[3] < COOLDOWN_MS or not (grown[0] >= ALERT_COST or grown[1] >= ALERT_TOKENS or grown[2] >= ALERT_CALLS):
+        return state, None
+    return (*total, now_ms), grown
+
+
+def _alerts(key, frames, state):
+    import pandas as pd
+
+    cost, tokens, calls, baseline = state.get if state.exists else (0.0, 0, 0, None)
+    for frame in frames:
+        cost, tokens, calls = cost + float(frame["cost"].sum()), tokens + int(frame["tokens"].sum()), calls + len(frame)
+    last = tuple(baseline) if baseline is not None else (0.0, 0, 0, -COOLDOWN_MS)
+    after, alert = alert_step(last, (cost, tokens, calls), state.getCurrentProcessingTimeMs())
+    state.update((cost, tokens, calls, after))
+    if alert:
+        yield pd.DataFrame([(key[0], *alert)], columns=["tool", "cost", "tokens", "calls"])
+
+
+def usage_alerts(stream: DataFrame) -> DataFrame:
+    """By tool, a row whenever what was used since the last alert passes a threshold; state is a few numbers for each tool."""
+    return stream.select("tool", "cost", "tokens").groupBy("tool").applyInPandasWithState(
+        _alerts, "tool string, cost double, tokens long, calls long", "cost double, tokens long, calls long, baseline struct<cost:double,tokens:long,calls:long,at:long>", "append", "NoTimeout"
+    )

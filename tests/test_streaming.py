@@ -17,3 +17,29 @@ def test_rolling_and_alerts(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("rolling").agg(F.max("calls")).first()[0] == 8
+
+
+def test_alerts_add_up_and_cool_down():
+    from loomline.streaming import usage as streaming
+
+    state, alert = streaming.alert_step(None, (5.0, 10, 1), 0)
+    assert alert is None and state[:3] == (5.0, 10, 1)
+    state, alert = streaming.alert_step(state, (5.6, 20, 2), 1)
+    assert alert is None and state[0] == 5.0
+    state, alert = streaming.alert_step(state, (6.1, 30, 3), 2)
+    assert alert and round(alert[0], 6) == 1.1 and state == (6.1, 30, 3, 2)
+    same, alert = streaming.alert_step(state, (9.0, 40, 4), 3)
+    assert alert is None and same == state
+    assert streaming.alert_step(state, (9.0, 40, 4), 2 + streaming.COOLDOWN_MS)[1] is not None
+    assert streaming.alert_step(state, (1.0, 40, 4), 4) == ((1.0, 40, 4, 2), None)
+
+
+def test_alert_stream(spark, tmp_path):
+    from loomline.streaming import usage as streaming
+
+    for i in range(3):
+        spark.createDataFrame([("codex", 0.4, 10), ("gemini", 0.1, 1)], "tool string, cost double, tokens long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("tool string, cost double, tokens long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = streaming.usage_alerts(stream).writeStream.format("memory").queryName("alerts").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    assert query.awaitTermination(90)
+    assert [(r.tool, round(r.cost, 6), r.calls) for r in spark.table("alerts").collect()] == [("codex", 1.2, 3)]
