@@ -133,3 +133,51 @@ def flow_days(x: DataFrame, now: datetime) -> DataFrame:
     rows = spans.withColumn("new", F.coalesce(F.timestamp_diff("MINUTE", before, F.col("start")) > 15, F.lit(True)).cast("long")).withColumn("block", F.sum("new").over(w))
     blocks = rows.groupBy("day", "block").agg(F.timestamp_diff("MINUTE", F.min("start"), F.max("end")).alias("minutes"))
     return blocks.groupBy("day").agg(F.count("*").alias("blocks"), F.max("minutes").alias("longest"), F.sum("minutes").alias("active"))
+
+
+# Upper ends of bands, inclusive, with their scores, and the score beyond the last.
+GAP_BANDS, GAP_BEYOND = ((10, 100.0), (30, 80.0), (60, 60.0), (120, 40.0), (300, 20.0)), 0.0
+DURATION_BANDS, DURATION_BEYOND = ((5, 20.0), (15, 50.0), (40, 90.0), (90, 80.0)), 60.0
+
+
+def _band(value: Column, bands: tuple, beyond: float) -> Column:
+    out = F.when(value <= bands[0][0], bands[0][1])
+    for most, points in bands[1:]:
+        out = out.when(value <= most, points)
+    return out.otherwise(beyond)
+
+
+def session_flow(t: DataFrame) -> DataFrame:
+    """A score of 0 to 100 for sessions of three timed turns or more with a think gap: quick follow-ups, upper median gap, duration and density."""
+    w = Window.partitionBy("skey").orderBy("turn")
+    timed = t.where("start is not null")
+    gap = F.timestamp_diff("MILLISECOND", F.col("end"), F.lead("start").over(w)) - F.coalesce(F.lead("elapsed_ms").over(w), F.lit(0))
+    s = timed.withColumn("gap", gap).groupBy("skey").agg(F.count("*").alias("turns"), F.sort_array(F.collect_list(F.when(F.col("gap") >= 0, F.col("gap")))).alias("gaps"), F.min_by("start", "turn").alias("start"), F.max_by("end", "turn").alias("end"))
+    s = s.where("turns >= 3 and size(gaps) > 0").withColumn("minutes", F.timestamp_diff("MINUTE", F.col("start"), F.col("end")))
+    rapid = F.size(F.filter("gaps", lambda g: g <= 30_000)) / F.size("gaps")
+    median = F.expr("gaps[size(gaps) div 2] div 1000")
+    density = F.least(F.when(F.col("minutes") > 0, F.col("turns") / F.col("minutes")).otherwise(F.col("turns").cast("double")) * 50.0, F.lit(100.0))
+    points = 0.40 * rapid * 100.0 + 0.30 * _band(median, GAP_BANDS, GAP_BEYOND) + 0.15 * _band(F.col("minutes"), DURATION_BANDS, DURATION_BEYOND) + 0.15 * density
+    return s.select("skey", F.to_date("start").alias("day"), "turns", "minutes", F.least(F.greatest(F.round(F.round(points, 6)), F.lit(0.0)), F.lit(100.0)).cast("long").alias("score"))
+
+
+def flow_label(score: Column) -> Column:
+    """C06."""
+    return F.when(score >= 70, "deep").when(score >= 45, "moderate").when(score >= 25, "shallow").otherwise("fragmented")
+
+
+# Nodes kept of each kind; all tools are.
+NODE_LIMITS = {"project": 30, "model": 24, "core": 12, "mcp": 12}
+
+
+def graph_nodes(x: DataFrame) -> DataFrame:
+    """The costliest nodes of each kind; capabilities share a call's cost and tokens."""
+    node = lambda kind, label, share: F.struct(F.lit(kind).alias("kind"), label.alias("label"), share.alias("share"))
+    one, n = F.lit(1.0), F.size("tools")
+    whole = F.array(node("project", F.col("identity"), one), node("tool", F.col("tool"), one), node("model", F.col("canonical"), one))
+    split = F.concat(F.transform(core_tools(), lambda t: node("core", t, 1.0 / n)), F.transform(mcp_servers(), lambda s: node("mcp", s, 1.0 / n)))
+    rows = x.select("session_key", "cost", "tokens", F.explode(F.concat(whole, split)).alias("n")).select("session_key", "cost", "tokens", "n.*")
+    sums = rows.groupBy("kind", "label").agg(F.round(F.sum(F.col("cost") * F.col("share")), 6).alias("cost"), F.round(F.sum(F.col("tokens") * F.col("share")), 4).alias("tokens"), F.count("*").alias("calls"), F.count_distinct("session_key").alias("sessions"))
+    place = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("cost"), "label")).cast("long")
+    limit = F.coalesce(F.create_map(*[F.lit(v) for pair in NODE_LIMITS.items() for v in pair])[F.col("kind")].cast("long"), F.lit((1 << 62)))
+    return sums.withColumn("place", place).where(F.col("place") <= limit)

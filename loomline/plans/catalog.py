@@ -334,6 +334,18 @@ _over_calls("A41_heatmap_days", panels.heatmap_days, f"""
 , s AS (SELECT timestamp::DATE AS day, {_SUMS} FROM x GROUP BY ALL)
 SELECT g.day::DATE AS day, coalesce(cost, 0)::DOUBLE AS cost, coalesce(calls, 0)::BIGINT AS calls, coalesce(tokens, 0)::BIGINT AS tokens
 FROM (SELECT unnest(generate_series((SELECT min(day) FROM s)::TIMESTAMP, (SELECT max(day) FROM s)::TIMESTAMP, INTERVAL 1 DAY)) AS day) AS g LEFT JOIN s ON s.day = g.day::DATE""")
+_over_calls("C04_session_flow", lambda x: turns.session_flow(turns.turns(x)).withColumn("label", turns.flow_label(F.col("score"))), _TURNS + """
+, fg AS (SELECT *, (epoch_us(lead(start) OVER w) - epoch_us("end")) // 1000 - coalesce(lead(elapsed_ms) OVER w, 0) AS gap FROM t WHERE start IS NOT NULL WINDOW w AS (PARTITION BY skey ORDER BY turn)),
+fs AS (SELECT skey, count(*)::BIGINT AS turns, list(gap ORDER BY gap) FILTER (gap >= 0) AS gaps, arg_min(start, turn) AS start, arg_max("end", turn) AS fin FROM fg GROUP BY skey),
+fm AS (SELECT *, ((epoch_us(fin) - epoch_us(start)) // 60000000)::BIGINT AS minutes, gaps[len(gaps) // 2 + 1] // 1000 AS median, len(list_filter(gaps, lambda v: v <= 30000)) / len(gaps) AS rapid FROM fs WHERE turns >= 3 AND len(gaps) > 0),
+fp AS (SELECT *, least(greatest(round(round(0.40::DOUBLE * rapid * 100 + 0.30::DOUBLE * CASE WHEN median <= 10 THEN 100 WHEN median <= 30 THEN 80 WHEN median <= 60 THEN 60 WHEN median <= 120 THEN 40 WHEN median <= 300 THEN 20 ELSE 0 END
+  + 0.15::DOUBLE * CASE WHEN minutes <= 5 THEN 20 WHEN minutes <= 15 THEN 50 WHEN minutes <= 40 THEN 90 WHEN minutes <= 90 THEN 80 ELSE 60 END + 0.15::DOUBLE * least(CASE WHEN minutes > 0 THEN turns / minutes ELSE turns END * 50.0::DOUBLE, 100), 6)), 0), 100)::BIGINT AS score FROM fm)
+SELECT skey, start::DATE AS day, turns, minutes, score, CASE WHEN score >= 70 THEN 'deep' WHEN score >= 45 THEN 'moderate' WHEN score >= 25 THEN 'shallow' ELSE 'fragmented' END AS label FROM fp""")
+_over_calls("G03_graph_nodes", turns.graph_nodes, """
+, e AS (SELECT session_key, cost, tokens, 'project' AS kind, identity AS label, 1.0::DOUBLE AS share FROM x UNION ALL SELECT session_key, cost, tokens, 'tool', tool, 1.0 FROM x UNION ALL SELECT session_key, cost, tokens, 'model', canonical, 1.0 FROM x
+  UNION ALL SELECT session_key, cost, tokens, CASE WHEN starts_with(c, 'mcp__') THEN 'mcp' ELSE 'core' END, CASE WHEN starts_with(c, 'mcp__') THEN split_part(c, '__', 2) ELSE c END, 1.0::DOUBLE / n FROM (SELECT session_key, cost, tokens, unnest(tools) AS c, len(tools) AS n FROM x)),
+g AS (SELECT kind, label, round(sum(cost * share), 6) AS cost, round(sum(tokens * share), 4) AS tokens, count(*)::BIGINT AS calls, count(DISTINCT session_key)::BIGINT AS sessions FROM e GROUP BY kind, label)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY cost DESC, label)::BIGINT AS place FROM g) WHERE place <= CASE kind WHEN 'project' THEN 30 WHEN 'model' THEN 24 WHEN 'tool' THEN 1000000 ELSE 12 END""")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
