@@ -165,6 +165,24 @@ def test_rules_count_as_defined():
     assert not quality_rules.judge("ab " * 4000, packer)[-1]
 
 
+def test_bands_reject_noise_and_bad_labels():
+    import zlib
+
+    import pyarrow.parquet as pq
+    import zstandard
+
+    packer, rng = zstandard.ZstdCompressor(level=3), random.Random(7)
+    for alphabet in ("abcdefghijklmnopqrstuvwxyz", "0123456789abcdef"):
+        noise = "".join(rng.choice(alphabet) + " " * (i % 6 == 5) for i in range(9000))
+        assert not any(quality_rules.judge(noise[:n], packer)[5] or quality_rules.judge(noise[:n], packer)[-1] for n in (6000, 9000))
+    sf, kept = "/root/testdata/sf0.01", {0: [], 1: []}
+    labels = {x["doc_id"]: x["quality"] for x in pq.read_table(f"{sf}/labels.parquet").to_pylist() if zlib.crc32(str(x["doc_id"]).encode()) % 3 == 1}
+    for d in pq.read_table(f"{sf}/documents.parquet").to_pylist():
+        if d["doc_id"] in labels and not (found := quality_rules.judge(d["text"], packer))[5]:
+            kept[labels[d["doc_id"]]].append(found[-1])
+    assert np.mean(kept[1]) > 0.98 and np.mean(kept[0]) < 0.7
+
+
 def test_page_text_without_the_rest(spark):
     html = '<body><nav>n</nav><div class="sidebar">x</div><div id="main"><h2>T &amp; x</h2><p>Some   text<br>here<p>q<div class="comments"><p>bad</p></div><form>f</form></div><footer>ff</footer><script>var p="</p>"</script>'
     rows = [(1, "http://a.b/1", html), (2, "http://a.b/2", None), (3, None, ""), (4, "junk", "plain &lt;text")]
