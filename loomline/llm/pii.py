@@ -6,9 +6,13 @@ number-like or address-like stretch of a document (a unit) with a kind or none.
 Units next to each other share a chain potential; units with the same key, such as
 the same digits written another way, share a skip potential however far apart
 they are, through one hub for each key, so a key with many units stays linear.
+Two more hubs join units with the same stem (the last LONG_STEM or STEM digits, or
+what stands before the at sign less a +tag), with weights of their own. Runs of digits are cut at
+base spans, and where some of their groups are a known number or its end.
 Units under a base span are clamped to its kind. Loopy sum-product messages run
-over units and hubs, and a unit that base patterns missed becomes a span if its
-most likely label is a kind that a clamped unit of its key has. Base spans stay.
+over units and hubs, and a unit that base patterns missed becomes a span of its
+most likely kind if one of its hubs has a clamped unit. Base spans stay. Units without
+such a link keep what the patterns say, as do documents without base spans.
 
 Weights are learned by pseudo-likelihood on the units of at most TRAIN_DOCUMENTS
 documents, those with the smallest hash of doc_id, labelled by the base spans.
@@ -42,8 +46,12 @@ LOCAL, DOMAIN = re.compile(r"[A-Za-z0-9._%+-]"), re.compile(r"[A-Za-z0-9-]+(\.[A
 WORD_CHAR, WORD_REST = re.compile(r"[^\x20\x09-\x0D@]"), re.compile(r"[^\x20\x09-\x0D@]+")
 #: Number-like stretches of seven digits or more.
 NUMBER = re.compile(r"[0-9](?:[\x20().-]{0,2}[0-9]){6,}")
+#: Digits at the end of a number that make its stems, and the least weights of the hubs of keys, long and short stems.
+LONG_STEM, STEM, LEAST_SKIPS = 9, 7, (1.0, 1.0, 0.5)
+#: Not part of an address at its ends.
+EDGE = ".,;:()<>[]\"'"
 TRAIN_DOCUMENTS, TRAIN_UNITS, STEPS, PENALTY, ROUNDS = 2_000, 500, 200, 1e-3, 10
-N_FEATURES, N_LABELS = 10, 1 + len(KINDS)
+N_FEATURES, AT_SIGN, N_LABELS = 10, 6, 1 + len(KINDS)
 _CLAMP = 50.0
 Span = tuple[str, int, int]
 
@@ -89,12 +97,60 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
-def units(text: str) -> list[tuple[int, int, str]]:
+def _split(text: str, start: int, end: int, known: set[str], tails: set[str]) -> list[tuple[int, int, str]]:
+    """The units of a run of digits: groups that make a known number, else the end of one, and the stretches between them."""
+    groups = [(start + m.start(), start + m.end()) for m in re.finditer("[0-9]+", text[start:end])]
+    out, at, i = [], 0, 0
+
+    def put(a: int, b: int, least: int = STEM) -> None:
+        if a < b and len(d := _digits(text[groups[a][0] : groups[b - 1][1]])) >= least:
+            out.append((groups[a][0], groups[b - 1][1], d.lstrip("0")))
+
+    while i < len(groups):
+        keys, d = [], ""
+        for j in range(i, len(groups)):
+            d += text[slice(*groups[j])]
+            if len(d) > 24:
+                break
+            keys.append(d.lstrip("0"))
+        n = next((n for n in range(len(keys), 0, -1) if keys[n - 1] in known), 0) or next((n for n in range(len(keys), 0, -1) if keys[n - 1] in tails), 0)
+        if n:
+            put(at, i)
+            put(i, i + n, 1)
+            at = i + n
+        i += n or 1
+    put(at, len(groups))
+    return out
+
+
+def units(text: str, base: list[Span] = ()) -> list[tuple[int, int, str]]:
     """Start, end and key of each unit. Keys: the digits without leading zeros, however written, or the lower-cased address."""
-    words = [(lo, hi, text[lo:hi].strip(".,;:()<>[]\"'").lower()) for lo, hi in _around_at_signs(text, WORD_CHAR, WORD_REST)]
-    inside = np.array([x for lo, hi, _ in words for x in (lo, hi)])
-    numbers = [(*m.span(), _digits(m.group()).lstrip("0")) for m in NUMBER.finditer(text)]
-    return sorted(words + [u for u in numbers if np.searchsorted(inside, u[0], "right") % 2 == 0])
+    around = list(_around_at_signs(text, WORD_CHAR, WORD_REST))
+    inside = np.array([x for span in around for x in span])
+    words = [(hi - len(raw.lstrip(EDGE)), lo + len(raw.rstrip(EDGE)), raw.strip(EDGE).lower()) for lo, hi in around for raw in (text[lo:hi],)]
+    cuts = sorted({x for _, lo, hi in base for x in (lo, hi)})
+    spans = sorted((lo, hi) for _, lo, hi in base)
+    covered, free, reach, at = [], [], 0, 0
+    for m in NUMBER.finditer(text):
+        if np.searchsorted(inside, m.start(), "right") % 2:
+            continue
+        lo, hi = m.span()
+        edges = [lo, *cuts[bisect_right(cuts, lo) : bisect_left(cuts, hi)], hi]
+        for a, b in zip(edges, edges[1:]):
+            while at < len(spans) and spans[at][0] <= a:
+                reach, at = max(reach, spans[at][1]), at + 1
+            (covered if a < reach else free).append((a, b))
+    out = [(a, b, _digits(text[a:b]).lstrip("0")) for a, b in covered]
+    out = [u for u in out if u[2]]
+    known = {k for _, _, k in out if STEM <= len(k) <= 24}
+    tails = {t for k in known for n in range(STEM, len(k)) if len(t := k[-n:].lstrip("0")) >= STEM}
+    for a, b in free:
+        out += _split(text, a, b, known, tails)
+    return sorted(words + out)
+
+
+def _stem(key: str, digits: int) -> str:
+    return key.split("@")[0].split("+")[0] + "@" if "@" in key else key[-digits:]
 
 
 def _features(s: str) -> list[float]:
@@ -104,46 +160,50 @@ def _features(s: str) -> list[float]:
 
 
 def graph(text: str, base: list[Span]) -> tuple[list[tuple[int, int, str]], np.ndarray, np.ndarray, np.ndarray]:
-    """Units, their features, base labels (0: none) and key numbers."""
-    found = units(text)
+    """Units, their features, base labels (0: none) and the numbers of its key and stems."""
+    found = units(text, base)
     labels = np.zeros(len(found), np.int64)
     starts, ends = [lo for lo, _, _ in found], [hi for _, hi, _ in found]
     for kind, start, end in base:
         labels[bisect_right(ends, start) : bisect_left(starts, end)] = 1 + KINDS.index(kind)
     keys: dict[str, int] = {}
-    numbers = np.array([keys.setdefault(k, len(keys)) for _, _, k in found], np.int64)
+    names = [(k, f"l {_stem(k, LONG_STEM)}", f"s {_stem(k, STEM)}") for _, _, k in found]
+    numbers = np.array([[keys.setdefault(name, len(keys)) for name in row] for row in names], np.int64).reshape(-1, 3)
     return found, np.array([_features(text[lo:hi]) for lo, hi, _ in found], float).reshape(-1, N_FEATURES), labels, numbers
 
 
-def _neighbours(labels: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each unit, the labels next to it in the chain, and whether its key has each label elsewhere."""
+def _neighbours(labels: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each unit, the labels next to it in the chain, and whether its key, then each stem, has each label elsewhere."""
     one = np.eye(N_LABELS)[labels]
     chain = np.zeros_like(one)
     chain[1:] += one[:-1]
     chain[:-1] += one[1:]
-    per_key = np.zeros((keys.max() + 1, N_LABELS))
-    np.add.at(per_key, keys, one)
-    return chain, (per_key[keys] - one > 0).astype(float)
+    skips = []
+    for hub in keys.T:
+        per_hub = np.zeros((hub.max() + 1, N_LABELS))
+        np.add.at(per_hub, hub, one)
+        skips.append((per_hub[hub] - one > 0).astype(float))
+    return chain, *skips
 
 
 class Weights:
-    """Of unit features by label, of the chain and of the skip potential."""
+    """Of unit features by label, of the chain and of the skip potentials by key and by stems."""
 
     def __init__(self):
-        self.unary, self.chain, self.skip = np.zeros((N_FEATURES, N_LABELS)), 0.0, 1.0
+        self.unary, self.chain, self.skips = np.zeros((N_FEATURES, N_LABELS)), 0.0, list(LEAST_SKIPS)
 
-    def learn(self, x: np.ndarray, y: np.ndarray, chain: np.ndarray, skip: np.ndarray) -> Weights:
-        """Gradient ascent on the pseudo-likelihood; the skip weight stays at 1 or more."""
+    def learn(self, x: np.ndarray, y: np.ndarray, chain: np.ndarray, *skips: np.ndarray) -> Weights:
+        """Gradient ascent on the pseudo-likelihood; the skip weights stay at LEAST_SKIPS or more."""
         if not len(x):
             return self
         target = np.eye(N_LABELS)[y]
         for _ in range(STEPS):
-            z = x @ self.unary + self.chain * chain + self.skip * skip
+            z = x @ self.unary + self.chain * chain + sum(v * skip for v, skip in zip(self.skips, skips, strict=True))
             p = np.exp(z - z.max(1, keepdims=True))
             gap = target - p / p.sum(1, keepdims=True)
             self.unary += 0.5 * (x.T @ gap / len(x) - PENALTY * self.unary)
             self.chain += 0.5 * ((gap * chain).sum() / len(x) - PENALTY * self.chain)
-            self.skip = max(1.0, self.skip + 0.5 * ((gap * skip).sum() / len(x) - PENALTY * self.skip))
+            self.skips = [max(least, v + 0.5 * ((gap * skip).sum() / len(x) - PENALTY * v)) for least, v, skip in zip(LEAST_SKIPS, self.skips, skips, strict=True)]
         return self
 
 
@@ -153,22 +213,28 @@ def _soft(z: np.ndarray) -> np.ndarray:
 
 
 def beliefs(x: np.ndarray, clamped: np.ndarray, keys: np.ndarray, w: Weights, rounds: int = ROUNDS) -> np.ndarray:
-    """Label probabilities of units after loopy sum-product over the chain and the key hubs."""
-    n, own = len(x), np.log(_soft(x @ w.unary))
+    """Label probabilities of units after loopy sum-product over the chain and the hubs of keys and stems."""
+    n, z, email = len(x), x @ w.unary, 1 + KINDS.index("email")
+    address = x[:, AT_SIGN] > 0
+    z[~address, email] = -_CLAMP  # only what has an at sign is an address, and nothing else
+    z[np.ix_(address, [c for c in range(1, N_LABELS) if c != email])] = -_CLAMP
+    own = np.log(_soft(z))
     own[clamped > 0] = 0
     own[clamped > 0, clamped[clamped > 0]] = _CLAMP
-    chain, skip = np.exp(w.chain * np.eye(N_LABELS)), np.exp(w.skip * np.eye(N_LABELS))
-    right, left, hub = np.zeros((n, N_LABELS)), np.zeros((n, N_LABELS)), np.zeros((n, N_LABELS))
+    chain, skips = np.exp(w.chain * np.eye(N_LABELS)), [np.exp(v * np.eye(N_LABELS)) for v in w.skips]
+    right, left, *hubs = (np.zeros((n, N_LABELS)) for _ in range(2 + keys.shape[1]))
     for _ in range(rounds):
-        up = np.log(_soft(own + right + left) @ skip)
-        sums = np.zeros((keys.max() + 1, N_LABELS))
-        np.add.at(sums, keys, up)
-        new_hub = np.log(_soft(sums[keys] - up) @ skip)
+        new_hubs = []
+        for i, (hub, skip) in enumerate(zip(keys.T, skips, strict=True)):
+            up = np.log(_soft(own + right + left + sum(hubs) - hubs[i]) @ skip)
+            sums = np.zeros((hub.max() + 1, N_LABELS))
+            np.add.at(sums, hub, up)
+            new_hubs.append(np.log(_soft(sums[hub] - up) @ skip))
         new_right, new_left = np.zeros_like(right), np.zeros_like(left)
-        new_right[1:] = np.log(_soft(own + right + hub)[:-1] @ chain)
-        new_left[:-1] = np.log(_soft(own + left + hub)[1:] @ chain)
-        right, left, hub = (0.5 * a + 0.5 * b for a, b in ((right, new_right), (left, new_left), (hub, new_hub)))
-    return _soft(own + right + left + hub)
+        new_right[1:] = np.log(_soft(own + right + sum(hubs))[:-1] @ chain)
+        new_left[:-1] = np.log(_soft(own + left + sum(hubs))[1:] @ chain)
+        right, left, *hubs = (0.5 * a + 0.5 * b for a, b in zip((right, left, *hubs), (new_right, new_left, *new_hubs), strict=True))
+    return _soft(own + right + left + sum(hubs))
 
 
 def all_spans(text: str | None, w: Weights) -> tuple[list[Span], list[Span]]:
@@ -177,13 +243,15 @@ def all_spans(text: str | None, w: Weights) -> tuple[list[Span], list[Span]]:
         return [], []
     base = base_spans(text)
     if not base:
-        return [], []  # no unit has a clamped one of its key
+        return [], []  # no unit has a link to a clamped one
     found, x, labels, keys = graph(text, base)
     added: list[Span] = []
     if len(found) and (labels == 0).any() and (labels > 0).any():
         likely = beliefs(x, labels, keys, w).argmax(1)
-        sure = {(k, c) for k, c in zip(keys.tolist(), labels.tolist(), strict=True) if c}
-        added = [(KINDS[c - 1], lo, hi) for (lo, hi, _), k, c, old in zip(found, keys.tolist(), likely.tolist(), labels.tolist(), strict=True) if not old and (k, c) in sure]
+        linked = np.zeros(len(found), bool)
+        for hub in keys.T:
+            linked |= np.isin(hub, hub[labels > 0])
+        added = [(KINDS[c - 1], lo, hi) for (lo, hi, _), c, old, near in zip(found, likely.tolist(), labels.tolist(), linked.tolist(), strict=True) if near and c and not old]
     return base, sorted(base + added, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 
 
@@ -195,8 +263,7 @@ def _train_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             found, x, labels, keys = graph(text, base_spans(text))
             if 0 < len(found) <= TRAIN_UNITS:
-                chain, skip = _neighbours(labels, keys)
-                rows.append((doc_id, labels.tolist(), np.column_stack([x, chain, skip]).ravel().tolist()))
+                rows.append((doc_id, labels.tolist(), np.column_stack([x, *_neighbours(labels, keys)]).ravel().tolist()))
         a, b, c = zip(*rows, strict=True) if rows else ([], [], [])
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.list_(pa.int64())), pa.array(c, pa.list_(pa.float64()))], ["doc_id", "labels", "x"])
 
@@ -212,7 +279,7 @@ def train(docs: DataFrame, documents: int = TRAIN_DOCUMENTS) -> Weights:
         return Weights()
     x = np.concatenate([np.array(r.x).reshape(len(r.labels), -1) for r in rows])
     n = N_FEATURES
-    return Weights().learn(x[:, :n], np.concatenate([r.labels for r in rows]), x[:, n : n + N_LABELS], x[:, n + N_LABELS :])
+    return Weights().learn(x[:, :n], np.concatenate([r.labels for r in rows]), *np.split(x[:, n:], 1 + len(LEAST_SKIPS), axis=1))
 
 
 def _written(spans: list[Span]) -> str:

@@ -145,6 +145,22 @@ def test_skip_chain_adds_what_repeats():
     assert base == [("phone", 5, 19)] and len(spans) == 2 and text[spans[1][1] : spans[1][2]] == "49 (30) 123-4567"
 
 
+def test_skip_chain_links_similar_keys(spark):
+    weights = pii.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text"))
+    cases = {
+        "+49 30 1234567, then 030 1234567 x": "030 1234567",
+        "+49 30 1234567 and 2024 49 30 1234567 x": "49 30 1234567",
+        "+49 30 1234567 and 2024 030 1234567 x": "030 1234567",
+        "10.20.30.40 49 30 1234567 is +49 30 1234567": "49 30 1234567",
+        "john.doe@example.com and (John.Doe@example), x.y@home": "John.Doe@example",
+        "4539 1488 0343 6467 a 2024 4539148803436467 b 9234488803436467": "4539148803436467",
+        "+49 30 1234567, order 9876543210, 5374040645122205": None,
+    }
+    for text, expected in cases.items():
+        base, spans = pii.all_spans(text, weights)
+        assert [text[lo:hi] for k, lo, hi in spans if (k, lo, hi) not in base] == ([expected] if expected else []), text
+
+
 def test_classifier_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.01"
     got = quality_classifier.op6_query(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out")
