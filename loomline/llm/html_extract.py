@@ -8,7 +8,9 @@ In a second pass a page is extracted again from the first of its host's winning
 paths that it has, or from its own best container if it has none.
 
 What is cut inside a container: elements whose tag or class says menu, header,
-footer, sidebar, notice, advert, form, comments, script or style.
+footer, sidebar, notice, advert, form, comments, script or style. A form, or a mark
+in a class, id or role, doesn't count on an element that holds most of the page's
+text outside links: such an element is a wrapper.
 
 Defined results: null and empty html give the empty text; html without any
 container is read from the body; a null or unreadable url has the empty host;
@@ -30,6 +32,8 @@ from .storage import materialize, small_batches
 
 #: Winning paths kept for a host, and how many hosts' paths are broadcast at most.
 PATHS_PER_HOST, BROADCAST_ROWS = 5, 20_000
+#: A mark doesn't count from this share of the page's text on: a form or a name with a marked part, and a name that is a mark as a whole.
+WRAPPER_SHARE, WHOLE_SHARE = 0.67, 0.95
 #: A path of generalised names this deep is cut; deeper containers share it.
 MAX_DEPTH = 40
 _TAG = re.compile(
@@ -57,15 +61,18 @@ _NOT_ARTICLE = frozenset(
 )
 
 
-def _names(attributes: str) -> tuple[list[str], bool]:
-    """Generalised class and id names, and whether one of them marks boilerplate."""
-    names, bad = [], False
+def _names(attributes: str) -> tuple[list[str], float]:
+    """Generalised class and id names, and the share of text from which a mark among them doesn't count (0: no mark)."""
+    names, mark = [], 0.0
     for kind, a, b, c in _NAMED.findall(attributes):
         for name in unescape(a or b or c).lower().split():
-            bad = bad or name in _NOT_ARTICLE or any(w in _NOT_ARTICLE for w in re.split(r"[-_0-9]+", name))
+            if name in _NOT_ARTICLE:
+                mark = WHOLE_SHARE
+            elif any(w in _NOT_ARTICLE for w in re.split(r"[-_0-9]+", name)):
+                mark = max(mark, WRAPPER_SHARE)
             if kind.lower() == "class":
                 names.append(re.sub("[0-9]+", "#", name))
-    return sorted(set(names)), bad
+    return sorted(set(names)), mark
 
 
 class Page:
@@ -76,10 +83,13 @@ class Page:
         self.paths, self.parents = [""], [-1]
         #: Container, text and length of link text of each block outside boilerplate.
         self.blocks: list[tuple[int, str, int]] = []
-        self._text: list[str] = []
-        self._link = 0
-        # open elements: tag, container, whether inside boilerplate, whether inside a link
-        self._open: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
+        # marks: the one around it, and the share of text from which it doesn't count; the first is none
+        self._marks: list[tuple[int, float]] = [(0, 0.0)]
+        # pieces of the open block, and of the ended ones with their container: mark, text, whether in a link
+        self._text: list[tuple[int, str, bool]] = []
+        self._ended: list[tuple[int, list[tuple[int, str, bool]]]] = []
+        # open elements: tag, container, mark (-1: inside boilerplate), whether inside a link
+        self._open: list[tuple[str, int, int, bool]] = [("", 0, 0, False)]
         at = 0
         html = html or ""
         for m in _TAG.finditer(html):
@@ -90,21 +100,37 @@ class Page:
                 self._tag(m.group(3).lower(), bool(m.group(2)), m.group(4))
         self._add(html[at:])
         self._end_block()
+        self._choose_blocks()
 
     def _add(self, raw: str) -> None:
-        _, _, bad, link = self._open[-1]
-        if not bad and raw:
-            self._text.append(raw)
-            if link:
-                self._link += len(raw)
+        _, _, mark, link = self._open[-1]
+        if mark >= 0 and raw:
+            self._text.append((mark, raw, link))
 
     def _end_block(self) -> None:
         if self._text:
-            text = " ".join(unescape("".join(self._text)).split())
-            if text:
-                self.blocks.append((self._open[-1][1], text, self._link))
+            self._ended.append((self._open[-1][1], self._text))
             self._text = []
-        self._link = 0
+
+    def _choose_blocks(self) -> None:
+        """Fill blocks with what no mark that counts hides."""
+        held = [0] * len(self._marks)
+        for _, pieces in self._ended:
+            for mark, raw, link in pieces:
+                size = len("".join(raw.split()))
+                held[mark] += 0 if link else size
+        total = sum(held)
+        for i in range(len(held) - 1, 0, -1):  # inner marks come after the ones around them
+            if self._marks[i][0]:
+                held[self._marks[i][0]] += held[i]
+        seen = [True]
+        for (around, share), size in list(zip(self._marks, held, strict=True))[1:]:
+            seen.append(seen[around] and 0 < total * share <= size)
+        for container, pieces in self._ended:
+            text = " ".join(unescape("".join(raw for mark, raw, _ in pieces if seen[mark])).split())
+            if text:
+                self.blocks.append((container, text, sum(len(raw) for mark, raw, link in pieces if link and seen[mark])))
+        self._ended = []
 
     def _close_to(self, depth: int) -> None:
         while len(self._open) > depth:
@@ -132,10 +158,19 @@ class Page:
                 self._close_open(tag, _CLOSED_BY_SAME[tag].split())
         if tag in _VOID or attributes.endswith("/") and tag not in _BLOCKS:
             return
-        _, container, bad, link = self._open[-1]
-        names, marked = _names(attributes) if "=" in attributes or "hidden" in attributes else ([], False)
-        marked = marked and tag not in ("html", "body", "main", "article")
-        bad = bad or tag in _BOILERPLATE or marked or bool(attributes and _HIDDEN.search(attributes))
+        _, container, mark, link = self._open[-1]
+        names, share = _names(attributes) if "=" in attributes or "hidden" in attributes else ([], 0.0)
+        if tag in ("html", "body", "main", "article"):
+            share = 0.0
+        if tag in ("form", "fieldset"):
+            share = max(share, WRAPPER_SHARE)
+        elif tag in _BOILERPLATE:
+            mark = -1
+        if attributes and _HIDDEN.search(attributes):
+            mark = -1
+        if share and mark >= 0:
+            self._marks.append((mark, share))
+            mark = len(self._marks) - 1
         if tag in _CONTAINERS:
             path = self.paths[container]
             if path.count(">") < MAX_DEPTH:
@@ -143,7 +178,7 @@ class Page:
             self.paths.append(path)
             self.parents.append(container)
             container = len(self.paths) - 1
-        self._open.append((tag, container, bad, link or tag == "a"))
+        self._open.append((tag, container, mark, link or tag == "a"))
 
     def _close_open(self, tag: str, within: list[str] | tuple[str, ...]) -> None:
         """Close an open tag, unless one of within was opened inside it."""

@@ -206,6 +206,17 @@ def test_page_text_without_the_rest(spark):
     assert got == {1: "T & x\nSome text here\nq", 2: "", 3: "", 4: "plain <text"}
 
 
+def test_pages_inside_marked_wrappers():
+    long = "Some words of the article. " * 30
+    inner = f'<h1>T</h1><p>{long}</p><div class="sidebar">x y</div><p>End <span class="share-links">tweet</span> of it.</p>'
+    expected = "\n".join(["T", long.strip(), "End of it."])
+    for wrapper in ("div id=page class='site has-sidebar'", "div class=content-with-sidebar", "div class=layout-right-side", "section class=post-share-wrap", "div class='entry related-1'", "form action=x", "div class=overlay"):
+        html = f"<body><nav>n</nav><{wrapper}>{inner}</{wrapper.split()[0]}><div class='related-2'>More</div><form>f</form></body>"
+        assert html_extract.extract(html, []) == expected, wrapper
+    comments = f"<body><div class=post><p>{long}</p></div><div class=comment-list>{long}</div></body>"
+    assert html_extract.extract(comments, []) == long.strip()
+
+
 def test_mix_repeats_documents_by_rate(spark):
     docs = spark.createDataFrame([(i, "w " * 10, "a" if i < 900 else "b") for i in range(1000)], "doc_id long, text string, source string")
     taken = {r.source: r.n for r in mixing.mix(docs).groupBy("source").agg(F.count("*").alias("n")).collect()}
