@@ -5,7 +5,9 @@ path is the tags and classes from the body down to it, digits replaced by "#". I
 a first pass every page scores its containers by the text outside links in their
 own blocks and votes for the best one's path; Spark counts the votes of each host.
 In a second pass a page is extracted again from the first of its host's winning
-paths that it has, or from its own best container if it has none.
+paths that holds about as much text there as the page's own best container, or from
+that container if none does. The best container is widened to parents as long as
+what they add is mostly text outside links.
 
 What is cut inside a container: elements whose tag or class says menu, header,
 footer, sidebar, notice, advert, form, comments, script or style. A form, or a mark
@@ -30,8 +32,10 @@ from pyspark.sql import functions as F
 
 from .storage import materialize, small_batches
 
-#: Winning paths kept for a host, and how many hosts' paths are broadcast at most.
-PATHS_PER_HOST, BROADCAST_ROWS = 5, 20_000
+#: Least share of a host's votes that a path needs, and how many paths are broadcast at most.
+VOTE_SHARE, BROADCAST_ROWS = 0.01, 20_000
+#: A winning path is taken if it holds this share of the text of the page's own best container.
+AS_MUCH = 0.95
 #: A mark doesn't count from this share of the page's text on: a form or a name with a marked part, and a name that is a mark as a whole.
 WRAPPER_SHARE, WHOLE_SHARE = 0.67, 0.95
 #: A path of generalised names this deep is cut; deeper containers share it.
@@ -190,7 +194,7 @@ class Page:
                 return
 
     def best(self) -> int:
-        """The container with the highest score: text outside links in its own blocks, and part of what its children have."""
+        """The container with the highest score (text outside links in its own blocks, and part of what its children have), widened."""
         own = [0.0] * len(self.paths)
         for container, text, link in self.blocks:
             own[container] += max(0, len(text) - 2 * link)
@@ -199,16 +203,48 @@ class Page:
             up = self.parents[i]
             score[up] += 0.8 * score[i]
         # an article or main element gets what a container around it can't make up
-        for i, path in enumerate(self.paths):
-            if re.match("article|main", path.rsplit(">", 1)[-1]):
+        for i in range(len(self.paths)):
+            if self._named(i):
                 score[i] *= 1.5
-        return max(range(len(score)), key=lambda i: (score[i], -i))
+        return self._widened(max(range(len(score)), key=lambda i: (score[i], -i)))
 
-    def text(self, containers: set[int]) -> str:
-        """All blocks inside the containers, in page order."""
+    def _named(self, i: int) -> bool:
+        return bool(re.match("(article|main)(\\.|$)", self.paths[i].rsplit(">", 1)[-1]))
+
+    def _widened(self, best: int) -> int:
+        """The last container around best up to which each one adds nothing, or text mostly outside links; around article or main only such."""
+        length, links = [0] * len(self.paths), [0] * len(self.paths)
+        for container, text, link in self.blocks:
+            length[container] += len(text)
+            links[container] += min(link, len(text))
+        for i in range(len(length) - 1, 0, -1):
+            length[self.parents[i]] += length[i]
+            links[self.parents[i]] += links[i]
+        at = best
+        while self.parents[at] >= 0:
+            up = self.parents[at]
+            more, linked = length[up] - length[at], links[up] - links[at]
+            if self._named(best) and not self._named(up) or 2 * linked > more:
+                break
+            at = up
+            if more:
+                best = up
+        return best
+
+    def plain(self, containers: set[int]) -> int:
+        """Length of the text outside links inside the containers."""
+        inside = self._inside(containers)
+        return sum(max(0, len(text) - link) for container, text, link in self.blocks if inside[container])
+
+    def _inside(self, containers: set[int]) -> list[bool]:
         inside = [i in containers for i in range(len(self.paths))]
         for i in range(1, len(inside)):
             inside[i] = inside[i] or inside[self.parents[i]]
+        return inside
+
+    def text(self, containers: set[int]) -> str:
+        """All blocks inside the containers, in page order."""
+        inside = self._inside(containers)
         return "\n".join(text for container, text, _ in self.blocks if inside[container])
 
 
@@ -224,15 +260,17 @@ def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def extract(html: str | None, winners: list[str]) -> str:
-    """The main text from the first of winners that the page has text in, or from its own best container."""
+    """The main text from the first of winners that holds about as much as the page's own best container, or from that one."""
     page = Page(html)
     if not page.blocks:
         return ""
+    best = {page.best()}
+    least = AS_MUCH * page.plain(best)
     for path in winners:
-        found = page.text({i for i, p in enumerate(page.paths) if p == path})
-        if found:
+        at = {i for i, p in enumerate(page.paths) if p == path}
+        if at and page.plain(at) >= least and (found := page.text(at)):
             return found
-    return page.text({page.best()})
+    return page.text(best)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,9 +280,10 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """(host, winners): each host's paths with the most votes, the most voted first; ties by path."""
+    """(host, winners): each host's paths with VOTE_SHARE of its votes or more, the most voted first; ties by path."""
     votes = pages.select("host", "html").mapInArrow(_vote, "host string, path string").groupBy("host", "path").agg(F.count("*").alias("votes"))
-    ranked = votes.withColumn("place", F.row_number().over(Window.partitionBy("host").orderBy(F.desc("votes"), "path"))).where(F.col("place") <= PATHS_PER_HOST)
+    enough = votes.withColumn("all", F.sum("votes").over(Window.partitionBy("host"))).where(F.col("votes") >= VOTE_SHARE * F.col("all"))
+    ranked = enough.withColumn("place", F.row_number().over(Window.partitionBy("host").orderBy(F.desc("votes"), "path")))
     return ranked.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("place", "path")))["path"].alias("winners"))
 
 
@@ -254,7 +293,7 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     host = F.coalesce(F.lower(F.regexp_extract(url_col, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host"))
     paths = materialize(host_paths(rows), "paths")
-    few = paths.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    few = (paths.agg(F.sum(F.size("winners"))).first()[0] or 0) <= BROADCAST_ROWS
     joined = rows.join(F.broadcast(paths) if few else paths, "host", "left").select("page_id", "url", "html", "winners")
     kinds = {f.name: f.dataType.simpleString() for f in joined.schema.fields}
     return joined.mapInArrow(_extract, f"page_id {kinds['page_id']}, url {kinds['url']}, text string")

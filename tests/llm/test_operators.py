@@ -217,6 +217,19 @@ def test_pages_inside_marked_wrappers():
     assert html_extract.extract(comments, []) == long.strip()
 
 
+def test_container_choice_keeps_whole_articles(spark):
+    long = "Some words of the article. " * 30
+    parts = f"<div class=post><h1>T</h1><div class=body>{long}</div><div class=end>last part of it</div></div>"
+    post = f"<body><ul><li><a href=x>link link link</a></ul>{parts}</body>"
+    other = f"<body><div class=post><div class=body>teaser</div></div><table><tr><td class=story><p>{long}</table></body>"
+    layouts = [f"<body><article class='{chr(97 + i)}'>{long}</article></body>" for i in range(7)]
+    rows = [(i, "http://a.b/x", post) for i in range(5)] + [(9, "http://a.b/y", other)] + [(20 + i, "http://c.d/", h) for i, h in enumerate(layouts)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract_pages(pages).collect()}
+    assert got[0] == "\n".join(["T", long.strip(), "last part of it"]) and long.strip() in got[9]
+    assert all(got[20 + i] == long.strip() for i in range(7))
+
+
 def test_mix_repeats_documents_by_rate(spark):
     docs = spark.createDataFrame([(i, "w " * 10, "a" if i < 900 else "b") for i in range(1000)], "doc_id long, text string, source string")
     taken = {r.source: r.n for r in mixing.mix(docs).groupBy("source").agg(F.count("*").alias("n")).collect()}
