@@ -181,3 +181,38 @@ def graph_nodes(x: DataFrame) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("cost"), "label")).cast("long")
     limit = F.coalesce(F.create_map(*[F.lit(v) for pair in NODE_LIMITS.items() for v in pair])[F.col("kind")].cast("long"), F.lit((1 << 62)))
     return sums.withColumn("place", place).where(F.col("place") <= limit)
+
+
+# Edges kept of each project; other relations have no limit.
+EDGE_LIMITS = {"project_model": 6, "project_core": 5, "project_mcp": 5}
+
+
+def all_graph_edges(x: DataFrame) -> DataFrame:
+    """Edges of graph_edges with capabilities as core tools and MCP servers apart, of projects and of tools."""
+    end = lambda kind, c: F.concat(F.lit(f"{kind}:"), c)
+    uses = lambda kind, names: F.transform(names, lambda n: F.struct(F.lit(kind).alias("kind"), end(kind, n).alias("id")))
+    rows = x.withColumn("uses", F.concat(uses("core", core_tools()), uses("mcp", mcp_servers())))
+    edge = lambda relation, a, b, share: F.struct(relation.alias("relation"), a.alias("source"), b.alias("target"), share.alias("share"))
+    p, t, m, one = end("project", F.col("identity")), end("tool", F.col("tool")), end("model", F.col("canonical")), F.lit(1.0)
+    whole = F.array(edge(F.lit("project_tool"), p, t, one), edge(F.lit("project_model"), p, m, one), edge(F.lit("tool_model"), t, m, one))
+    shared = lambda kind, a: F.transform("uses", lambda u: edge(F.concat(F.lit(f"{kind}_"), u["kind"]), a, u["id"], 1.0 / F.size("uses")))
+    split = [shared("project", p), shared("tool", t)]
+    made = rows.select("session_key", "cost", "tokens", F.explode(F.concat(whole, *split)).alias("e")).select("session_key", "cost", "tokens", "e.*")
+    return made.groupBy("relation", "source", "target").agg(F.round(F.sum(F.col("cost") * F.col("share")), 6).alias("cost"), F.round(F.sum(F.col("tokens") * F.col("share")), 4).alias("tokens"), F.count("*").alias("calls"), F.count_distinct("session_key").alias("sessions"))
+
+
+def kept_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges between nodes that are kept, the costliest of each project up to EDGE_LIMITS."""
+    ids = nodes.select(F.concat_ws(":", "kind", "label").alias("id"))
+    for c in ("source", "target"):
+        edges = edges.join(ids, F.col(c) == F.col("id"), "left_semi")
+    w = Window.partitionBy("relation", "source").orderBy(F.desc("cost"), "target")
+    limit = F.create_map(*[F.lit(v) for pair in EDGE_LIMITS.items() for v in pair])[F.col("relation")]
+    return edges.withColumn("place", F.row_number().over(w).cast("long")).where(limit.isNull() | (F.col("place") <= limit))
+
+
+def kept_nodes(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The nodes that an edge of kept_edges has."""
+    kept = kept_edges(edges, nodes)
+    ends = kept.select(F.col("source").alias("id")).union(kept.select("target")).distinct()
+    return nodes.join(ends, F.concat_ws(":", "kind", "label") == F.col("id"), "left_semi")

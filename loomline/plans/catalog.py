@@ -347,6 +347,26 @@ _over_calls("G03_graph_nodes", turns.graph_nodes, """
 g AS (SELECT kind, label, round(sum(cost * share), 6) AS cost, round(sum(tokens * share), 4) AS tokens, count(*)::BIGINT AS calls, count(DISTINCT session_key)::BIGINT AS sessions FROM e GROUP BY kind, label)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY cost DESC, label)::BIGINT AS place FROM g) WHERE place <= CASE kind WHEN 'project' THEN 30 WHEN 'model' THEN 24 WHEN 'tool' THEN 1000000 ELSE 12 END""")
 
+_KEPT = """
+, u AS (SELECT session_key, cost, tokens, identity, tool, unnest(tools) AS c, len(tools) AS n FROM x),
+cap AS (SELECT *, CASE WHEN starts_with(c, 'mcp__') THEN 'mcp' ELSE 'core' END AS kind, CASE WHEN starts_with(c, 'mcp__') THEN split_part(c, '__', 2) ELSE c END AS label FROM u),
+n0 AS (SELECT session_key, cost, tokens, 'project' AS kind, identity AS label, 1.0::DOUBLE AS share FROM x UNION ALL SELECT session_key, cost, tokens, 'tool', tool, 1.0 FROM x UNION ALL SELECT session_key, cost, tokens, 'model', canonical, 1.0 FROM x
+  UNION ALL SELECT session_key, cost, tokens, kind, label, 1.0::DOUBLE / n FROM cap),
+n1 AS (SELECT kind, label, round(sum(cost * share), 6) AS cost, round(sum(tokens * share), 4) AS tokens, count(*)::BIGINT AS calls, count(DISTINCT session_key)::BIGINT AS sessions FROM n0 GROUP BY kind, label),
+n2 AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY cost DESC, label)::BIGINT AS place FROM n1),
+nodes AS (SELECT *, kind || ':' || label AS id FROM n2 WHERE kind = 'tool' OR place <= CASE kind WHEN 'project' THEN 30 WHEN 'model' THEN 24 ELSE 12 END),
+e0 AS (SELECT session_key, cost, tokens, 'project_tool' AS relation, 'project:' || identity AS source, 'tool:' || tool AS target, 1.0::DOUBLE AS share FROM x
+  UNION ALL SELECT session_key, cost, tokens, 'project_model', 'project:' || identity, 'model:' || canonical, 1.0 FROM x UNION ALL SELECT session_key, cost, tokens, 'tool_model', 'tool:' || tool, 'model:' || canonical, 1.0 FROM x
+  UNION ALL SELECT session_key, cost, tokens, 'project_' || kind, 'project:' || identity, kind || ':' || label, 1.0::DOUBLE / n FROM cap UNION ALL SELECT session_key, cost, tokens, 'tool_' || kind, 'tool:' || tool, kind || ':' || label, 1.0::DOUBLE / n FROM cap),
+e1 AS (SELECT relation, source, target, round(sum(cost * share), 6) AS cost, round(sum(tokens * share), 4) AS tokens, count(*)::BIGINT AS calls, count(DISTINCT session_key)::BIGINT AS sessions FROM e0 GROUP BY ALL),
+e2 AS (SELECT *, row_number() OVER (PARTITION BY relation, source ORDER BY cost DESC, target)::BIGINT AS place FROM e1 WHERE source IN (SELECT id FROM nodes) AND target IN (SELECT id FROM nodes)),
+kept AS (SELECT * FROM e2 WHERE place <= CASE relation WHEN 'project_model' THEN 6 WHEN 'project_core' THEN 5 WHEN 'project_mcp' THEN 5 ELSE place END)
+"""
+# G04_bounded_edges has one limit for all relations; these two follow the reference's limits and drop what isn't connected
+_over_calls("G04_kept_edges", lambda x: turns.kept_edges(turns.all_graph_edges(x), turns.graph_nodes(x)), _KEPT + "SELECT * FROM kept")
+_over_calls("G04_kept_nodes", lambda x: turns.kept_nodes(turns.all_graph_edges(x), turns.graph_nodes(x)), _KEPT + """
+SELECT * EXCLUDE (id) FROM nodes WHERE id IN (SELECT source FROM kept UNION ALL SELECT target FROM kept)""")
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The by-model table with ranks, over one month."""

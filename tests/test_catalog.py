@@ -64,3 +64,17 @@ def test_streaks_and_empty_input(spark):
     x = usage.enrich(catalog.tables.calls(spark, SF)).limit(0)
     assert turns.streaks(turns.turns(x)).count() == 0
     assert usage.period_totals(x).first().calls == 0
+
+
+def test_edges_are_limited_by_relation_and_end_in_kept_nodes(spark):
+    tools = [f"c{i}" for i in range(6)] + [f"mcp__s{i}__t" for i in range(6)]
+    calls = [("s", 1.0 + i, 10, "p", "t", f"m{i}", tools) for i in range(8)] + [("s", 0.001, 1, f"q{i:02}", "t", f"n{i:02}", []) for i in range(40)]
+    x = spark.createDataFrame(calls, "session_key string, cost double, tokens long, identity string, tool string, canonical string, tools array<string>")
+    edges, nodes = turns.all_graph_edges(x), turns.graph_nodes(x)
+    kept = turns.kept_edges(edges, nodes).collect()
+    n = lambda relation, source: sum((r.relation, r.source) == (relation, source) for r in kept)
+    assert [n("project_model", "project:p"), n("project_core", "project:p"), n("project_mcp", "project:p"), n("tool_core", "tool:t"), n("tool_model", "tool:t")] == [6, 5, 5, 6, 24]
+    assert n("project_tool", "project:q28") == 1 and n("project_tool", "project:q29") == 0
+    # a project whose only model is beyond the limit keeps its tool; a node without any edge goes
+    alone = nodes.union(spark.createDataFrame([("core", "z", 0.0, 0.0, 0, 0, 99)], nodes.schema))
+    assert "z" not in {r.label for r in turns.kept_nodes(edges, alone).collect()}
