@@ -15,8 +15,9 @@ classes and a target recall at the threshold, where hashes agree least.
 Defined results: vectors that are null, empty, zero, or hold null or non-finite
 components link with nothing and are their own component; vectors of different
 lengths don't link; copies link with each other; a null vec_id gets no component
-and isn't compared; repeated vec_ids are one node; an empty table gives an empty
-table. Only the named columns are read.
+and isn't compared; a vec_id with several vectors is one node for components, and
+each of its rows counts the links of that row's vector; an empty table gives an
+empty table. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -37,18 +38,21 @@ THRESHOLD, WINDOW, RECALL, BITS, SEED = 0.95, 512, 0.999, 48, 20240131
 LEAST_PASSES, CHUNK_WINDOWS = 8, 4
 
 
+def prefix_bits(classes: int, window: int = WINDOW) -> int:
+    """So many leading bits that a run of evenly spread classes is no longer than the window."""
+    return min(BITS, max(1, math.ceil(math.log2(max(2, classes / window)))))
+
+
 def passes_for(classes: int, threshold: float = THRESHOLD, window: int = WINDOW, recall: float = RECALL) -> int:
-    """Passes after which a pair at the threshold has met in some window with probability recall."""
+    """Passes after which a pair at the threshold has shared the leading bits in some pass with probability recall.
+
+    Such a pair is always compared, however dense its run is; windows only add to that.
+    """
     agree = 1 - math.acos(threshold) / math.pi
-    meets = agree ** max(1.0, math.log2(max(2, classes) / window))
+    meets = agree ** prefix_bits(classes, window)
     return max(LEAST_PASSES, math.ceil(math.log(1 - recall) / math.log(1 - meets)))
 
 
-def prefix_bits(classes: int, window: int = WINDOW) -> int:
-    """So many leading bits that a run of evenly spread classes is a sixteenth of the window."""
-    return min(BITS, max(1, math.ceil(math.log2(max(2, 16 * classes / window)))))
-
-
 def _unit_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Unit vectors padded to one length, and their own lengths."""
     lengths = np.diff(column.offsets.to_numpy())
@@ -158,13 +162,19 @@ def embedding_dedup(table: DataFrame, id_col: str = "vec_id", vector_col: str =
     rows = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vec"))
     finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0)
     usable = rows.where(F.col("vec_id").isNotNull() & finite)
-    classes = materialize(usable.groupBy("vec").agg(F.min("vec_id").alias("node"), F.count_distinct("vec_id").alias("copies"), F.max("vec_id").alias("most")), "classes")
-    # a vec_id that is the smallest of two classes stands for the class that sorts first; the others are left as they are
-    classes = materialize(classes.groupBy("node").agg(F.min_by("vec", "vec").alias("vec"), F.min_by("copies", "vec").alias("copies")), "classes")
-    found = materialize(class_links(classes, threshold, window), "links")
+    # a written table: a class's number stays the same however often it is read
+    classes = usable.groupBy("vec").agg(F.min("vec_id").alias("least"), F.count_distinct("vec_id").alias("copies"))
+    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    found = materialize(class_links(classes.select("node", "vec", "copies"), threshold, window), "links")
     sums = found.groupBy("node").agg(F.sum("links").alias("links"))
-    groups = connected_components(found.select("node", "root"), "node", "root").withColumnRenamed("component", "group")
-    known = classes.join(sums, "node", "left").join(groups, "node", "left").select("vec", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("group", "node").alias("group"))
+    # a vec_id with several vectors ties their classes together
+    several = usable.groupBy("vec_id").agg(F.count("*").alias("n")).where("n > 1")
+    several = materialize(usable.join(several, "vec_id", "left_semi").join(classes, "vec").select("vec_id", "node"), "several")
+    ties = several.join(several.groupBy("vec_id").agg(F.min("node").alias("root")), "vec_id").select("node", "root")
+    groups = materialize(connected_components(found.select("node", "root").unionByName(ties), "node", "root"), "groups")
+    least = classes.join(groups, "node").groupBy("component").agg(F.min("least").alias("group"))
+    groups = groups.join(least, "component").select("node", "group")
+    known = classes.join(sums, "node", "left").join(groups, "node", "left").select("vec", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("group", "least").alias("group"))
     own = rows.where(F.col("vec_id").isNotNull() & finite).join(known, "vec", "left").select("vec_id", "links", "group")
     rest = rows.where(~(F.col("vec_id").isNotNull() & F.coalesce(finite, F.lit(False)))).select("vec_id", F.lit(None).cast("long").alias("links"), F.lit(None).cast("long").alias("group"))
     return own.unionByName(rest).select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("group", "vec_id").alias("component_id"), F.coalesce(F.coalesce("group", "vec_id") == F.col("vec_id"), F.lit(False)).alias("kept"))
