@@ -1,18 +1,28 @@
 """HTML extraction by consensus paths of a host's pages.
 
 Each page is read as blocks of text inside containers. A container's generalised
-path is the tags and classes from the body down to it, digits replaced by "#". In
-a first pass every page scores its containers by the text outside links in their
-own blocks and votes for the best one's path; Spark counts the votes of each host.
-In a second pass a page is extracted again from the first of its host's winning
-paths that holds about as much text there as the page's own best container, or from
-that container if none does. The best container is widened to parents as long as
+path is the tags and classes from the body down to it, digits replaced by "#", held
+as a digest so that depth costs nothing. In a first pass every page scores its
+containers by the text outside links in their own blocks and votes for the best
+one's path; it also names the boxes inside that container with their texts. Spark
+counts both by host: paths with enough votes win, and a box whose text stands on
+half of the host's pages is part of the template, not of an article.
+
+In a second pass a page is extracted again, without template boxes, from the first
+winning path that holds about as much text as its own best container. A page whose
+own best isn't a winner follows the host's majority path if that holds a fair share
+of its text, else its own best. The best container is widened to parents as long as
 what they add is mostly text outside links.
 
 What is cut inside a container: elements whose tag or class says menu, header,
-footer, sidebar, notice, advert, form, comments, script or style. A form, or a mark
-in a class, id or role, doesn't count on an element that holds most of the page's
-text outside links: such an element is a wrapper.
+footer, sidebar, notice, advert, form, comments, script or style. A name says so if
+all its words are marks or words of layout: "ad-box" does, "side-effects" doesn't. A
+form, or a mark in a class, id or role, doesn't count on an element that holds most
+of the page's text outside links: such an element is a wrapper.
+
+Tags are scanned once from left to right. A quote opens a value only after "=", an
+unclosed one ends at the next ">"; an unclosed comment, script or style runs to the
+end, as in browsers; other unclosed raw elements lose their tag only.
 
 Defined results: null and empty html give the empty text; html without any
 container is read from the body; a null or unreadable url has the empty host;
@@ -23,59 +33,72 @@ the named columns are read.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import materialize, small_batches
 
-#: Least share of a host's votes that a path needs, and how many paths are broadcast at most.
-VOTE_SHARE, BROADCAST_ROWS = 0.01, 20_000
-#: A winning path is taken if it holds this share of the text of the page's own best container.
-AS_MUCH = 0.95
-#: A mark doesn't count from this share of the page's text on: a form or a name with a marked part, and a name that is a mark as a whole.
+#: Least share of a host's votes that a path needs, and their least number; how many paths and boxes are broadcast at most.
+VOTE_SHARE, LEAST_VOTES, BROADCAST_ROWS = 0.01, 2, 20_000
+#: A box is part of the template from this share of the host's pages on, and this number of them.
+BOX_SHARE, BOX_PAGES = 0.5, 3
+#: A winning path is taken if it holds this share of the text of the page's own best container; the majority's path, if that isn't a winner, from the second on.
+AS_MUCH, FAIR = 0.95, 0.25
+#: A mark doesn't count from this share of the page's text on: a form or a name of several words, and a name that is a mark as a whole.
 WRAPPER_SHARE, WHOLE_SHARE = 0.67, 0.95
-#: A path of generalised names this deep is cut; deeper containers share it.
-MAX_DEPTH = 40
-_TAG = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"""
-    r"""|<(script|style|noscript|template|iframe|svg|math|object|title|textarea|select)\b(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</\1\s*>|\Z)"""
-    r"""|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""",
-    re.S | re.I,
-)
-_NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
+_VALUE = re.compile(r"[=>]")
+_UNQUOTED = re.compile(r"[\s>]")
+_NAMED = re.compile(r"""(?<![^\s"'])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 # HTML element names by role.
+_RAW = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>?", re.I) for t in "script style title textarea iframe noembed noframes xmp".split()}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _CONTAINERS = frozenset("html body main article section div td center".split())
+_BOXES = frozenset("div section".split())
 _BLOCKS = frozenset("address blockquote caption center dd details dialog div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hgroup hr li main menu ol p pre section article summary table tbody td tfoot th thead tr ul body html head search".split())
 _BOILERPLATE = frozenset("nav header footer aside form button dialog head menu select label fieldset".split())
+_DRAWN = frozenset("svg noscript template".split())
 _CLOSES_P = _BLOCKS - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "li", "dd", "dt", "body", "html", "head"}
 _CLOSED_BY_SAME = {"li": "ul ol menu", "dd": "dl", "dt": "dl", "tr": "table", "td": "table tr", "th": "table tr", "option": ""}
-# Words of classes, ids and roles that mark what isn't the article.
+# Words of classes, ids and roles that mark what isn't the article, and words of layout that may stand beside them.
 _NOT_ARTICLE = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion promoted popup modal overlay"
     " nav navbar navigation menu breadcrumb breadcrumbs toc pagination pager header masthead topbar footer colophon copyright"
     " sidebar side aside widget widgets rail related recommended recommendations trending popular tags share sharing social"
     " comment comments respond disqus replies discussion cookie cookies consent gdpr notice notices alert disclaimer"
-    " newsletter subscribe subscription signup login search searchbox form byline-links skip skip-link hidden contentinfo complementary".split()
+    " newsletter subscribe subscription signup login search searchbox form skip hidden contentinfo complementary".split()
+)
+_LAYOUT = frozenset(
+    "site page global top bottom left right main primary secondary box boxes wrap wrapper container block list item items inner outer bar area section sections"
+    " post posts article articles entry story content body links link text title js icon icons button buttons panel col column slot unit zone group small large mobile desktop fixed sticky byline to".split()
 )
 
 
+@lru_cache(1 << 16)
+def _mark(name: str) -> float:
+    """The share of a page's text from which a mark in a name doesn't count; 0: no mark."""
+    words = [w for w in re.split(r"[-_0-9]+", re.sub("([a-z])([A-Z])", r"\1-\2", name).lower()) if len(w) > 1]
+    if not any(w in _NOT_ARTICLE for w in words) or not all(w in _NOT_ARTICLE or w in _LAYOUT for w in words):
+        return 0.0
+    return WHOLE_SHARE if len(words) == 1 else WRAPPER_SHARE
+
+
 def _names(attributes: str) -> tuple[list[str], float]:
-    """Generalised class and id names, and the share of text from which a mark among them doesn't count (0: no mark)."""
+    """Generalised class names, and the share of text from which a mark in a class, id or role doesn't count."""
     names, mark = [], 0.0
     for kind, a, b, c in _NAMED.findall(attributes):
-        for name in unescape(a or b or c).lower().split():
-            if name in _NOT_ARTICLE:
-                mark = WHOLE_SHARE
-            elif any(w in _NOT_ARTICLE for w in re.split(r"[-_0-9]+", name)):
-                mark = max(mark, WRAPPER_SHARE)
+        for name in unescape(a or b or c).split():
+            mark = max(mark, _mark(name))
             if kind.lower() == "class":
-                names.append(re.sub("[0-9]+", "#", name))
+                names.append(re.sub("[0-9]+", "#", name.lower()))
     return sorted(set(names)), mark
 
 
@@ -83,8 +106,8 @@ class Page:
     """Blocks of text, each with its container, and the containers' paths."""
 
     def __init__(self, html: str | None):
-        #: Path and parent of each container; the first is the document itself.
-        self.paths, self.parents = [""], [-1]
+        #: Path (a digest), last name and parent of each container; the first is the document itself.
+        self.paths, self.names, self.parents = [""], [""], [-1]
         #: Container, text and length of link text of each block outside boilerplate.
         self.blocks: list[tuple[int, str, int]] = []
         # marks: the one around it, and the share of text from which it doesn't count; the first is none
@@ -92,20 +115,63 @@ class Page:
         # pieces of the open block, and of the ended ones with their container: mark, text, whether in a link
         self._text: list[tuple[int, str, bool]] = []
         self._ended: list[tuple[int, list[tuple[int, str, bool]]]] = []
-        # open elements: tag, container, mark (-1: inside boilerplate), whether inside a link
+        # open elements: tag, container, mark (-1: inside boilerplate), whether inside a link; and how many of each tag
         self._open: list[tuple[str, int, int, bool]] = [("", 0, 0, False)]
-        at = 0
-        html = html or ""
-        for m in _TAG.finditer(html):
-            if m.start() > at:
-                self._add(html[at : m.start()])
-            at = m.end()
-            if m.group(3):
-                self._tag(m.group(3).lower(), bool(m.group(2)), m.group(4))
-        self._add(html[at:])
+        self._count: Counter[str] = Counter()
+        self._scan(html or "")
         self._end_block()
         self._choose_blocks()
 
+    def _scan(self, html: str) -> None:
+        """Hand on texts and tags, each character looked at a fixed number of times."""
+        at, unclosed = 0, set()
+        while (lt := html.find("<", at)) >= 0:
+            name = _NAME.match(html, lt + 1)
+            follows = html[lt + 1 : lt + 2]
+            if not name and follows not in ("!", "?", "/"):
+                self._add(html[at : lt + 1])
+                at = lt + 1
+                continue
+            self._add(html[at:lt])
+            if not name:  # a comment, a declaration or a broken end tag
+                stop = "-->" if html.startswith("!--", lt + 1) else "]]>" if html.startswith("![CDATA[", lt + 1) else ">"
+                end = html.find(stop, lt + 2)
+                at = end + len(stop) if end >= 0 else len(html)
+                continue
+            end = self._tag_end(html, name.end())
+            tag, closing = name.group(1).lower(), follows == "/"
+            at = min(len(html), end + 1)
+            if tag in _RAW and not closing:
+                close = None if tag in unclosed else _RAW[tag].search(html, at)
+                if close:
+                    at = close.end()
+                elif tag in ("script", "style"):
+                    at = len(html)
+                else:
+                    unclosed.add(tag)
+            elif end < len(html):
+                self._tag(tag, closing, html[name.end() : end])
+        self._add(html[at:])
+
+    @staticmethod
+    def _tag_end(html: str, at: int) -> int:
+        """Where the tag's ">" stands; the end of html if nowhere."""
+        while m := _VALUE.search(html, at):
+            at = m.end()
+            if m.group() == ">":
+                return m.start()
+            while html[at : at + 1].isspace():
+                at += 1
+            if html[at : at + 1] in ('"', "'"):
+                close = html.find(html[at], at + 1)
+                if close < 0:
+                    end = html.find(">", at)
+                    return end if end >= 0 else len(html)
+                at = close + 1
+            elif m := _UNQUOTED.search(html, at):
+                at = m.start()
+        return len(html)
+
     def _add(self, raw: str) -> None:
         _, _, mark, link = self._open[-1]
         if mark >= 0 and raw:
@@ -140,33 +206,41 @@ class Page:
         while len(self._open) > depth:
             if self._open[-1][0] in _BLOCKS or self._open[-1][0] in _BOILERPLATE:
                 self._end_block()
-            self._open.pop()
+            self._count[self._open.pop()[0]] -= 1
+
+    def _close_last(self, tag: str) -> None:
+        for depth in range(len(self._open) - 1, 0, -1):
+            if self._open[depth][0] == tag:
+                self._close_to(depth)
+                return
 
     def _tag(self, tag: str, closing: bool, attributes: str) -> None:
         if closing:
-            for depth in range(len(self._open) - 1, 0, -1):
-                if self._open[depth][0] == tag:
-                    self._close_to(depth)
-                    return
-            if tag in _BLOCKS:
+            if self._count[tag] > 0:
+                self._close_last(tag)
+            elif tag in _BLOCKS:
                 self._end_block()
             return
         if tag == "br":
             self._add("\n")
             return
         if tag in _BLOCKS or tag in _BOILERPLATE:
+            while self._count["svg"] > 0:  # a block never stands inside a drawing
+                self._close_last("svg")
             self._end_block()
             if tag in _CLOSES_P:
                 self._close_open("p", ("td", "th", "li", "blockquote", "div", "section", "article", "main", "body"))
             if tag in _CLOSED_BY_SAME:
                 self._close_open(tag, _CLOSED_BY_SAME[tag].split())
+        if tag == "a" and self._count["a"] > 0:
+            self._close_last("a")
         if tag in _VOID or attributes.endswith("/") and tag not in _BLOCKS:
             return
         _, container, mark, link = self._open[-1]
-        names, share = _names(attributes) if "=" in attributes or "hidden" in attributes else ([], 0.0)
+        names, share = _names(attributes) if "=" in attributes else ([], 0.0)
         if tag in ("html", "body", "main", "article"):
             share = 0.0
-        if tag in ("form", "fieldset"):
+        if tag in ("form", "fieldset") or tag in _DRAWN:
             share = max(share, WRAPPER_SHARE)
         elif tag in _BOILERPLATE:
             mark = -1
@@ -176,16 +250,18 @@ class Page:
             self._marks.append((mark, share))
             mark = len(self._marks) - 1
         if tag in _CONTAINERS:
-            path = self.paths[container]
-            if path.count(">") < MAX_DEPTH:
-                path = f"{path}>{'.'.join([tag, *names])}"
-            self.paths.append(path)
+            name = ".".join([tag, *names])
+            self.paths.append(xxhash.xxh3_128_hexdigest(f"{self.paths[container]}>{name}"))
+            self.names.append(name)
             self.parents.append(container)
             container = len(self.paths) - 1
         self._open.append((tag, container, mark, link or tag == "a"))
+        self._count[tag] += 1
 
     def _close_open(self, tag: str, within: list[str] | tuple[str, ...]) -> None:
         """Close an open tag, unless one of within was opened inside it."""
+        if self._count[tag] <= 0:
+            return
         for depth in range(len(self._open) - 1, 0, -1):
             if self._open[depth][0] == tag:
                 self._close_to(depth)
@@ -209,7 +285,7 @@ class Page:
         return self._widened(max(range(len(score)), key=lambda i: (score[i], -i)))
 
     def _named(self, i: int) -> bool:
-        return bool(re.match("(article|main)(\\.|$)", self.paths[i].rsplit(">", 1)[-1]))
+        return self.names[i].split(".", 1)[0] in ("article", "main")
 
     def _widened(self, best: int) -> int:
         """The last container around best up to which each one adds nothing, or text mostly outside links; around article or main only such."""
@@ -231,60 +307,89 @@ class Page:
                 best = up
         return best
 
-    def plain(self, containers: set[int]) -> int:
+    def boxes(self, around: int) -> dict[int, str]:
+        """Containers inside one that are boxes with text, each with a digest of its path, texts and containers."""
+        digests: dict[int, xxhash.xxh3_128] = {}
+        for container, text, _ in self.blocks:
+            digests.setdefault(container, xxhash.xxh3_128(self.paths[container])).update(text)
+        for i in range(len(self.paths) - 1, 0, -1):  # children come after their parents
+            if i in digests:
+                up = self.parents[i]
+                digests.setdefault(up, xxhash.xxh3_128(self.paths[up])).update(digests[i].digest())
+        inside = self._inside({around})
+        return {i: d.hexdigest() for i, d in digests.items() if i != around and inside[i] and self.names[i].split(".", 1)[0] in _BOXES}
+
+    def plain(self, containers: set[int], without: frozenset[int] | set[int] = frozenset()) -> int:
         """Length of the text outside links inside the containers."""
-        inside = self._inside(containers)
+        inside = self._inside(containers, without)
         return sum(max(0, len(text) - link) for container, text, link in self.blocks if inside[container])
 
-    def _inside(self, containers: set[int]) -> list[bool]:
-        inside = [i in containers for i in range(len(self.paths))]
+    def _inside(self, containers: set[int], without: frozenset[int] | set[int] = frozenset()) -> list[bool]:
+        inside, out = [i in containers for i in range(len(self.paths))], [i in without for i in range(len(self.paths))]
         for i in range(1, len(inside)):
+            out[i] = out[i] or out[self.parents[i]]
             inside[i] = inside[i] or inside[self.parents[i]]
-        return inside
+        return [a and not b for a, b in zip(inside, out, strict=True)]
 
-    def text(self, containers: set[int]) -> str:
+    def text(self, containers: set[int], without: frozenset[int] | set[int] = frozenset()) -> str:
         """All blocks inside the containers, in page order."""
-        inside = self._inside(containers)
+        inside = self._inside(containers, without)
         return "\n".join(text for container, text, _ in self.blocks if inside[container])
 
 
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, vote, box): a page's vote, or a box inside the container voted for."""
     for batch in batches:
-        hosts, paths = [], []
+        rows: list[tuple[str, str | None, str | None]] = []
         for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
             page = Page(html)
             if page.blocks:
-                hosts.append(host)
-                paths.append(page.paths[page.best()])
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string())], ["host", "path"])
+                best = page.best()
+                rows.append((host, page.paths[best], None))
+                rows += [(host, None, box) for box in set(page.boxes(best).values())]
+        columns = zip(*rows, strict=True) if rows else ([], [], [])
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["host", "vote", "box"])
 
 
-def extract(html: str | None, winners: list[str]) -> str:
-    """The main text from the first of winners that holds about as much as the page's own best container, or from that one."""
+def extract(html: str | None, winners: list[str], template: list[str] = (), majority: bool = False) -> str:
+    """The main text by the host's winning paths (most voted first, majority: whether the first has half of all votes), without its template's boxes."""
     page = Page(html)
     if not page.blocks:
         return ""
-    best = {page.best()}
-    least = AS_MUCH * page.plain(best)
+    best = page.best()
+    whole = page.plain({best})
+    known = set(template)
+    boxes = {at for at, digest in page.boxes(best).items() if digest in known} if known else set()
+    if boxes and 2 * page.plain({best}, boxes) < whole:  # copies of one page don't make it a template
+        boxes = set()
     for path in winners:
         at = {i for i, p in enumerate(page.paths) if p == path}
-        if at and page.plain(at) >= least and (found := page.text(at)):
+        if at and page.plain(at) >= AS_MUCH * whole and (found := page.text(at, boxes)):
+            return found
+    if majority and page.paths[best] not in winners:
+        at = {i for i, p in enumerate(page.paths) if p == winners[0]}
+        if at and page.plain(at) >= FAIR * whole and (found := page.text(at)):
             return found
-    return page.text(best)
+    return page.text({best}, boxes)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [extract(h, w or []) for h, w in zip(batch.column("html").to_pylist(), batch.column("winners").to_pylist(), strict=True)]
+        columns = (batch.column(c).to_pylist() for c in ("html", "winners", "template", "majority"))
+        texts = [extract(h, w or [], t or [], bool(m)) for h, w, t, m in zip(*columns, strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """(host, winners): each host's paths with VOTE_SHARE of its votes or more, the most voted first; ties by path."""
-    votes = pages.select("host", "html").mapInArrow(_vote, "host string, path string").groupBy("host", "path").agg(F.count("*").alias("votes"))
-    enough = votes.withColumn("all", F.sum("votes").over(Window.partitionBy("host"))).where(F.col("votes") >= VOTE_SHARE * F.col("all"))
-    ranked = enough.withColumn("place", F.row_number().over(Window.partitionBy("host").orderBy(F.desc("votes"), "path")))
-    return ranked.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("place", "path")))["path"].alias("winners"))
+    """(host, winners, template, majority): each host's paths with enough votes, the most voted first (ties by path), its template's boxes, and whether the first path has half of all votes."""
+    counts = materialize(pages.select("host", "html").mapInArrow(_vote, "host string, vote string, box string").groupBy("host", "vote", "box").agg(F.count("*").alias("n")), "votes")
+    voted = counts.where("vote is not null").groupBy("host").agg(F.sum("n").alias("all"))
+    both = counts.join(voted, "host")
+    enough = both.where((F.col("vote").isNotNull()) & (F.col("n") >= LEAST_VOTES) & (F.col("n") >= VOTE_SHARE * F.col("all")))
+    boxes = both.where((F.col("box").isNotNull()) & (F.col("n") >= BOX_PAGES) & (F.col("n") >= BOX_SHARE * F.col("all")))
+    ranked = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), F.col("vote").alias("path"))))
+    winners = enough.groupBy("host").agg(ranked["path"].alias("winners"), (F.max(F.col("n") / F.col("all")) >= 0.5).alias("majority"))
+    return winners.join(boxes.groupBy("host").agg(F.collect_list("box").alias("template")), "host", "left")
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -293,8 +398,8 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     host = F.coalesce(F.lower(F.regexp_extract(url_col, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host"))
     paths = materialize(host_paths(rows), "paths")
-    few = (paths.agg(F.sum(F.size("winners"))).first()[0] or 0) <= BROADCAST_ROWS
-    joined = rows.join(F.broadcast(paths) if few else paths, "host", "left").select("page_id", "url", "html", "winners")
+    few = (paths.agg(F.sum(F.size("winners") + F.size(F.coalesce("template", F.array())))).first()[0] or 0) <= BROADCAST_ROWS
+    joined = rows.join(F.broadcast(paths) if few else paths, "host", "left").select("page_id", "url", "html", "winners", "template", "majority")
     kinds = {f.name: f.dataType.simpleString() for f in joined.schema.fields}
     return joined.mapInArrow(_extract, f"page_id {kinds['page_id']}, url {kinds['url']}, text string")
 
