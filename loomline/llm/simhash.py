@@ -1,14 +1,14 @@
 """SimHash near-dedup by a binary trie self-join.
 
-Fingerprints within three differing bits share at least one of four 16-bit
-blocks. Each distinct fingerprint is therefore filed under its four blocks, with
-the block rotated to the top, and every block's fingerprints form one binary
-trie below it. The self-join walks pairs of nodes of that trie together from the
-pair (root, root): at each bit a pair has up to four pairs of children, those
-with unlike bits add one error, and a pair over the budget is pruned with all
-below it. A block with very many fingerprints is cut once more, eight bits
-further down, into the pairs of subtrees that are still within the budget, so no
-task holds more than a bounded part of it.
+Fingerprints within three differing bits agree in at least one of any four disjoint
+parts of their bits. Each distinct fingerprint is therefore filed under its four
+16-bit parts, with the part rotated to the top, and what is filed together forms one
+binary trie below it. The self-join walks pairs of nodes of that trie together from
+the pair (root, root): at each bit a pair has up to four pairs of children, those
+with unlike bits add one error, and a pair over the budget is pruned with all below
+it. Where more than HOT_GROUP fingerprints share a part, the bits below it are cut
+into four parts again, as often as counts ask for; as fingerprints are distinct, five
+levels always suffice, so no task holds more than a bounded part of any group.
 
 Tasks union what they link and hand on a spanning forest, never all pairs; the
 components come from alternating star contraction. Exact: no link is lost.
@@ -34,9 +34,10 @@ from .components import Forest, connected_components
 from .storage import materialize, small_batches
 
 SEED, SHINGLE, BUDGET = 42, 3, 3
-BLOCKS, BLOCK_BITS, SUB_BITS = 4, 16, 8
-#: Distinct fingerprints under one block from which its trie is cut into subtree pairs.
-HOT_BLOCK = 20_000
+#: One more part than errors, so that one part agrees.
+PARTS = BUDGET + 1
+#: Distinct fingerprints in one group from which it is cut further; keys that a task walks at once; hot groups that are broadcast at most.
+HOT_GROUP, KEYS_AT_ONCE, BROADCAST_GROUPS = 20_000, 1 << 17, 100_000
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _HASHED_AT_ONCE = 1 << 15
 
@@ -64,21 +65,19 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.int64())], ["doc_id", "fp"])
 
 
-def _rotate(fp: np.ndarray, block: np.ndarray) -> np.ndarray:
-    left = (block * BLOCK_BITS).astype(np.uint64)
-    return np.where(left == 0, fp, (fp << left) | (fp >> ((np.uint64(64) - left) % np.uint64(64))))
-
-
 class _Trie:
-    """A binary trie over sorted distinct keys; a node is a range of positions with one prefix."""
+    """Binary tries over keys sorted by group; a node is a range of positions with one prefix."""
 
     def __init__(self, keys: np.ndarray):
         self.keys = keys
         self.forest = Forest(len(keys))
+        self._zeros: dict[int, np.ndarray] = {}
 
     def zeros_before(self, bit: int) -> np.ndarray:
-        clear = ((self.keys >> np.uint64(63 - bit)) & np.uint64(1)) == 0
-        return np.concatenate([[0], np.cumsum(clear)])
+        if bit not in self._zeros:
+            clear = ((self.keys >> np.uint64(63 - bit)) & np.uint64(1)) == 0
+            self._zeros[bit] = np.concatenate([[0], np.cumsum(clear)])
+        return self._zeros[bit]
 
     def walk(self, pairs: np.ndarray, depth: int, most: int = 1 << 18) -> None:
         """pairs: rows lo_a, hi_a, lo_b, hi_b, errors of node pairs at one depth. Links all keys within the budget."""
@@ -123,60 +122,82 @@ class _Trie:
                 waiting.append((below[kept], depth + 1))
 
 
-def _join_block(keys: np.ndarray, sub_a: int, sub_b: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of linked keys and of the key each is linked with, for one block or one pair of its subtrees."""
-    trie = _Trie(keys)
-    if sub_a == sub_b:
-        pairs = [[0, len(keys), 0, len(keys), 0]]
-        depth = BLOCK_BITS if sub_a < 0 else BLOCK_BITS + SUB_BITS
-    else:
-        depth = BLOCK_BITS + SUB_BITS
-        cut = int(np.flatnonzero((keys[1:] >> np.uint64(64 - depth)) != (keys[:-1] >> np.uint64(64 - depth)))[0]) + 1
-        pairs = [[0, cut, cut, len(keys), bin(sub_a ^ sub_b).count("1")]]
-    trie.walk(np.array(pairs, np.int64), depth)
-    roots = trie.forest.roots(np.arange(len(keys)))
-    linked = np.flatnonzero(roots != np.arange(len(keys)))
-    return linked, roots[linked]
-
-
-def _join_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All blocks of one task, whose rows come sorted by block."""
-    filled = [b for b in batches if b.num_rows]
-    if not filled:
-        return
-    table = pa.Table.from_batches(filled)
-    part = {c: table.column(c).to_numpy() for c in table.column_names}
-    rotated = _rotate(part["fp"].view(np.uint64), part["block"].astype(np.uint64))
-    order = np.lexsort([rotated, part["sub_b"], part["sub_a"], part["value"], part["block"]])
-    key = np.stack([part[c][order] for c in ("block", "value", "sub_a", "sub_b")])
-    edges = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1
-    node, rotated = part["node"][order], rotated[order]
-    found_a, found_b = [], []
-    for lo, hi in zip(np.concatenate([[0], edges]), np.concatenate([edges, [len(order)]]), strict=True):
-        sub_a, sub_b = int(key[2, lo]), int(key[3, lo])
-        top = rotated[[lo, hi - 1]] >> np.uint64(64 - BLOCK_BITS - SUB_BITS)
-        if hi - lo < 2 or sub_a != sub_b and top[0] == top[1]:
-            continue
-        linked, to = _join_block(rotated[lo:hi], sub_a, sub_b)
-        found_a.append(node[lo:hi][linked])
-        found_b.append(node[lo:hi][to])
-    if found_a:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (found_a, found_b)], ["a", "b"])
-
-
-def fingerprint_links(fps: DataFrame, hot_block: int = HOT_BLOCK) -> DataFrame:
+def _links(table: pa.Table, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes and the node each is linked with, over all groups of the table at once; rows of a group stand together and share depth bits."""
+    key, path = table.column("key").to_numpy().view(np.uint64), table.column("path").to_numpy()
+    order = np.lexsort([key, path])
+    key, path, node = key[order], path[order], table.column("node").to_numpy()[order]
+    top = key >> np.uint64(64 - depth)
+    edges = np.flatnonzero((path[1:] != path[:-1]) | (top[1:] != top[:-1])) + 1
+    lo, hi = np.concatenate([[0], edges]), np.concatenate([edges, [len(key)]])
+    lo, hi = lo[hi - lo > 1], hi[hi - lo > 1]
+    trie = _Trie(key)
+    trie.walk(np.stack([lo, hi, lo, hi, np.zeros_like(lo)], 1), depth)
+    roots = trie.forest.roots(np.arange(len(key)))
+    linked = np.flatnonzero(roots != np.arange(len(key)))
+    return node[linked], node[roots[linked]]
+
+
+def _join_groups(depth: int):
+    """Rows come sorted by path and top; whole groups are walked together, a bounded number of keys at once."""
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, held = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            waiting.append(batch)
+            held += batch.num_rows
+            if held < KEYS_AT_ONCE:
+                continue
+            table = pa.Table.from_batches(waiting)
+            top, path = table.column("top").to_numpy(), table.column("path").to_numpy()
+            last = np.flatnonzero((top[1:] != top[:-1]) | (path[1:] != path[:-1]))
+            if len(last):
+                cut = int(last[-1]) + 1
+                a, b = _links(table.slice(0, cut), depth)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                table = table.slice(cut)
+            waiting, held = table.to_batches(), table.num_rows
+        if held:
+            a, b = _links(pa.Table.from_batches(waiting), depth)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return join
+
+
+def _cut(rows: DataFrame, depth: int) -> DataFrame:
+    """Each (node, key, path) row once for each part of the bits below depth, with the part rotated up behind the shared bits; top: path's shared bits."""
+    rest = 64 - depth
+    bits = rest // PARTS
+    low = F.lit(-1 if rest == 64 else (1 << rest) - 1).cast("long")
+    made = []
+    for i in range(PARTS):
+        below = F.col("key").bitwiseAND(low)
+        turned = F.shiftleft(below, i * bits).bitwiseOR(F.shiftrightunsigned(below, rest - i * bits)) if i else below
+        key = F.col("key").bitwiseAND(F.bitwise_not(low)).bitwiseOR(turned.bitwiseAND(low))
+        made.append(F.struct(key.alias("key"), (F.col("path") * PARTS + i).alias("path"), F.shiftrightunsigned(key, rest - bits).alias("top")))
+    return rows.select("node", F.explode(F.array(*made)).alias("x")).select("node", "x.*")
+
+
+def fingerprint_links(fps: DataFrame, hot_group: int = HOT_GROUP) -> DataFrame:
     """(a, b) links that span the classes of (node, fp) rows with distinct fp within the budget."""
-    block = F.explode(F.array(*[F.struct(F.lit(i).alias("block"), F.expr(f"shiftrightunsigned(fp, {48 - BLOCK_BITS * i}) & 65535").cast("int").alias("value"), F.expr(f"shiftrightunsigned(fp, {(40 - BLOCK_BITS * i) % 64}) & 255").cast("int").alias("sub")) for i in range(BLOCKS)])).alias("x")
-    filed = fps.select("node", "fp", block).select("node", "fp", "x.*")
-    # at most four times 65,536 rows, however many documents there are
-    hot = filed.groupBy("block", "value").count().where(F.col("count") > hot_block).select("block", "value", F.lit(True).alias("hot"))
-    masks = [m for m in range(1 << SUB_BITS) if bin(m).count("1") <= BUDGET]
-    pairs = F.expr(f"transform(array({','.join(map(str, masks))}), m -> struct(least(sub, sub ^ m) AS sub_a, greatest(sub, sub ^ m) AS sub_b))")
-    whole = F.array(F.struct(F.lit(-1).alias("sub_a"), F.lit(-1).alias("sub_b")))
-    dealt = filed.join(F.broadcast(hot), ["block", "value"], "left").select("node", "fp", "block", "value", F.explode(F.when(F.col("hot"), pairs).otherwise(whole)).alias("y")).select("node", "fp", "block", "value", "y.*")
     # a fixed number: the walk costs far more than its few bytes suggest, so small partitions shouldn't be merged
     partitions = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(partitions, "block", "value", "sub_a", "sub_b").mapInArrow(_join_blocks, "a long, b long")
+    rows, depth, found = fps.select("node", F.col("fp").alias("key"), F.lit(0).alias("path")), 0, None
+    while True:
+        rows, depth = _cut(rows, depth), depth + (64 - depth) // PARTS
+        hot = None
+        if 64 - depth >= PARTS and 1 << (64 - depth) > hot_group:  # else so many distinct fingerprints can't share the bits
+            hot = materialize(rows.groupBy("path", "top").count().where(F.col("count") > hot_group).select("path", "top"), "hot")
+            few = hot.limit(BROADCAST_GROUPS + 1).count()
+            hot = (F.broadcast(hot) if few <= BROADCAST_GROUPS else hot) if few else None
+        cold = rows if hot is None else rows.join(hot, ["path", "top"], "left_anti")
+        links = cold.select("node", "key", "path", "top").repartition(partitions, "path", "top").sortWithinPartitions("path", "top").mapInArrow(_join_groups(depth), "a long, b long")
+        found = links if found is None else found.unionByName(links)
+        if hot is None:
+            return found
+        rows = materialize(rows.join(hot, ["path", "top"], "left_semi").select("node", "key", "path"), "dense")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -185,12 +206,16 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
-def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_block: int = HOT_BLOCK) -> DataFrame:
+def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_group: int = HOT_GROUP) -> DataFrame:
     """(doc_id, fp, component_id) for each row of docs; component_id is the smallest doc_id reachable by links."""
-    fps = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
+    return simhash_groups(materialize(fingerprints(docs, id_col, text_col), "fingerprints"), hot_group)
+
+
+def simhash_groups(fps: DataFrame, hot_group: int = HOT_GROUP) -> DataFrame:
+    """(doc_id, fp, component_id) for each row of (doc_id, fp)."""
     nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
     known = nodes.where("node is not null")
-    links = fingerprint_links(known, hot_block)
+    links = fingerprint_links(known, hot_group)
     # a doc_id on several rows ties their fingerprints together
     own = fps.where("doc_id is not null").groupBy("doc_id").agg(F.count_distinct("fp").alias("n")).where("n > 1")
     ties = fps.join(own, "doc_id", "left_semi").join(known, "fp").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
@@ -200,10 +225,16 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component; rows with a null doc_id stay."""
-    groups = simhash_dedup(docs)
+    """The rows of docs whose doc_id is the smallest of its component, once for each text; rows with a null doc_id stay."""
+    fps = materialize(fingerprints(docs), "fingerprints")
+    groups = simhash_groups(fps)
     dropped = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti")
+    kept = docs.join(dropped, "doc_id", "left_anti")
+    repeated = materialize(fps.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        return kept
+    rows = kept.join(repeated, "doc_id", "left_semi")
+    return kept.join(repeated, "doc_id", "left_anti").unionByName(rows.dropDuplicates(["doc_id", "text"]))
 
 
 def op10_query(spark, sf_dir: str) -> DataFrame:
