@@ -4,7 +4,7 @@ A text's zstandard ratio (compressed over raw bytes) is held against a band whos
 limits depend on length, for the whole document and for fixed chunks of bytes:
 below it the text repeats itself, above it the text doesn't compress as language
 does. Short texts compress little, so the bands open as length falls; a chunk too short
-to judge counts neither way.
+to judge counts neither way. Repeated windows are found by comparing words.
 
 Defined results: null and empty texts have no words and fail the base rule; a
 null doc_id is kept as it is; repeated rows are judged alike; an empty table
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import small_batches
-from .words import Shingles
+from .words import repeated_runs
 
 LEVEL, REPEAT_WINDOW, MIN_WORDS, REPEAT_PERCENT = 3, 8, 20, 30
 CHUNK_BYTES, CHUNK_LEAST = 4096, 1_000
@@ -59,17 +59,14 @@ def judge(text: str | None, packer: zstandard.ZstdCompressor) -> tuple:
     spaces = (codes == 32) | (codes >= 9) & (codes <= 13)
     word_chars = int(((codes & 0xC0 != 0x80) & ~spaces).sum())
     lines = [x for x in raw.split(b"\n") if x and not x.isspace()]
-    windows = Shingles(words).hashes(REPEAT_WINDOW)
+    often = repeated_runs(words, REPEAT_WINDOW)
     repeated = 0
-    if len(windows):
-        _, inverse, counts = np.unique(windows, return_inverse=True, return_counts=True)
-        often = counts[inverse] > 1
-        if often.any():
-            edges = np.zeros(n + 1, np.int64)
-            at = np.flatnonzero(often)
-            np.add.at(edges, at, 1)
-            np.add.at(edges, at + REPEAT_WINDOW, -1)
-            repeated = int((np.cumsum(edges) > 0).sum())
+    if often.any():
+        edges = np.zeros(n + 1, np.int64)
+        at = np.flatnonzero(often)
+        np.add.at(edges, at, 1)
+        np.add.at(edges, at + REPEAT_WINDOW, -1)
+        repeated = int((np.cumsum(edges) > 0).sum())
     failed = n < MIN_WORDS or 100 * repeated > REPEAT_PERCENT * n
     ratio = _ratio(packer, raw)
     chunks = [raw[i : i + CHUNK_BYTES] for i in range(0, len(raw), CHUNK_BYTES)]
