@@ -23,12 +23,14 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from .storage import materialize, small_batches
+from .storage import free_name, materialize, small_batches
 from .words import Shingles
 
 #: Shares of the pooled covariance in a class's, and of the diagonal in the pooled one.
@@ -166,16 +168,24 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs with a score of at least 0.5, with all their columns; texts aren't shuffled."""
-    model = fit(materialize(document_statistics(docs), "statistics"), labels)
+    """The rows of docs with a score of at least 0.5, with all their columns. Texts are measured once, in the scan that writes them with their statistics, and not shuffled."""
+    small_batches(docs.sparkSession)
+    name = free_name(docs, "stats")
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            x = np.array([statistics(t, packer) for t in batch.column("text").to_pylist()]).reshape(batch.num_rows, -1)
-            yield batch.filter(pa.array(model.score(x) >= 0.5))
+            rows = [statistics(t, packer) for t in batch.column("text").to_pylist()]
+            yield batch.append_column(name, pa.array(rows, pa.list_(pa.float64())))
+
+    measured = materialize(docs.mapInArrow(measure, StructType([*docs.schema.fields, StructField(name, ArrayType(DoubleType()))])), "measured")
+    model = fit(measured.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(name).alias("stats")), labels)
+
+    @F.pandas_udf("double")
+    def score(stats: pd.Series) -> pd.Series:
+        return pd.Series(model.score(np.array(stats.tolist()).reshape(len(stats), -1)))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return measured.where(score(F.col(name)) >= 0.5).drop(name)
 
 
 def op6_query(spark, sf_dir: str) -> DataFrame:
