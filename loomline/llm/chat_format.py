@@ -1,9 +1,9 @@
 """Chat formatting by schema fingerprints, in DataFrame operations only.
 
 A record is a JSON object in one of several layouts. The known nested field paths
-that it has are sorted, joined and hashed; the hash selects a declarative mapping
-from that layout to canonical turns of (role, content). Fields that no layout
-knows don't count. Turns are written as
+that it has, over all elements of its lists, are sorted, joined and hashed; the hash
+selects a declarative mapping from that layout to canonical turns of (role, content).
+Fields that no layout knows don't count. Turns are written as
 
     <|im_start|>role\\ntext<|im_end|>\\n
 
@@ -11,11 +11,12 @@ with control strings escaped: in texts and roles one backslash is put after the
 "<" of each "<", backslashes, "|", so no text holds "<|", and taking one away
 again restores it. A line break in a role becomes <|nl|>.
 
-Defined results: null texts and roles are empty; a record of an unknown layout
-has null turns and a null text; an array of no messages gives an empty text;
-turns with equal numbers are ordered by role, then text, null numbers first;
+Defined results: null texts and roles are empty; a message without a role or a text
+has an empty one; a record of an unknown layout keeps its row, with a null text and
+its problem named; an array of no messages gives an empty text; columns of the input
+named like an output are kept as input_<name>; turns with equal numbers are ordered by role, then text, null numbers first;
 conversations are grouped by conv_id, null being one; no rows give an empty table
-(or conversation -1 alone, in the query). Other columns aren't read.
+(or conversation -1 alone, in the query). Other columns are passed on.
 """
 
 from __future__ import annotations
@@ -23,56 +24,64 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import free_name
+
 START, END, BREAK = "<|im_start|>", "<|im_end|>", "<|nl|>"
-RECORD = "messages array<struct<role:string,content:string>>, conversations array<struct<from:string,value:string>>, system string, prompt string, response string, completion string, instruction string, input string, output string"
-_LISTS = {"messages": ("role", "content"), "conversations": ("from", "value")}
-_SCALARS = ("system", "prompt", "response", "completion", "instruction", "input", "output")
-#: The layouts: their field paths, and the turns they map to as (role, fields joined by a blank line).
-_PAIRS = {
-    ("prompt", "response"): (("user", ("prompt",)), ("assistant", ("response",))),
-    ("prompt", "completion"): (("user", ("prompt",)), ("assistant", ("completion",))),
-    ("instruction", "output"): (("user", ("instruction",)), ("assistant", ("output",))),
-    ("input", "instruction", "output"): (("user", ("instruction", "input")), ("assistant", ("output",))),
-}
-LAYOUTS = _PAIRS | {tuple(sorted(("system", *paths))): (("system", ("system",)), *turns) for paths, turns in _PAIRS.items()}
-
-
-def field_paths(record: Column) -> Column:
-    """The known nested field paths of a JSON object, sorted and joined by commas."""
-    top = F.coalesce(F.json_object_keys(record), F.array().cast("array<string>"))
+_LISTS, _ROLES, _TEXTS = ("messages", "conversations"), ("role", "from"), ("content", "value")
+_QUESTIONS, _ANSWERS = ("prompt", "instruction"), ("response", "completion", "output")
+_SCALARS = ("system", *_QUESTIONS, "input", *_ANSWERS)
+RECORD = ", ".join([f"{name} array<map<string,string>>" for name in _LISTS] + [f"{name} string" for name in _SCALARS])
+#: The layouts without lists: their field paths, and the turns they map to as (role, fields joined by a blank line).
+_PAIRS = {(*asked, answer): (("user", asked), ("assistant", (answer,))) for answer in _ANSWERS for asked in [("input",), *[(q, *more) for q in _QUESTIONS for more in ((), ("input",))]]}
+LAYOUTS = _PAIRS | {("system", *paths): (("system", ("system",)), *turns) for paths, turns in _PAIRS.items()}
+OUTPUTS = ("formatted", "loss_spans", "problem")
+
+
+def field_paths(record: Column, parsed: Column) -> Column:
+    """The known nested field paths of a JSON object, sorted and joined by commas; null if it is none."""
+    top = F.json_object_keys(record)
     paths = [F.when(F.array_contains(top, k), F.lit(k)) for k in _SCALARS]
-    for name, fields in _LISTS.items():
-        inner = F.coalesce(F.json_object_keys(F.get_json_object(record, f"$.{name}[0]")), F.array().cast("array<string>"))
-        paths += [F.when(F.array_contains(top, name), F.lit(f"{name}[]"))]
-        paths += [F.when(F.array_contains(inner, k), F.lit(f"{name}[].{k}")) for k in fields]
-    return F.array_join(F.array_sort(F.array_compact(F.array(*paths))), ",")
+    nothing = F.array().cast("array<string>")
+    for name in _LISTS:
+        inner = F.array_distinct(F.flatten(F.transform(F.coalesce(parsed[name], F.array().cast("array<map<string,string>>")), lambda m: F.coalesce(F.map_keys(m), nothing))))
+        paths.append(F.when(F.array_contains(top, name), F.lit(f"{name}[]")))
+        paths += [F.when(F.array_contains(inner, k), F.lit(f"{name}[].{k}")) for k in (*_ROLES, *_TEXTS)]
+    return F.when(top.isNotNull(), F.array_join(F.array_sort(F.array_compact(F.array(*paths))), ","))
 
 
-def fingerprint(record: Column) -> Column:
-    return F.xxhash64(field_paths(record))
+def fingerprint(paths: Column) -> Column:
+    return F.xxhash64(paths)
 
 
 def _turn(role: Column, content: Column) -> Column:
     return F.struct(F.coalesce(role, F.lit("")).alias("role"), F.coalesce(content, F.lit("")).alias("content"))
 
 
-def _renamer(role: str, content: str):
-    return lambda m: _turn(m[role], m[content])
+def _message(m: Column) -> Column:
+    return _turn(F.coalesce(*[F.try_element_at(m, F.lit(k)) for k in _ROLES]), F.coalesce(*[F.try_element_at(m, F.lit(k)) for k in _TEXTS]))
+
+
+def _list_layouts(name: str, system: bool) -> list[str]:
+    """Field paths of a list of messages, whichever of the known fields they have."""
+    fields = [f"{name}[].{k}" for k in (*_ROLES, *_TEXTS)]
+    some = [[f for i, f in enumerate(fields) if bits >> i & 1] for bits in range(1 << len(fields))]
+    return [",".join(sorted([f"{name}[]", *chosen, *(["system"] if system else [])])) for chosen in some]
 
 
-def canonical_turns(record: Column, parsed: Column) -> Column:
+def canonical_turns(paths: Column, parsed: Column) -> Column:
     """array<struct<role, content>> of a record, by the mapping that its fingerprint selects; null if none does."""
-    mark, turns = fingerprint(record), None
-    cases: list[tuple[str, Column]] = []
-    for name, (role, content) in _LISTS.items():
-        both = F.transform(parsed[name], _renamer(role, content))
-        cases += [(",".join(sorted([f"{name}[]", f"{name}[].{role}", f"{name}[].{content}"])), both), (f"{name}[]", both)]
-    for paths, mapped in LAYOUTS.items():
-        made = [_turn(F.lit(role), F.array_join(F.filter(F.array(*[parsed[f] for f in fields]), lambda x: x != ""), "\n\n")) for role, fields in mapped]
-        cases.append((",".join(sorted(paths)), F.array(*made)))
-    for paths, value in cases:
-        hit = mark == F.xxhash64(F.lit(paths))
-        turns = F.when(hit, value) if turns is None else turns.when(hit, value)
+    mark = fingerprint(paths)
+    system = _turn(F.lit("system"), parsed["system"])
+    cases: list[tuple[list[str], Column]] = []
+    for name in _LISTS:
+        messages = F.transform(parsed[name], _message)
+        cases += [(_list_layouts(name, False), messages), (_list_layouts(name, True), F.concat(F.array(system), messages))]
+    for fields, mapped in LAYOUTS.items():
+        made = [_turn(F.lit(role), F.array_join(F.filter(F.array(*[parsed[f] for f in own]), lambda x: x != ""), "\n\n")) for role, own in mapped]
+        cases.append(([",".join(sorted(fields))], F.array(*made)))
+    turns = F.when(F.lit(False), cases[0][1])
+    for layouts, value in cases:
+        turns = turns.when(mark.isin([F.xxhash64(F.lit(x)) for x in layouts]), value)
     return turns
 
 
@@ -85,26 +94,37 @@ def unescape(text: Column) -> Column:
 
 
 def format_chats(records: DataFrame, record_col: str = "record", loss_role: str = "assistant") -> DataFrame:
-    """records with formatted and loss_spans: code-point positions, end exclusive, of what the loss covers."""
-    turns = canonical_turns(F.col(record_col), F.col("_parsed"))
-    escaped = F.transform("_turns", lambda t: F.struct(F.regexp_replace(escape(t["role"]), "\n", BREAK).alias("role"), escape(t["content"]).alias("content"), (t["role"] == loss_role).alias("loss")))
-    written = F.array_join(F.transform("_escaped", lambda t: F.concat(F.lit(START), t["role"], F.lit("\n"), t["content"], F.lit(END + "\n"))), "")
+    """records with formatted, loss_spans and problem.
+
+    A span has the code points that the loss covers in formatted, end exclusive, and in which turn they are.
+    """
+    records = records.withColumnsRenamed({c: free_name(records, f"input_{c}") for c in records.columns if c.lower() in OUTPUTS and c != record_col})
+    parsed, paths, made, written = (free_name(records, n) for n in ("_parsed", "_paths", "_turns", "_escaped"))
+    escaped = F.transform(made, lambda t: F.struct(F.regexp_replace(escape(t["role"]), "\n", BREAK).alias("role"), escape(t["content"]).alias("content"), (t["role"] == loss_role).alias("loss")))
+    text = F.array_join(F.transform(written, lambda t: F.concat(F.lit(START), t["role"], F.lit("\n"), t["content"], F.lit(END + "\n"))), "")
 
     def step(done: Column, t: Column) -> Column:
         start = done["at"] + F.lit(len(START) + 1) + F.length(t["role"])
         end = start + F.length(t["content"])
-        span = F.array(F.struct(start.alias("start"), end.alias("end")))
-        return F.struct((end + F.lit(len(END) + 1)).alias("at"), F.when(t["loss"], F.concat(done["spans"], span)).otherwise(done["spans"]).alias("spans"))
+        span = F.array(F.struct(start.alias("start"), end.alias("end"), done["turn"].alias("turn")))
+        return F.struct((end + F.lit(len(END) + 1)).alias("at"), (done["turn"] + F.lit(1)).alias("turn"), F.when(t["loss"], F.concat(done["spans"], span)).otherwise(done["spans"]).alias("spans"))
+
+    nothing = F.struct(F.lit(0).alias("at"), F.lit(0).alias("turn"), F.array().cast("array<struct<start:int,end:int,turn:int>>").alias("spans"))
+    spans = F.aggregate(written, nothing, step)["spans"]
+    problem = F.when(F.col(paths).isNull(), "not a JSON object").when(F.col(made).isNull(), F.concat(F.lit("unknown layout: "), F.col(paths)))
+    out = records.withColumn(parsed, F.from_json(record_col, RECORD)).withColumn(paths, field_paths(F.col(record_col), F.col(parsed)))
+    out = out.withColumn(made, canonical_turns(F.col(paths), F.col(parsed))).withColumn(written, escaped)
+    return out.withColumn("formatted", text).withColumn("loss_spans", spans).withColumn("problem", problem).drop(parsed, paths, made, written)
 
-    nothing = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
-    spans = F.aggregate("_escaped", nothing, step)["spans"]
-    out = records.withColumn("_parsed", F.from_json(record_col, RECORD)).withColumn("_turns", turns).withColumn("_escaped", escaped)
-    return out.withColumn("formatted", written).withColumn("loss_spans", spans).drop("_parsed", "_turns", "_escaped")
+
+def _pieces(formatted: Column) -> Column:
+    """The formatted text of each turn after its start mark; the text before the first one comes first."""
+    return F.split(formatted, r"<\|im_start\|>")
 
 
 def read_turns(formatted: Column) -> Column:
     """array<struct<role, content>> read back from a formatted text."""
-    pieces = F.filter(F.split(formatted, r"<\|im_start\|>"), lambda p: p != "")
+    pieces = F.filter(_pieces(formatted), lambda p: p != "")
     return F.transform(
         pieces,
         lambda p: F.struct(
@@ -115,8 +135,16 @@ def read_turns(formatted: Column) -> Column:
 
 
 def read_loss_text(formatted: Column, loss_spans: Column) -> Column:
-    """All text under the loss mask, unescaped, nothing between."""
-    return F.array_join(F.transform(loss_spans, lambda s: unescape(F.substring(formatted, s["start"] + 1, s["end"] - s["start"]))), "")
+    """All text under the loss mask, unescaped, nothing between. Each span is read in its own turn, so the text is passed over once."""
+
+    def text(pieces: Column) -> Column:
+        def own(span: Column) -> Column:
+            piece = F.element_at(pieces, span["turn"] + 2)
+            return unescape(F.substring(piece, F.length(F.substring_index(piece, "\n", 1)) + 2, span["end"] - span["start"]))
+
+        return F.array_join(F.transform(loss_spans, own), "")
+
+    return F.element_at(F.transform(F.array(_pieces(formatted)), text), 1)
 
 
 def conversation_records(rows: DataFrame) -> DataFrame:
