@@ -10,7 +10,8 @@ size, and the excess is shared by weight again until none is above. With sources
 sorted by cap / weight this has a closed form: the capped ones are a prefix, and
 the rest share what is left by weight.
 
-Only per-source sums meet in one task: one row for each distinct source name.
+Only per-source sums meet in one task, one row for each distinct source name: that
+fits as long as sources are named collections or hosts, some tens of millions at most.
 
 Defined results: null and empty texts have size 0 and are never taken; a null
 source is a source of its own; a source of size 0 has target 0; repeated doc_ids
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import materialize
+from .storage import free_name, materialize
 
 WEIGHTS, MIX_SHARE, MAX_REPEATS, SEED = (5, 2, 1), 1.5, 2.0, 20240131
 #: Up to so many sources the table of rates is broadcast; beyond, it is joined by shuffle.
@@ -78,11 +79,12 @@ def mix_plan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", so
 def mix(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", seed: int = SEED) -> DataFrame:
     """The rows of docs, each as often as the mix takes it, with the columns of docs."""
     sizes = docs.select(F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"))
-    targets = materialize(source_targets(sizes), "targets").select(F.col("source").alias("mix_source"), F.col("rate").alias("mix_rate"))
+    source, rate, copy = (free_name(docs, n) for n in ("mix_source", "mix_rate", "mix_copy"))
+    targets = materialize(source_targets(sizes), "targets").select(F.col("source").alias(source), F.col("rate").alias(rate))
     few = targets.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    rated = docs.join(F.broadcast(targets) if few else targets, F.col(source_col).eqNullSafe(F.col("mix_source")), "left")
-    n = F.when(size_of(F.col(text_col)) > 0, copies(F.col(id_col), F.col("mix_rate"), seed)).otherwise(F.lit(0).cast("long"))
-    return rated.withColumn("mix_copy", F.explode(F.array_repeat(F.lit(1), n.cast("int")))).select(*[f"`{c}`" for c in docs.columns])
+    rated = docs.join(F.broadcast(targets) if few else targets, F.col(source_col).eqNullSafe(F.col(source)), "left")
+    n = F.when(size_of(F.col(text_col)) > 0, copies(F.col(id_col), F.col(rate), seed)).otherwise(F.lit(0).cast("long"))
+    return rated.withColumn(copy, F.explode(F.array_repeat(F.lit(1), n.cast("int")))).select(*[f"`{c}`" for c in docs.columns])
 
 
 def op2_query(spark, sf_dir: str) -> DataFrame:

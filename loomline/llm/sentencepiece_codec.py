@@ -2,13 +2,13 @@
 
 Texts are cut between characters that no piece has side by side. Distinct stretches of equal length
 form a matrix and advance together, one character at a time. Every substring that
-ends there is hashed from prefix sums and probed in the sorted piece keys; the
-transition from the best last piece of the prefix before it scores 0 if the two
-pieces may stand side by side and minus infinity if not, and the maximum over the
-candidates is stored as the backpointer.
+ends there is hashed from prefix sums and probed in the sorted piece keys. Its score
+is that of the prefix before it, the piece's own, and a transition of 0 if the prefix's
+last piece and it may stand side by side and minus infinity if not; the maximum over
+the candidates is stored with its backpointer.
 
-The vocabulary is a merge (BPE) one, for which adding up piece scores gives other
-pieces than the library. A sequence of pieces is what merging gives if and only if
+The transition departs from a plain Viterbi: the vocabulary is a merge (BPE) one, for
+which adding up piece scores alone gives other pieces than the library. A sequence of pieces is what merging gives if and only if
 each neighbouring pair is, so with that transition exactly one path survives at
 every position and it equals the library's result. Whether merging the text of two
 pieces gives back the two is found once for each pair, by batched merging, and
@@ -28,10 +28,10 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import small_batches
+from .storage import free_name, small_batches
 
 MARK = "▁"
 CACHED_WORDS = 400_000
@@ -139,7 +139,8 @@ class Codec:
         #: Whether some key starts with these 20 bits.
         self.near = np.zeros(1 << 20, bool)
         self.near[(self.keys >> np.uint64(44)).astype(np.int64)] = True
-        self.scores = np.array([model.get_score(i) for i in range(self.size)])[self.ids]
+        self.score = np.array([model.get_score(i) for i in range(self.size)])
+        self.scores = self.score[self.ids]
         pairs = sorted({p[i : i + 2] for p in self.text.values() for i in range(len(p) - 1)})
         chars = sorted({c for p in pairs for c in p})
         number = {c: i + 1 for i, c in enumerate(chars)}
@@ -230,15 +231,21 @@ class Codec:
         # a character without a piece stands alone, whatever is before it: last -2
         last, back = np.full((m, n + 1), -2, np.int64), np.ones((m, n + 1), np.int64)
         last[:, 0] = _NONE
+        best = np.full((m, n + 1), -np.inf)
+        best[:, 0] = 0
         rows, starts, ends, pieces = self._candidates(prefixes)
         edges = np.searchsorted(ends, np.arange(1, n + 2))
         for end in range(1, n + 1):
             own = slice(edges[end - 1], edges[end])
             row, start, piece = rows[own], starts[own], pieces[own]
-            fits = self._side_by_side(np.maximum(last[row, start], _NONE), piece)
-            # the maximum: at most one candidate isn't minus infinity; the characters of pieces are pieces
-            row = row[fits]
-            last[row, end], back[row, end] = piece[fits], end - start[fits]
+            score = np.where(self._side_by_side(np.maximum(last[row, start], _NONE), piece), best[row, start] + self.score[piece], -np.inf)
+            np.maximum.at(best[:, end], row, score)
+            chosen = (score > -np.inf) & (score == best[row, end])
+            row = row[chosen]
+            last[row, end], back[row, end] = piece[chosen], end - start[chosen]
+            # after a character without a piece, sums go on from what was before it
+            lost = np.isneginf(best[:, end])
+            best[lost, end] = best[lost, end - 1]
         out, at = np.full((m, n), -1, np.int64), np.full(m, n)
         for place in range(n - 1, -1, -1):
             on = np.flatnonzero(at > 0)
@@ -304,11 +311,16 @@ def codec(model_file: str) -> Codec:
     return _codecs[model_file]
 
 
+def _kept(df: DataFrame, keep: tuple[str, ...], outputs: tuple[str, ...], value: Column) -> DataFrame:
+    """The columns in keep, renamed where an output has their name, and value last."""
+    return df.select(*[F.col(f"`{c}`").alias(free_name(df, f"input_{c}") if c.lower() in outputs else c) for c in keep], value)
+
+
 def encode_documents(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", model_file: str | None = None) -> DataFrame:
-    """The columns in keep, n_pieces and ids for each row of docs."""
+    """The columns in keep, n_pieces and ids for each row of docs; a kept column named like one of the two becomes input_<name>."""
     model_file = model_file or default_model()
     small_batches(docs.sparkSession)
-    docs = docs.select(*keep, F.col(text_col).alias("text_to_encode"))
+    docs = _kept(docs, keep, ("n_pieces", "ids"), F.col(text_col).alias("text_to_encode"))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[:-1]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,9 +335,9 @@ def encode_documents(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_
 
 
 def decode_documents(encoded: DataFrame, keep: tuple[str, ...] = ("doc_id",), ids_col: str = "ids", model_file: str | None = None) -> DataFrame:
-    """The columns in keep and text for each row of encoded."""
+    """The columns in keep and text for each row of encoded; a kept column named text becomes input_text."""
     model_file = model_file or default_model()
-    encoded = encoded.select(*keep, F.col(ids_col).alias("ids_to_decode"))
+    encoded = _kept(encoded, keep, ("text",), F.col(ids_col).alias("ids_to_decode"))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields[:-1]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
