@@ -10,12 +10,15 @@ Two more hubs join units with the same stem (the last LONG_STEM or STEM digits,
 what stands before the at sign less a +tag), with weights of their own. Runs of digits are cut at
 base spans, and where some of their groups are a known number or its end.
 Units under a base span are clamped to its kind. Loopy sum-product messages run
-over units and hubs, and a unit that base patterns missed becomes a span of its
-most likely kind if one of its hubs has a clamped unit. Base spans stay. Units without
-such a link keep what the patterns say, as do documents without base spans.
+over units and hubs of every document, and a unit that base patterns missed becomes a
+span of its most likely kind, if that isn't none. Base spans stay.
 
 Weights are learned by pseudo-likelihood on the units of at most TRAIN_DOCUMENTS
-documents, those with the smallest hash of doc_id, labelled by the base spans.
+documents, those with the smallest hash of doc_id, of at most TRAIN_UNITS units each.
+Base spans are their labels, and whether a unit lies under one is a feature, its own
+evidence. To learn what links are worth without it, each base unit is planted again
+with its evidence masked: linked to itself by key and stems, by stems or by the short
+stem alone, with its kind as label, and unlinked, with none as label.
 
 Defined results: null and empty texts have no spans; a null doc_id is searched
 like any other; repeated rows give equal rows; an empty table gives an empty
@@ -50,8 +53,8 @@ NUMBER = re.compile(r"[0-9](?:[\x20().-]{0,2}[0-9]){6,}")
 LONG_STEM, STEM, LEAST_SKIPS = 9, 7, (1.0, 1.0, 0.5)
 #: Not part of an address at its ends.
 EDGE = ".,;:()<>[]\"'"
-TRAIN_DOCUMENTS, TRAIN_UNITS, STEPS, PENALTY, ROUNDS = 2_000, 500, 200, 1e-3, 10
-N_FEATURES, AT_SIGN, N_LABELS = 10, 6, 1 + len(KINDS)
+TRAIN_DOCUMENTS, TRAIN_UNITS, STEPS, PENALTY, ROUNDS = 2_000, 50, 200, 1e-3, 10
+N_FEATURES, EVIDENCE, AT_SIGN, N_LABELS = 11, 1, 7, 1 + len(KINDS)
 _CLAMP = 50.0
 Span = tuple[str, int, int]
 
@@ -153,10 +156,10 @@ def _stem(key: str, digits: int) -> str:
     return key.split("@")[0].split("+")[0] + "@" if "@" in key else key[-digits:]
 
 
-def _features(s: str) -> list[float]:
+def _features(s: str, evidence: bool) -> list[float]:
     d = _digits(s)
     groups = s.split(".")
-    return [1.0, len(d) < 8, 8 <= len(d) <= 12, 12 < len(d) <= 15, 16 <= len(d) <= 19, len(d) > 19, "@" in s, len(groups) == 4 and all(map(str.isdigit, groups)), any(c in s for c in " ()-"), luhn(d)]
+    return [1.0, evidence, len(d) < 8, 8 <= len(d) <= 12, 12 < len(d) <= 15, 16 <= len(d) <= 19, len(d) > 19, "@" in s, len(groups) == 4 and all(map(str.isdigit, groups)), any(c in s for c in " ()-"), luhn(d)]
 
 
 def graph(text: str, base: list[Span]) -> tuple[list[tuple[int, int, str]], np.ndarray, np.ndarray, np.ndarray]:
@@ -169,7 +172,7 @@ def graph(text: str, base: list[Span]) -> tuple[list[tuple[int, int, str]], np.n
     keys: dict[str, int] = {}
     names = [(k, f"l {_stem(k, LONG_STEM)}", f"s {_stem(k, STEM)}") for _, _, k in found]
     numbers = np.array([[keys.setdefault(name, len(keys)) for name in row] for row in names], np.int64).reshape(-1, 3)
-    return found, np.array([_features(text[lo:hi]) for lo, hi, _ in found], float).reshape(-1, N_FEATURES), labels, numbers
+    return found, np.array([_features(text[lo:hi], y > 0) for (lo, hi, _), y in zip(found, labels.tolist(), strict=True)], float).reshape(-1, N_FEATURES), labels, numbers
 
 
 def _neighbours(labels: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -191,6 +194,7 @@ class Weights:
 
     def __init__(self):
         self.unary, self.chain, self.skips = np.zeros((N_FEATURES, N_LABELS)), 0.0, list(LEAST_SKIPS)
+        self.unary[0, 0] = 0.5  # where nothing else speaks, none
 
     def learn(self, x: np.ndarray, y: np.ndarray, chain: np.ndarray, *skips: np.ndarray) -> Weights:
         """Gradient ascent on the pseudo-likelihood; the skip weights stay at LEAST_SKIPS or more."""
@@ -242,19 +246,23 @@ def all_spans(text: str | None, w: Weights) -> tuple[list[Span], list[Span]]:
     if not text or not re.search("[0-9@]", text):
         return [], []
     base = base_spans(text)
-    if not base:
-        return [], []  # no unit has a link to a clamped one
     found, x, labels, keys = graph(text, base)
     added: list[Span] = []
-    if len(found) and (labels == 0).any() and (labels > 0).any():
+    if (labels == 0).any():
         likely = beliefs(x, labels, keys, w).argmax(1)
-        linked = np.zeros(len(found), bool)
-        for hub in keys.T:
-            linked |= np.isin(hub, hub[labels > 0])
-        added = [(KINDS[c - 1], lo, hi) for (lo, hi, _), c, old, near in zip(found, likely.tolist(), labels.tolist(), linked.tolist(), strict=True) if near and c and not old]
+        added = [(KINDS[c - 1], lo, hi) for (lo, hi, _), c, old in zip(found, likely.tolist(), labels.tolist(), strict=True) if c and not old]
     return base, sorted(base + added, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 
 
+def _planted(x: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and labels of masked repeats of the base units: linked by all hubs, by stems, by the short stem, and by none."""
+    x, kinds = x[labels > 0].copy(), labels[labels > 0]
+    x[:, EVIDENCE] = 0
+    near, none = np.eye(N_LABELS)[kinds], np.zeros((len(x), N_LABELS))
+    rows = [np.column_stack([x, none, *[near if linked else none for linked in hubs]]) for hubs in ((1, 1, 1), (0, 1, 1), (0, 0, 1), (0, 0, 0))]
+    return np.concatenate(rows), np.concatenate([kinds, kinds, kinds, np.zeros_like(kinds)])
+
+
 def _train_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
@@ -263,7 +271,8 @@ def _train_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             found, x, labels, keys = graph(text, base_spans(text))
             if 0 < len(found) <= TRAIN_UNITS:
-                rows.append((doc_id, labels.tolist(), np.column_stack([x, *_neighbours(labels, keys)]).ravel().tolist()))
+                more, kinds = _planted(x, labels)
+                rows.append((doc_id, [*labels.tolist(), *kinds.tolist()], np.concatenate([np.column_stack([x, *_neighbours(labels, keys)]), more]).ravel().tolist()))
         a, b, c = zip(*rows, strict=True) if rows else ([], [], [])
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.list_(pa.int64())), pa.array(c, pa.list_(pa.float64()))], ["doc_id", "labels", "x"])
 
