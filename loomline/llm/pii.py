@@ -153,7 +153,10 @@ def units(text: str, base: list[Span] = ()) -> list[tuple[int, int, str]]:
 
 
 def _stem(key: str, digits: int) -> str:
-    return key.split("@")[0].split("+")[0] + "@" if "@" in key else key[-digits:]
+    """What a key shares with other ways to write it; numbers as long as a card's are never written in part."""
+    if "@" in key:
+        return key.split("@")[0].split("+")[0] + "@"
+    return key[-digits:] if len(key) <= 15 else key
 
 
 def _features(s: str, evidence: bool) -> list[float]:
