@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -42,6 +42,12 @@ def priced(calls: DataFrame, book: DataFrame) -> DataFrame:
     return joined.withColumns({"priced_cost": cost / 1e6, "is_fallback": F.col("price").isNull()}).drop("price")
 
 
+def output_rates(x: DataFrame, book: DataFrame, day: date) -> DataFrame:
+    """x with output_rate, the price of a million output tokens of its tool's model on a day."""
+    keys = x.select("tool", "canonical").distinct().withColumns({"timestamp": F.lit(day).cast("timestamp_ntz"), "output_tokens": F.lit(1_000_000)} | {c: F.lit(0) for c in ("input_tokens", "cache_write_tokens", "cache_read_tokens")})
+    return x.join(priced(keys, book).select("tool", "canonical", F.round("priced_cost", 6).alias("output_rate")), ["tool", "canonical"])
+
+
 def as_of_prices(lines: DataFrame, parts: DataFrame, change: datetime) -> DataFrame:
     """J03 on keys with dated entries: each key's entries are one sorted array, so the join adds no rows."""
     first = F.struct(F.lit(None).cast("timestamp_ntz").alias("from"), F.col("p_retailprice").alias("price"))

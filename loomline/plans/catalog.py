@@ -16,6 +16,7 @@ from ..functions.columns import caps_letter_ratio
 from ..operators import lookups, panels, prompt_rules, search, turns, usage
 from ..sources import driver_tables as tables
 from ..sources.driver_tables import CALLS_SQL
+from . import practice_catalog
 
 NOW = datetime(2024, 1, 31)
 PRICE_CHANGE = datetime(1995, 1, 1)
@@ -368,6 +369,9 @@ _over_calls("G04_kept_nodes", lambda x: turns.kept_nodes(turns.all_graph_edges(x
 SELECT * EXCLUDE (id) FROM nodes WHERE id IN (SELECT source FROM kept UNION ALL SELECT target FROM kept)""")
 
 
+practice_catalog.register(_over_calls, _signals_sql, NOW)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The by-model table with ranks, over one month."""
     return usage.ranked(usage.models(usage.of_period(_x(spark, sf_dir), "month", NOW)), "canonical").orderBy("rank")

@@ -12,6 +12,23 @@ TOOL_CALLS = ((), ("Read",), ("Edit", "Bash", "mcp__srv1__a"), ("mcp__srv2__b",
 LANGUAGES = ("rust", "python", "sql")
 
 
+# The prompts of practice_calls.
+PROMPTS = (
+    "fix",
+    "FIX THIS BUG NOW PLEASE",
+    "why doesn't this work??? it worked yesterday",
+    "add a new endpoint without changing the public api of the server",
+    "what is this",
+    "refactor the parser and keep every test green while you do so",
+    "make me a dashboard app",
+    "- must list the orders\n- must show totals",
+    "",
+    "rename the css theme and the layout of the page to something simpler",
+    "please " * 120 + "thanks, basically just describe it",
+    "deploy the docker image to the staging cluster and upgrade the version",
+)
+
+
 def _pick(index, values):
     return F.element_at(F.array(*[F.lit(v) if isinstance(v, str) else F.array(*map(F.lit, v)).cast("array<string>") for v in values]), (index + 1).cast("int"))
 
@@ -45,6 +62,30 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def practice_calls(x: DataFrame) -> DataFrame:
+    """Enriched calls with prompts, files and efforts, drawn from their numbers."""
+    i, k = F.col("seq"), F.floor(F.col("input_tokens") / 100)
+    message = _pick((k + F.floor(i / 7)) % len(PROMPTS), PROMPTS)
+    named = lambda n: F.transform(F.sequence(F.lit(1), n), lambda f: F.concat(F.lit("doc"), f))
+    files = F.when(i % 41 == 0, 32).otherwise(i % 3).cast("int")
+    return x.withColumns({
+        "user_message": message,
+        "prompt_chars": F.when(i % 11 != 0, F.length(message).cast("long")),
+        "edited_files": F.when(i % 4 == 2, F.array(F.concat(F.lit("src/f"), k % 5, F.lit(".rs")))).otherwise(F.array().cast("array<string>")),
+        "referenced_files": F.when(files > 0, named(F.greatest(files, F.lit(1)))).otherwise(F.array().cast("array<string>")),
+        "model": F.concat("model", F.when(i % 10 == 3, "-high").when(i % 10 == 4, "-low").when(i % 10 == 5, "-xhigh").otherwise("")),
+    })
+
+
+#: The same as a DuckDB query over x.
+PRACTICE_SQL = f"""
+pc0 AS (SELECT *, (input_tokens // 100 + seq // 7) % {len(PROMPTS)} AS pick FROM x),
+pc1 AS (SELECT *, [{', '.join("'" + p.replace("'", "''") + "'" for p in PROMPTS)}][(pick + 1)::INT] AS user_message FROM pc0),
+pc AS (SELECT * REPLACE (CASE WHEN seq % 11 <> 0 THEN length(user_message)::BIGINT END AS prompt_chars, model || CASE seq % 10 WHEN 3 THEN '-high' WHEN 4 THEN '-low' WHEN 5 THEN '-xhigh' ELSE '' END AS model),
+         CASE WHEN seq % 4 = 2 THEN ['src/f' || ((input_tokens // 100) % 5) || '.rs'] ELSE []::VARCHAR[] END AS edited_files,
+         list_transform(generate_series(1, CASE WHEN seq % 41 = 0 THEN 32 ELSE seq % 3 END), lambda f: 'doc' || f) AS referenced_files FROM pc1)"""
+
+
 def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User turns with the assistant turn that follows, from conversations."""
     from pyspark.sql import Window
