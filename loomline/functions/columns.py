@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -56,3 +56,27 @@ def bar_value(value: Column, largest: Column) -> Column:
 
 def penalty(severity: Column) -> Column:
     return F.when(severity == "high", 12).when(severity == "medium", 7).otherwise(3)
+
+
+def bar_or_zero(value: Column, largest: Column) -> Column:
+    """Percent of the largest, 0 to 100."""
+    return F.when(largest <= 0, F.lit(0)).otherwise(F.least(F.greatest(F.round(100.0 * value / largest), F.lit(0.0)), F.lit(100.0))).cast("long")
+
+
+def whole_scale(value: Column, largest: Column) -> Column:
+    """Percent of the largest by whole division, 1 to 100; 0 if the largest is 0."""
+    return F.when(largest == 0, F.lit(0)).otherwise(F.least(F.greatest(F.floor(value * 100 / largest), F.lit(1)), F.lit(100))).cast("long")
+
+
+def heat_class(value: Column) -> Column:
+    """0 for 0, then up to 20, 40, 65, 85 and beyond."""
+    out = F.when(value == 0, 0)
+    for place, most in enumerate((20, 40, 65, 85), 1):
+        out = out.when(value <= most, place)
+    return out.otherwise(5).cast("long")
+
+
+def day_bounds(period: str, today: date) -> tuple[Column, Column]:
+    """first and last day of a period, inclusive; today spans two days, all has no first."""
+    first = {"today": today - timedelta(days=1), "week": today - timedelta(days=6), "30d": today - timedelta(days=29), "month": today.replace(day=1), "all": None}[period]
+    return F.lit(first).cast("date").alias(f"{period}_first"), F.lit(today).cast("date").alias(f"{period}_last")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import canonical_key
+
 #: Tool by event type, model by event_id mod 6, tools used by event_id mod 4.
 TOOLS = {"click": "claude-code", "view": "cursor", "purchase": "codex", "signup": "copilot", "error": "gemini"}
 MODELS = ("claude-opus-4-6-20260205", "vendor/claude-haiku-4-5", "gpt-5-mini", "claude-4.5-opus", "auto", "my-proxy-9000")
@@ -144,3 +146,30 @@ x AS (
          input_tokens + output_tokens + cache_write_tokens + cache_read_tokens AS tokens,
          regexp_replace(regexp_replace(split_part(regexp_extract(lower(trim(model)), '[^/]*$'), '@', 1), '-[0-9]{8}$', ''), '^claude-([0-9]+)[.-]([0-9]+)-([a-z]+)$', 'claude-\\3-\\1-\\2') AS canonical
   FROM calls)"""
+
+
+# The models, tools and commands of detailed_calls.
+MORE_MODELS = ("claude-opus-4-6-20260205", "vendor/claude-haiku-4-5", "gpt-5-mini", "claude-4.5-opus", "auto", "My-Proxy-9000", "gpt-6.1-codex-max", "claude-nova-1", "gemini-9-ultra", "", "Vendor/composer-1.5", "grok-4-5-fast@beta", "claude-sonnet-4-6")
+MORE_TOOLS = ((), ("Read",), ("Edit", "Bash"), ("mcp__srv2__b", "TodoWrite"), ("EnterPlanMode", "Read"), ("Task", "Edit"), ("WebSearch",), ("TodoWrite",), ("Skill",), ("Bash", "Grep"), ("Bash",))
+MORE_COMMANDS = ((), ("git push", "cargo test"), ("Docker build .",), ("git status",), ("ls -la", "gh pr create"), ("python -m pytest -q",), ("remake",))
+
+
+def detailed_calls(x: DataFrame) -> DataFrame:
+    """practice_calls with more models, tools and commands, hour-long cache writes, web searches and speeds."""
+    i = F.col("seq")
+    wide = practice_calls(x).withColumns({"model": _pick(i % len(MORE_MODELS), MORE_MODELS), "tools": _pick(i % len(MORE_TOOLS), MORE_TOOLS), "commands": _pick(F.floor(i / 3) % len(MORE_COMMANDS), [(c,) if isinstance(c, str) else c for c in MORE_COMMANDS])})
+    wide = wide.withColumn("commands", F.when(F.array_contains("tools", "Bash") | (i % 5 == 0), F.col("commands")).otherwise(F.array().cast("array<string>")))
+    more = {"canonical": canonical_key(F.col("model")), "cache_1h_tokens": F.when(i % 3 == 0, F.col("cache_write_tokens") * 2).otherwise(F.floor(F.col("cache_write_tokens") / 2)), "web_searches": i % 5, "speed": F.when(i % 7 == 0, "fast").otherwise("standard")}
+    return wide.withColumns(more)
+
+
+def _sql_lists(values) -> str:
+    return "[" + ", ".join("[" + ", ".join(f"'{v}'" for v in ((row,) if isinstance(row, str) else row)) + "]::VARCHAR[]" for row in values) + "]"
+
+
+#: The same as a DuckDB query over x.
+DETAILED_SQL = f"""{PRACTICE_SQL},
+dc0 AS (SELECT * REPLACE ([{', '.join(f"'{m}'" for m in MORE_MODELS)}][(seq % {len(MORE_MODELS)} + 1)::INT] AS model, {_sql_lists(MORE_TOOLS)}[(seq % {len(MORE_TOOLS)} + 1)::INT] AS tools, {_sql_lists(MORE_COMMANDS)}[(seq // 3 % {len(MORE_COMMANDS)} + 1)::INT] AS commands) FROM pc),
+dc AS (SELECT * REPLACE (CASE WHEN list_contains(tools, 'Bash') OR seq % 5 = 0 THEN commands ELSE [] END AS commands,
+    regexp_replace(regexp_replace(split_part(regexp_extract(lower(trim(model)), '[^/]*$'), '@', 1), '-[0-9]{{8}}$', ''), '^claude-([0-9]+)[.-]([0-9]+)-([a-z]+)$', 'claude-\\3-\\1-\\2') AS canonical),
+  CASE WHEN seq % 3 = 0 THEN cache_write_tokens * 2 ELSE cache_write_tokens // 2 END AS cache_1h_tokens, seq % 5 AS web_searches, CASE WHEN seq % 7 = 0 THEN 'fast' ELSE 'standard' END AS speed FROM dc0)"""
