@@ -18,6 +18,8 @@ PRICES = (
     ("cursor", "auto", None, 1.0, 6.0, 1.25, 0.25),
 )
 FALLBACK = (3.0, 15.0, 3.75, 0.3)
+#: Up to so many entries a price book is broadcast.
+BROADCAST_PRICES = 10_000
 
 
 def price_book(spark: SparkSession) -> DataFrame:
@@ -35,7 +37,8 @@ def priced(calls: DataFrame, book: DataFrame) -> DataFrame:
     fits = (F.col("scope").isNull() | (F.col("scope") == F.col("tool"))) & F.col("canonical").startswith(F.col("key")) & (F.col("effective_from").isNull() | (F.col("effective_from") <= F.col("day")))
     order = F.struct(F.col("scope").isNotNull(), F.col("key") == F.col("canonical"), F.length("key"), F.coalesce("effective_from", F.lit("0001-01-01").cast("date")))
     prices = F.struct("p_in", "p_out", "p_write", "p_read")
-    best = keys.join(F.broadcast(book), fits).groupBy("tool", "canonical", "day").agg(F.max_by(prices, order).alias("price"))
+    few = book.limit(BROADCAST_PRICES + 1).count() <= BROADCAST_PRICES
+    best = keys.join(F.broadcast(book) if few else book, fits).groupBy("tool", "canonical", "day").agg(F.max_by(prices, order).alias("price"))
     joined = calls.withColumn("day", day).join(best, ["tool", "canonical", "day"], "left")
     p = [F.coalesce(F.col(f"price.{n}"), F.lit(v)) for n, v in zip(("p_in", "p_out", "p_write", "p_read"), FALLBACK, strict=True)]
     cost = F.col("input_tokens") * p[0] + F.col("output_tokens") * p[1] + F.col("cache_write_tokens") * p[2] + F.col("cache_read_tokens") * p[3]

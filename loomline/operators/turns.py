@@ -40,9 +40,11 @@ def activity_blocks(x: DataFrame, minutes: int = 15) -> DataFrame:
 
 
 def max_concurrency(x: DataFrame) -> DataFrame:
-    """C11: by day, most sessions active in a minute; a block counts through its last minute."""
+    """C11: by day, most sessions active in a minute; a block counts through its last minute, on every day that it touches."""
     minute = lambda c: (F.hour(c) * 60 + F.minute(c)).cast("long")
-    b = activity_blocks(x).select(F.to_date("start").alias("day"), minute("start").alias("lo"), F.when(F.to_date("end") == F.to_date("start"), minute("end")).otherwise(1439).cast("long").alias("hi"))
+    first, last = F.to_date("start"), F.to_date("end")
+    days = activity_blocks(x).select("start", "end", F.explode(F.sequence(first, last)).alias("day"))
+    b = days.select("day", F.when(F.col("day") == first, minute("start")).otherwise(0).cast("long").alias("lo"), F.when(F.col("day") == last, minute("end")).otherwise(1439).cast("long").alias("hi"))
     events = b.select("day", F.explode(F.array(F.struct(F.col("lo").alias("at"), F.lit(1).alias("step")), F.struct((F.col("hi") + 1).alias("at"), F.lit(-1).alias("step")))).alias("e")).select("day", "e.*")
     steps = events.groupBy("day", "at").agg(F.sum("step").alias("step"))
     return steps.withColumn("active", F.sum("step").over(Window.partitionBy("day").orderBy("at"))).groupBy("day").agg(F.max("active").alias("most"))

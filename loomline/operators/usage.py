@@ -51,14 +51,15 @@ def by(x: DataFrame, *keys: str) -> DataFrame:
 def ranked(totals: DataFrame, label: str, mode: str = "spend", top: int | None = None) -> DataFrame:
     """The rank and bar value of each row of by(), then the first ones."""
     orders = {"spend": ("cost", "tokens", "latest"), "date": ("latest", "cost", "tokens"), "tokens": ("tokens", "cost", "latest")}[mode]
-    w, every = Window.orderBy(*[F.col(c).desc_nulls_last() for c in orders], F.col(label).asc()), Window.partitionBy()
-    out = totals.withColumn("rank", F.row_number().over(w).cast("long"))
+    order = [*[F.col(c).desc_nulls_last() for c in orders], F.col(label).asc()]
+    every = totals.agg(F.count("*").alias("_n"), F.max(orders[0]).alias("_largest"))
+    first = totals.orderBy(*order).limit(top) if top else totals  # the first ones only, so that no task sorts all rows
+    out = first.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long")).crossJoin(F.broadcast(every))  # one row
     if mode == "date":
-        n = F.count("*").over(every)
-        out = out.withColumn("bar", bar_value((n - F.col("rank") + 1).cast("double"), n.cast("double")))
+        bar = bar_value((F.col("_n") - F.col("rank") + 1).cast("double"), F.col("_n").cast("double"))
     else:
-        out = out.withColumn("bar", bar_value(F.col(orders[0]).cast("double"), F.max(orders[0]).over(every).cast("double")))
-    return out.where(F.col("rank") <= top) if top else out
+        bar = bar_value(F.col(orders[0]).cast("double"), F.col("_largest").cast("double"))
+    return out.withColumn("bar", bar).drop("_n", "_largest")
 
 
 def daily(x: DataFrame) -> DataFrame:

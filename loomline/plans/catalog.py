@@ -174,7 +174,8 @@ b AS (SELECT session_key, block, min(timestamp) AS start, max(timestamp) AS "end
 """
 _over_calls("C10_activity_blocks", turns.activity_blocks, _BLOCKS + "SELECT * FROM b")
 _over_calls("C11_max_concurrency", turns.max_concurrency, _BLOCKS + """
-, m AS (SELECT start::DATE AS day, hour(start) * 60 + minute(start) AS lo, CASE WHEN "end"::DATE = start::DATE THEN hour("end") * 60 + minute("end") ELSE 1439 END AS hi FROM b),
+, n AS (SELECT *, unnest(generate_series(start::DATE::TIMESTAMP, "end"::DATE::TIMESTAMP, INTERVAL 1 DAY))::DATE AS day FROM b),
+m AS (SELECT day, CASE WHEN day = start::DATE THEN hour(start) * 60 + minute(start) ELSE 0 END AS lo, CASE WHEN day = "end"::DATE THEN hour("end") * 60 + minute("end") ELSE 1439 END AS hi FROM n),
 e AS (SELECT day, lo AS mark, 1 AS step FROM m UNION ALL SELECT day, hi + 1, -1 FROM m),
 s AS (SELECT day, mark, sum(step) AS step FROM e GROUP BY day, mark)
 SELECT day, max(active)::BIGINT AS most FROM (SELECT day, sum(step) OVER (PARTITION BY day ORDER BY mark) AS active FROM s) GROUP BY day""")

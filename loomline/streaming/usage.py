@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.archive import merge_calls
+from ..operators.lookups import first_wins
+
 
 def first_seen(stream: DataFrame, lateness: str = "2 days") -> DataFrame:
     """Rows with a key not seen within the watermark."""
@@ -24,14 +28,23 @@ def activity_blocks(stream: DataFrame, gap: str = "15 minutes", lateness: str =
 
 
 def merge_batches(path: str) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch; each batch replaces its own folder, so a repeated batch changes nothing."""
+    """For foreachBatch, whose numbers are consecutive; each batch writes the archive after it, merged from the one before.
+
+    A repeated batch starts from the same archive and changes nothing; a key that comes again in a later batch is one row.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.dropDuplicates(["tool", "dedup_key"]).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        fresh = batch if batch_id == 0 else merge_calls(archive_after(batch.sparkSession, path, batch_id - 1), batch)
+        (first_wins(fresh) if batch_id == 0 else fresh).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return write
 
 
+def archive_after(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
+    """The archive as a batch of merge_batches left it."""
+    return spark.read.parquet(f"{path}/batch={batch_id}")
+
+
 #: A usage alert's thresholds and the least time between two alerts.
 ALERT_COST, ALERT_TOKENS, ALERT_CALLS, COOLDOWN_MS = 1.0, 100_000, 25, 30 * 60_000
 State = tuple[float, int, int, int]
@@ -56,7 +69,7 @@ def _alerts(key, frames, state):
 
     cost, tokens, calls, baseline = state.get if state.exists else (0.0, 0, 0, None)
     for frame in frames:
-        cost, tokens, calls = cost + float(frame["cost"].sum()), tokens + int(frame["tokens"].sum()), calls + len(frame)
+        cost, tokens, calls = cost + float(frame["cost"].sum()), tokens + int(frame["tokens"].sum()), calls + int(frame["calls"].sum())
     last = tuple(baseline) if baseline is not None else (0.0, 0, 0, -COOLDOWN_MS)
     after, alert = alert_step(last, (cost, tokens, calls), state.getCurrentProcessingTimeMs())
     state.update((cost, tokens, calls, after))
@@ -64,8 +77,20 @@ def _alerts(key, frames, state):
         yield pd.DataFrame([(key[0], *alert)], columns=["tool", "cost", "tokens", "calls"])
 
 
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each tool of a task."""
+    parts = [pa.Table.from_batches([b]).group_by("tool").aggregate([("cost", "sum"), ("tokens", "sum"), ("cost", "count")]) for b in batches if b.num_rows]
+    if parts:
+        total = pa.concat_tables(parts).group_by("tool").aggregate([("cost_sum", "sum"), ("tokens_sum", "sum"), ("cost_count", "sum")])
+        yield from total.select(["tool", "cost_sum_sum", "tokens_sum_sum", "cost_count_sum"]).rename_columns(["tool", "cost", "tokens", "calls"]).to_batches()
+
+
 def usage_alerts(stream: DataFrame) -> DataFrame:
-    """By tool, a row whenever what was used since the last alert passes a threshold; state is a few numbers for each tool."""
-    return stream.select("tool", "cost", "tokens").groupBy("tool").applyInPandasWithState(
+    """By tool, a row whenever what was used since the last alert passes a threshold.
+
+    Tasks send on one row for each tool, so the few keys carry no load; state is a few numbers for each tool.
+    """
+    calls = stream.select("tool", F.coalesce(F.col("cost").cast("double"), F.lit(0.0)).alias("cost"), F.coalesce(F.col("tokens").cast("long"), F.lit(0)).cast("long").alias("tokens"))
+    return calls.mapInArrow(_sums, "tool string, cost double, tokens long, calls long").groupBy("tool").applyInPandasWithState(
         _alerts, "tool string, cost double, tokens long, calls long", "cost double, tokens long, calls long, baseline struct<cost:double,tokens:long,calls:long,at:long>", "append", "NoTimeout"
     )

@@ -43,3 +43,19 @@ def test_alert_stream(spark, tmp_path):
     query = streaming.usage_alerts(stream).writeStream.format("memory").queryName("alerts").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     assert query.awaitTermination(90)
     assert [(r.tool, round(r.cost, 6), r.calls) for r in spark.table("alerts").collect()] == [("codex", 1.2, 3)]
+
+
+def test_batches_merge_into_one_archive(spark, tmp_path):
+    """A key of an earlier batch stays one row, a repeated batch changes nothing."""
+    from loomline.streaming import usage as streaming
+
+    kinds = "seq long, tool string, dedup_key string, timestamp timestamp_ntz, timestamp_quality string, cost double, input_tokens long"
+    path = str(tmp_path / "archive")
+    write = streaming.merge_batches(path)
+    first = spark.createDataFrame([(1, "codex", "a", None, "exact", 1.0, 10), (2, "codex", "a", None, "exact", 9.0, 90), (3, "cursor", "b", None, "exact", 2.0, 20)], kinds)
+    second = spark.createDataFrame([(4, "codex", "a", None, "exact", 5.0, 50), (5, "cursor", "b", None, "exact", 7.0, 70), (6, "codex", "c", None, "exact", 3.0, 30)], kinds)
+    write(first, 0)
+    for _ in range(2):
+        write(second, 1)
+    got = {(r.tool, r.dedup_key): (r.cost, r.input_tokens) for r in streaming.archive_after(spark, path, 1).collect()}
+    assert got == {("codex", "a"): (1.0, 10), ("cursor", "b"): (2.0, 70), ("codex", "c"): (3.0, 30)}
