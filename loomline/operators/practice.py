@@ -268,3 +268,37 @@ def flow_by_day(t: DataFrame, today: date) -> DataFrame:
     blocks = rows.groupBy("day", "block").agg(F.greatest(F.timestamp_diff("MINUTE", F.min("start"), F.max("end")), F.lit(0)).alias("minutes"), F.sum("score").alias("score"), F.count("*").alias("sessions"))
     days = blocks.groupBy("day").agg(F.round(F.sum("score") / F.sum("sessions")).cast("long").alias("score"), F.sum("sessions").alias("sessions"), F.max("minutes").alias("longest_block"), F.sum("minutes").alias("active"))
     return days.withColumn("label", plain_turns.flow_label(F.col("score")))
+
+
+def flow_summary(days: DataFrame) -> DataFrame:
+    """Over flow_by_day, the mean score, deep and fragmented days and the mean of the longest blocks."""
+    return days.agg(F.coalesce(F.round(F.sum("score") / F.count("*")), F.lit(0.0)).cast("long").alias("overall"), F.count_if(F.col("score") >= 70).alias("deep_days"), F.count_if(F.col("score") < 25).alias("fragmented_days"), F.coalesce(F.floor(F.sum("longest_block") / F.count("*")), F.lit(0)).cast("long").alias("mean_longest_block"))
+
+
+# A long streak, shares of late and weekend turns that are heavy, and how much more the last weeks have if they rise.
+STREAK_DAYS, LATE_SHARE, WEEKEND_SHARE, RISE = 14, 0.15, 0.25, 0.20
+
+
+def pace(t: DataFrame, today: date) -> DataFrame:
+    """Streaks of active days (the current one ends today or yesterday), late and weekend shares, alerts and the risk they make."""
+    timed = t.where("start_at is not null").select("start_at", F.to_date("start_at").alias("day"), week_of(F.col("start_at")).cast("long").alias("week"))
+    late, weekend = (F.hour("start_at") < 5) | (F.hour("start_at") >= 22), F.weekday("start_at") >= 5
+    days = timed.groupBy("day", "week").agg(F.count("*").alias("turns"), F.count_if(late).alias("late"), F.count_if(weekend).alias("weekend"))  # a row for each day
+    runs = days.withColumn("island", F.date_sub("day", F.row_number().over(Window.orderBy("day")))).groupBy("island").agg(F.max("day").alias("last"), F.count("*").alias("days"))
+    until = F.lit(today).cast("date")
+    streaks = runs.agg(F.coalesce(F.max("days"), F.lit(0)).alias("longest_streak"))
+    # days after today neither end nor join the current streak
+    past = days.where(F.col("day") <= until).withColumn("island", F.date_sub("day", F.row_number().over(Window.orderBy("day")))).groupBy("island").agg(F.max("day").alias("last"), F.count("*").alias("days"))
+    current = past.agg(F.coalesce(F.max(F.when(F.col("last") >= F.date_sub(until, 1), F.col("days"))), F.lit(0)).alias("current_streak"))
+    weeks = days.groupBy("week").agg(F.sum("late").alias("late"), F.sum("weekend").alias("weekend")).withColumn("back", F.row_number().over(Window.orderBy(F.desc("week"))))
+    mean = lambda c, lo, hi: F.sum(F.when(F.col("back").between(lo, hi), F.col(c))) / 3.0
+    rising = lambda c: F.coalesce((F.max("back") >= 6) & (mean(c, 4, 6) > 0) & (mean(c, 1, 3) > mean(c, 4, 6) * (1.0 + RISE)), F.lit(False))
+    trend = weeks.agg(rising("late").alias("late_rising"), rising("weekend").alias("weekend_rising"))
+    sums = days.agg(F.coalesce(F.sum("late") / F.sum("turns"), F.lit(0.0)).alias("late_share"), F.coalesce(F.sum("weekend") / F.sum("turns"), F.lit(0.0)).alias("weekend_share"))
+    one = streaks.crossJoin(current).crossJoin(trend).crossJoin(sums)  # one row each
+    long_streak = F.col("current_streak") >= STREAK_DAYS
+    named = ((long_streak, "long_streak"), (F.col("late_rising"), "late_night_rising"), (F.col("weekend_rising"), "weekend_rising"), (F.col("late_share") > LATE_SHARE, "late_night_heavy"), (F.col("weekend_share") > WEEKEND_SHARE, "weekend_heavy"))
+    alerts = F.array_compact(F.array(*[F.when(c, F.lit(n)) for c, n in named]))
+    risk = F.when((F.size("alerts") >= 3) | (long_streak & F.col("late_rising")), "high").when(F.size("alerts") > 0, "medium").otherwise("low")
+    pct = lambda c: F.round(F.col(c) * 100.0).cast("long")
+    return one.withColumn("alerts", alerts).select("current_streak", "longest_streak", pct("late_share").alias("late_pct"), pct("weekend_share").alias("weekend_pct"), F.array_join("alerts", ",").alias("alerts"), risk.alias("risk"))

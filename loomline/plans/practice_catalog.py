@@ -111,9 +111,23 @@ FROM (SELECT period, round(sum(score * total_rules) / sum(total_rules))::BIGINT
 , b AS (SELECT *, row_number() OVER (PARTITION BY "group" ORDER BY period DESC) AS back FROM gscore),
 m AS (SELECT "group", count(*) AS n, avg(score) FILTER (back = 1) AS a, avg(score) FILTER (back = 2) AS b, avg(score) FILTER (back <= 4) AS c, avg(score) FILTER (back BETWEEN 5 AND 8) AS d, string_agg(score::VARCHAR, ',' ORDER BY period) FILTER (back <= 12) AS trend FROM b GROUP BY "group")
 SELECT "group", CASE WHEN n >= 2 AND b > 0 THEN round((a - b) / b * 100)::BIGINT END AS wow_pct, CASE WHEN n >= 8 AND d > 0 THEN round((c - d) / d * 100)::BIGINT END AS mom_pct, trend FROM m""")
-    over_calls("C05_flow_by_day", lambda x: practice.flow_by_day(practice.practice_turns(practice_view(x, now)), now.date()), turns_sql(signals_sql("message"), "'all'", now) + f"""
+    by_day = turns_sql(signals_sql("message"), "'all'", now) + f"""
 , g AS (SELECT *, max(end_at) OVER (PARTITION BY day ORDER BY start_at, skey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM flow WHERE day <= DATE '{now.date()}'),
 h AS (SELECT *, sum(CASE WHEN (epoch_us(start_at) - epoch_us(before)) / 60000000 < 16 THEN 0 ELSE 1 END) OVER (PARTITION BY day ORDER BY start_at, skey ROWS UNBOUNDED PRECEDING) AS block FROM g),
 k AS (SELECT day, block, greatest((epoch_us(max(end_at)) - epoch_us(min(start_at))) // 60000000, 0) AS minutes, sum(score) AS score, count(*) AS sessions FROM h GROUP BY day, block),
 d AS (SELECT day, round(sum(score) / sum(sessions))::BIGINT AS score, sum(sessions)::BIGINT AS sessions, max(minutes)::BIGINT AS longest_block, sum(minutes)::BIGINT AS active FROM k GROUP BY day)
-SELECT *, CASE WHEN score >= 70 THEN 'deep' WHEN score >= 45 THEN 'moderate' WHEN score >= 25 THEN 'shallow' ELSE 'fragmented' END AS label FROM d""")
+"""
+    days = lambda x: practice.flow_by_day(practice.practice_turns(practice_view(x, now)), now.date())
+    over_calls("C05_flow_by_day", days, by_day + "SELECT *, CASE WHEN score >= 70 THEN 'deep' WHEN score >= 45 THEN 'moderate' WHEN score >= 25 THEN 'shallow' ELSE 'fragmented' END AS label FROM d")
+    over_calls("C06_flow_summary", lambda x: practice.flow_summary(days(x)), by_day + """
+SELECT coalesce(round(sum(score) / count(*)), 0)::BIGINT AS overall, count(*) FILTER (score >= 70)::BIGINT AS deep_days, count(*) FILTER (score < 25)::BIGINT AS fragmented_days, coalesce(sum(longest_block) // count(*), 0)::BIGINT AS mean_longest_block FROM d""")
+    over_calls("C07_pace", lambda x: practice.pace(practice.practice_turns(practice_view(x, now)), now.date()), turns_sql(signals_sql("message"), "'all'", now) + f"""
+, td AS (SELECT start_at::DATE AS day, isoyear(start_at) * 53 + week(start_at) AS week, (hour(start_at) < 5 OR hour(start_at) >= 22)::INT AS late, (isodow(start_at) >= 6)::INT AS weekend FROM pt WHERE start_at IS NOT NULL),
+ad AS (SELECT DISTINCT day FROM td), s1 AS (SELECT max(n) AS longest FROM (SELECT count(*) AS n FROM (SELECT day - row_number() OVER (ORDER BY day)::INT AS island FROM ad) GROUP BY island)),
+s2 AS (SELECT coalesce(max(n) FILTER (last >= DATE '{now.date()}' - 1), 0) AS current FROM (SELECT count(*) AS n, max(day) AS last FROM (SELECT day, day - row_number() OVER (ORDER BY day)::INT AS island FROM ad WHERE day <= DATE '{now.date()}') GROUP BY island)),
+wk AS (SELECT *, row_number() OVER (ORDER BY week DESC) AS back FROM (SELECT week, sum(late) AS late, sum(weekend) AS weekend FROM td GROUP BY week)),
+tr AS (SELECT max(back) >= 6 AND sum(late) FILTER (back BETWEEN 4 AND 6) > 0 AND sum(late) FILTER (back <= 3) / 3.0::DOUBLE > sum(late) FILTER (back BETWEEN 4 AND 6) / 3.0::DOUBLE * 1.2::DOUBLE AS lr,
+  max(back) >= 6 AND sum(weekend) FILTER (back BETWEEN 4 AND 6) > 0 AND sum(weekend) FILTER (back <= 3) / 3.0::DOUBLE > sum(weekend) FILTER (back BETWEEN 4 AND 6) / 3.0::DOUBLE * 1.2::DOUBLE AS wr FROM wk),
+sh AS (SELECT avg(late) AS ls, avg(weekend) AS ws FROM td),
+al AS (SELECT *, list_filter([CASE WHEN current >= {practice.STREAK_DAYS} THEN 'long_streak' END, CASE WHEN lr THEN 'late_night_rising' END, CASE WHEN wr THEN 'weekend_rising' END, CASE WHEN ls > {practice.LATE_SHARE} THEN 'late_night_heavy' END, CASE WHEN ws > {practice.WEEKEND_SHARE} THEN 'weekend_heavy' END], lambda a: a IS NOT NULL) AS a FROM s1, s2, tr, sh)
+SELECT current::BIGINT AS current_streak, longest::BIGINT AS longest_streak, round(ls * 100)::BIGINT AS late_pct, round(ws * 100)::BIGINT AS weekend_pct, array_to_string(a, ',') AS alerts, CASE WHEN len(a) >= 3 OR current >= {practice.STREAK_DAYS} AND lr THEN 'high' WHEN len(a) > 0 THEN 'medium' ELSE 'low' END AS risk FROM al""")
