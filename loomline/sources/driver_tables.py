@@ -108,6 +108,18 @@ def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def dated_transcripts(turns: DataFrame) -> DataFrame:
+    """transcripts with a project and a time."""
+    slash = F.when(F.col("turn") % 4 == 0, "/").otherwise("")
+    hours = F.make_dt_interval(hours=(F.col("conv_id") % 500).cast("int"), mins=F.col("turn").cast("int"))
+    return turns.withColumns({"project": F.concat(F.lit("/work/p"), F.col("conv_id") % 7, slash), "timestamp": F.lit("2024-01-01").cast("timestamp_ntz") + hours})
+
+
+def user_calls(x: DataFrame) -> DataFrame:
+    """calls with a session for each user."""
+    return x.withColumn("session_id", F.substring_index("session_id", "-", 1))
+
+
 def limit_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rate-limit observations, from orders."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
