@@ -261,11 +261,8 @@ def flow_by_day(t: DataFrame, today: date) -> DataFrame:
     """By day, the mean flow score and label, sessions, and the longest and all minutes of work blocks of their spans (15 whole minutes apart or less)."""
     flow = plain_turns.session_flow(t.select("skey", "turn", F.col("start_at").alias("start"), F.col("end_at").alias("end"), F.col("elapsed").alias("elapsed_ms"))).where(F.col("day") <= F.lit(today))
     spans = t.where("start_at is not null").groupBy("skey").agg(F.min_by("start_at", "turn").alias("start"), F.max_by("end_at", "turn").alias("end"))
-    rows = flow.join(spans, "skey")
-    w = Window.partitionBy("day").orderBy("start", "skey")
-    before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("new", F.coalesce(F.timestamp_diff("MINUTE", before, F.col("start")) > 15, F.lit(True)).cast("long")).withColumn("block", F.sum("new").over(w))
-    blocks = rows.groupBy("day", "block").agg(F.greatest(F.timestamp_diff("MINUTE", F.min("start"), F.max("end")), F.lit(0)).alias("minutes"), F.sum("score").alias("score"), F.count("*").alias("sessions"))
+    rows = flow.join(spans, "skey").withColumn("sessions", F.lit(1))
+    blocks = plain_turns.day_blocks(rows, "score", "sessions").withColumn("minutes", F.greatest(F.timestamp_diff("MINUTE", F.col("start"), F.col("end")), F.lit(0)))
     days = blocks.groupBy("day").agg(F.round(F.sum("score") / F.sum("sessions")).cast("long").alias("score"), F.sum("sessions").alias("sessions"), F.max("minutes").alias("longest_block"), F.sum("minutes").alias("active"))
     return days.withColumn("label", plain_turns.flow_label(F.col("score")))
 

@@ -127,13 +127,24 @@ def bounded_edges(edges: DataFrame, per_source: int = 5) -> DataFrame:
     return edges.withColumn("place", F.row_number().over(w).cast("long")).where(F.col("place") <= per_source)
 
 
+def day_blocks(spans: DataFrame, *sums: str) -> DataFrame:
+    """(day, start, end, sums) of spans merged where the gap is at most 15 whole minutes.
+
+    Spans that start in one quarter of an hour always merge, so they are aggregated first; what a day puts in order is 96 rows at most.
+    """
+    quarter = F.hour("start") * 4 + F.floor(F.minute("start") / 15)
+    ends = [F.min("start").alias("start"), F.max("end").alias("end"), *[F.sum(c).alias(c) for c in sums]]
+    rows = spans.groupBy("day", quarter.alias("quarter")).agg(*ends)
+    w = Window.partitionBy("day").orderBy("start")
+    before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("new", F.coalesce(F.timestamp_diff("MINUTE", before, F.col("start")) > 15, F.lit(True)).cast("long")).withColumn("block", F.sum("new").over(w))
+    return rows.groupBy("day", "block").agg(*ends)
+
+
 def flow_days(x: DataFrame, now: datetime) -> DataFrame:
     """By day, session spans merged where the gap is at most 15 whole minutes; number and longest minutes of blocks."""
     spans = x.where("session_key is not null and timestamp_quality = 'exact'").groupBy("session_key", F.to_date("timestamp").alias("day")).agg(F.min("timestamp").alias("start"), F.max("timestamp").alias("end")).where(F.col("day") <= F.lit(now.date()))
-    w = Window.partitionBy("day").orderBy("start", "end", "session_key")
-    before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    rows = spans.withColumn("new", F.coalesce(F.timestamp_diff("MINUTE", before, F.col("start")) > 15, F.lit(True)).cast("long")).withColumn("block", F.sum("new").over(w))
-    blocks = rows.groupBy("day", "block").agg(F.timestamp_diff("MINUTE", F.min("start"), F.max("end")).alias("minutes"))
+    blocks = day_blocks(spans).select("day", F.timestamp_diff("MINUTE", F.col("start"), F.col("end")).alias("minutes"))
     return blocks.groupBy("day").agg(F.count("*").alias("blocks"), F.max("minutes").alias("longest"), F.sum("minutes").alias("active"))
 
 
