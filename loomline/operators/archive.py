@@ -6,6 +6,8 @@ decided by its tool, so a repeated batch changes nothing but what it may add to.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -132,3 +134,18 @@ def merge_limits(archive: DataFrame, incoming: DataFrame, key: tuple[str, ...])
     same = F.to_json(F.struct(*key))
     fresh = incoming.withColumn("_key", same).dropDuplicates(["_key"]).join(archive.select(same.alias("_key")), "_key", "left_anti")
     return archive.unionByName(fresh.select(*archive.columns))
+
+
+def seed_transcripts(calls: DataFrame) -> DataFrame:
+    """A transcript of its prompt for each call that has one, but for zeroed Copilot calls."""
+    sums = ("cost", "input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens")
+    zeroed = (F.col("tool") == "copilot") & reduce(Column.__and__, [F.col(c) == 0 for c in sums])
+    rows = calls.where((F.col("user_message") != "") & ~F.coalesce(zeroed, F.lit(False)))
+    return rows.select("tool", "dedup_key", "session_id", "project", "timestamp", F.col("user_message").alias("user_text"), F.lit("prompt").alias("origin"))
+
+
+def without_superseded(transcripts: DataFrame, calls: DataFrame) -> DataFrame:
+    """Transcripts but for those that a call supersedes which carries text itself; calls: tool, superseded (keys), user_text, assistant_text."""
+    has_text = (F.coalesce("user_text", F.lit("")) != "") | (F.coalesce("assistant_text", F.lit("")) != "")
+    gone = calls.where(has_text).select("tool", F.explode("superseded").alias("dedup_key")).distinct()
+    return transcripts.join(gone, ["tool", "dedup_key"], "left_anti")
