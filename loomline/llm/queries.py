@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .byte_bpe import op13_query
 from .chat_format import OP8_SQL, op8_query
 from .embedding_dedup import op4_query
 from .html_extract import op3_query
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_chat_formatting": op8_query,
     "op9_compression_bands": op9_query,
     "op10_simhash_trie": op10_query,
+    "op13_byte_bpe": op13_query,
 }
 
 ORACLE_SQL: dict[str, str] = {
