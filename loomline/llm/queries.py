@@ -6,12 +6,14 @@ from .byte_bpe import op13_query
 from .chat_format import OP8_SQL, op8_query
 from .embedding_dedup import op4_query
 from .html_extract import op3_query
+from .lexical_search import OP11_SQL, op11_query
 from .mixing import OP2_SQL, op2_query
 from .pii import op5_query
 from .quality_classifier import op6_query
 from .quality_rules import op9_query
 from .sentencepiece_codec import op7_query
 from .simhash import op10_query
+from .source_divergence import OP12_SQL, op12_query
 from .substring_dedup import OP1_SQL, op1_query
 
 QUERIES = {
@@ -25,6 +27,8 @@ QUERIES = {
     "op8_chat_formatting": op8_query,
     "op9_compression_bands": op9_query,
     "op10_simhash_trie": op10_query,
+    "op11_ranked_search": op11_query,
+    "op12_source_divergence": op12_query,
     "op13_byte_bpe": op13_query,
 }
 
@@ -32,4 +36,6 @@ ORACLE_SQL: dict[str, str] = {
     "op1_substring_dedup": OP1_SQL,
     "op2_source_mixing": OP2_SQL,
     "op8_chat_formatting": OP8_SQL,
+    "op11_ranked_search": OP11_SQL,
+    "op12_source_divergence": OP12_SQL,
 }
