@@ -6,7 +6,9 @@ as a digest so that depth costs nothing. In a first pass every page scores its
 containers by the text outside links in their own blocks and votes for the best
 one's path; it also names the boxes inside that container with their texts. Spark
 counts both by host: paths with enough votes win, and a box whose text stands on
-half of the host's pages is part of the template, not of an article.
+half of the host's pages is part of the template, not of an article. Pages count there
+by what is beside the box, its longest block, so that copies of a page, whole or
+nearly so, count once and keep all parts of their article.
 
 In a second pass a page is extracted again, without template boxes, from the first
 winning path that holds about as much text as its own best container. A page whose
@@ -17,8 +19,11 @@ what they add is mostly text outside links.
 What is cut inside a container: elements whose tag or class says menu, header,
 footer, sidebar, notice, advert, form, comments, script or style. A name says so if
 all its words are marks or words of layout: "ad-box" does, "side-effects" doesn't. A
-form, or a mark in a class, id or role, doesn't count on an element that holds most
-of the page's text outside links: such an element is a wrapper.
+form, or a mark in a class, id or role, gives way only where the page would lose its
+article: if no article or main element has text outside marks, the marks around the
+one with most text; if there is no such element and no text outside links and marks,
+the outermost mark with most text. How much of a page an element holds doesn't
+matter, so comments longer than the article go all the same.
 
 Tags are scanned once from left to right. A quote opens a value only after "=", an
 unclosed one ends at the next ">"; an unclosed comment, script or style runs to the
@@ -47,12 +52,10 @@ from .storage import materialize, small_batches
 
 #: Least share of a host's votes that a path needs, and their least number; how many paths and boxes are broadcast at most.
 VOTE_SHARE, LEAST_VOTES, BROADCAST_ROWS = 0.01, 2, 20_000
-#: A box is part of the template from this share of the host's pages on, and this number of them.
+#: A box is part of the template from this share of the host's different pages on, and this number of them.
 BOX_SHARE, BOX_PAGES = 0.5, 3
 #: A winning path is taken if it holds this share of the text of the page's own best container; the majority's path, if that isn't a winner, from the second on.
 AS_MUCH, FAIR = 0.95, 0.25
-#: A mark doesn't count from this share of the page's text on: a form or a name of several words, and a name that is a mark as a whole.
-WRAPPER_SHARE, WHOLE_SHARE = 0.67, 0.95
 _NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
 _VALUE = re.compile(r"[=>]")
 _UNQUOTED = re.compile(r"[\s>]")
@@ -83,20 +86,18 @@ _LAYOUT = frozenset(
 
 
 @lru_cache(1 << 16)
-def _mark(name: str) -> float:
-    """The share of a page's text from which a mark in a name doesn't count; 0: no mark."""
+def _mark(name: str) -> bool:
+    """Whether a name says that something isn't the article."""
     words = [w for w in re.split(r"[-_0-9]+", re.sub("([a-z])([A-Z])", r"\1-\2", name).lower()) if len(w) > 1]
-    if not any(w in _NOT_ARTICLE for w in words) or not all(w in _NOT_ARTICLE or w in _LAYOUT for w in words):
-        return 0.0
-    return WHOLE_SHARE if len(words) == 1 else WRAPPER_SHARE
+    return any(w in _NOT_ARTICLE for w in words) and all(w in _NOT_ARTICLE or w in _LAYOUT for w in words)
 
 
-def _names(attributes: str) -> tuple[list[str], float]:
-    """Generalised class names, and the share of text from which a mark in a class, id or role doesn't count."""
-    names, mark = [], 0.0
+def _names(attributes: str) -> tuple[list[str], bool]:
+    """Generalised class names, and whether a class, id or role is a mark."""
+    names, mark = [], False
     for kind, a, b, c in _NAMED.findall(attributes):
         for name in unescape(a or b or c).split():
-            mark = max(mark, _mark(name))
+            mark = mark or _mark(name)
             if kind.lower() == "class":
                 names.append(re.sub("[0-9]+", "#", name.lower()))
     return sorted(set(names)), mark
@@ -110,8 +111,9 @@ class Page:
         self.paths, self.names, self.parents = [""], [""], [-1]
         #: Container, text and length of link text of each block outside boilerplate.
         self.blocks: list[tuple[int, str, int]] = []
-        # marks: the one around it, and the share of text from which it doesn't count; the first is none
-        self._marks: list[tuple[int, float]] = [(0, 0.0)]
+        # the mark around each mark, the first being none; and the mark that each container stands in
+        self._marks: list[int] = [0]
+        self._marked: list[int] = [0]
         # pieces of the open block, and of the ended ones with their container: mark, text, whether in a link
         self._text: list[tuple[int, str, bool]] = []
         self._ended: list[tuple[int, list[tuple[int, str, bool]]]] = []
@@ -183,19 +185,36 @@ class Page:
             self._text = []
 
     def _choose_blocks(self) -> None:
-        """Fill blocks with what no mark that counts hides."""
-        held = [0] * len(self._marks)
-        for _, pieces in self._ended:
+        """Fill blocks with what no mark hides, where marks around the article give way."""
+        held, own = [0] * len(self._marks), [0] * len(self.paths)
+        for container, pieces in self._ended:
             for mark, raw, link in pieces:
-                size = len("".join(raw.split()))
-                held[mark] += 0 if link else size
-        total = sum(held)
-        for i in range(len(held) - 1, 0, -1):  # inner marks come after the ones around them
-            if self._marks[i][0]:
-                held[self._marks[i][0]] += held[i]
-        seen = [True]
-        for (around, share), size in list(zip(self._marks, held, strict=True))[1:]:
-            seen.append(seen[around] and 0 < total * share <= size)
+                size = 0 if link else len("".join(raw.split()))
+                held[mark] += size
+                if mark == self._marked[container]:
+                    own[container] += size
+        for i in range(len(own) - 1, 0, -1):  # children come after their parents; what an inner mark hides isn't theirs
+            if self._marked[i] == self._marked[self.parents[i]]:
+                own[self.parents[i]] += own[i]
+        seen = [i == 0 for i in range(len(self._marks))]
+        articles = [i for i in range(len(own)) if own[i] and self._named(i)]
+        if articles and not any(self._marked[i] == 0 for i in articles):
+            mark = self._marked[max(articles, key=lambda i: (own[i], -i))]
+            while mark:
+                seen[mark], mark = True, self._marks[mark]
+        elif not articles:
+            around, inside = 0, held[:]
+            for i in range(len(held) - 1, 0, -1):  # inner marks come after the ones around them
+                if self._marks[i]:
+                    inside[self._marks[i]] += inside[i]
+            within: dict[int, list[int]] = {}
+            for i in range(1, len(held)):
+                within.setdefault(self._marks[i], []).append(i)
+            while not held[around]:
+                fullest = max(within.get(around, []), key=lambda i: (inside[i], -i), default=0)
+                if not fullest or not inside[fullest]:
+                    break
+                seen[fullest], around = True, fullest
         for container, pieces in self._ended:
             text = " ".join(unescape("".join(raw for mark, raw, _ in pieces if seen[mark])).split())
             if text:
@@ -237,23 +256,24 @@ class Page:
         if tag in _VOID or attributes.endswith("/") and tag not in _BLOCKS:
             return
         _, container, mark, link = self._open[-1]
-        names, share = _names(attributes) if "=" in attributes else ([], 0.0)
+        names, marked = _names(attributes) if "=" in attributes else ([], False)
         if tag in ("html", "body", "main", "article"):
-            share = 0.0
+            marked = False
         if tag in ("form", "fieldset") or tag in _DRAWN:
-            share = max(share, WRAPPER_SHARE)
+            marked = True
         elif tag in _BOILERPLATE:
             mark = -1
         if attributes and _HIDDEN.search(attributes):
             mark = -1
-        if share and mark >= 0:
-            self._marks.append((mark, share))
+        if marked and mark >= 0:
+            self._marks.append(mark)
             mark = len(self._marks) - 1
         if tag in _CONTAINERS:
             name = ".".join([tag, *names])
             self.paths.append(xxhash.xxh3_128_hexdigest(f"{self.paths[container]}>{name}"))
             self.names.append(name)
             self.parents.append(container)
+            self._marked.append(mark)
             container = len(self.paths) - 1
         self._open.append((tag, container, mark, link or tag == "a"))
         self._count[tag] += 1
@@ -319,6 +339,23 @@ class Page:
         inside = self._inside({around})
         return {i: d.hexdigest() for i, d in digests.items() if i != around and inside[i] and self.names[i].split(".", 1)[0] in _BOXES}
 
+    def beside(self, around: int, boxes: list[int]) -> list[str]:
+        """For each box inside a container, a digest of the longest block of the container that isn't in the box."""
+        n = len(self.paths)
+        last = list(range(n))  # containers are numbered as they open, so those inside one follow it
+        for i in range(n - 1, 0, -1):
+            last[self.parents[i]] = max(last[self.parents[i]], last[i])
+        longest = [""] * n
+        inside = self._inside({around})
+        for container, text, _ in self.blocks:
+            if inside[container]:
+                longest[container] = max(longest[container], text, key=len)
+        before, after = [""] * (n + 1), [""] * (n + 1)
+        for i in range(n):
+            before[i + 1] = max(before[i], longest[i], key=len)
+            after[n - 1 - i] = max(longest[n - 1 - i], after[n - i], key=len)
+        return [xxhash.xxh3_128_hexdigest(max(before[i], after[last[i] + 1], key=len)) for i in boxes]
+
     def plain(self, containers: set[int], without: frozenset[int] | set[int] = frozenset()) -> int:
         """Length of the text outside links inside the containers."""
         inside = self._inside(containers, without)
@@ -338,17 +375,18 @@ class Page:
 
 
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, vote, box): a page's vote, or a box inside the container voted for."""
+    """(host, vote, box, beside): a page's vote with its longest block, or a box inside the container voted for with the longest block beside it."""
     for batch in batches:
-        rows: list[tuple[str, str | None, str | None]] = []
+        rows: list[tuple[str, str | None, str | None, str]] = []
         for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
             page = Page(html)
             if page.blocks:
                 best = page.best()
-                rows.append((host, page.paths[best], None))
-                rows += [(host, None, box) for box in set(page.boxes(best).values())]
-        columns = zip(*rows, strict=True) if rows else ([], [], [])
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["host", "vote", "box"])
+                boxes = page.boxes(best)
+                rows.append((host, page.paths[best], None, xxhash.xxh3_128_hexdigest(max((text for _, text, _ in page.blocks), key=len))))
+                rows += {(host, None, box, beside) for box, beside in zip(boxes.values(), page.beside(best, list(boxes)), strict=True)}
+        columns = zip(*rows, strict=True) if rows else ([], [], [], [])
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["host", "vote", "box", "beside"])
 
 
 def extract(html: str | None, winners: list[str], template: list[str] = (), majority: bool = False) -> str:
@@ -382,11 +420,13 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def host_paths(pages: DataFrame) -> DataFrame:
     """(host, winners, template, majority): each host's paths with enough votes, the most voted first (ties by path), its template's boxes, and whether the first path has half of all votes."""
-    counts = materialize(pages.select("host", "html").mapInArrow(_vote, "host string, vote string, box string").groupBy("host", "vote", "box").agg(F.count("*").alias("n")), "votes")
-    voted = counts.where("vote is not null").groupBy("host").agg(F.sum("n").alias("all"))
-    both = counts.join(voted, "host")
-    enough = both.where((F.col("vote").isNotNull()) & (F.col("n") >= LEAST_VOTES) & (F.col("n") >= VOTE_SHARE * F.col("all")))
-    boxes = both.where((F.col("box").isNotNull()) & (F.col("n") >= BOX_PAGES) & (F.col("n") >= BOX_SHARE * F.col("all")))
+    found = pages.select("host", "html").mapInArrow(_vote, "host string, vote string, box string, beside string")
+    counts = materialize(found.groupBy("host", "vote", "box", "beside").agg(F.count("*").alias("n")), "votes")
+    votes = counts.where("vote is not null").groupBy("host", "vote").agg(F.sum("n").alias("n"))
+    enough = votes.join(votes.groupBy("host").agg(F.sum("n").alias("all")), "host").where((F.col("n") >= LEAST_VOTES) & (F.col("n") >= VOTE_SHARE * F.col("all")))
+    contents = counts.where("vote is not null").select("host", "beside").distinct().groupBy("host").agg(F.count("*").alias("all"))
+    boxes = counts.where("box is not null").groupBy("host", "box").agg(F.count("*").alias("n"))
+    boxes = boxes.join(contents, "host").where((F.col("n") >= BOX_PAGES) & (F.col("n") >= BOX_SHARE * F.col("all")))
     ranked = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), F.col("vote").alias("path"))))
     winners = enough.groupBy("host").agg(ranked["path"].alias("winners"), (F.max(F.col("n") / F.col("all")) >= 0.5).alias("majority"))
     return winners.join(boxes.groupBy("host").agg(F.collect_list("box").alias("template")), "host", "left")

@@ -98,6 +98,31 @@ def test_copies_of_one_page_are_no_template(spark):
     assert set(extracted(spark, [("https://a.example/1", text)] * 4).values()) == {LONG.strip()}
 
 
+def test_parts_of_an_article_stay_in_its_copies(spark):
+    """Three copies, one of them nearly so, beside another page: nothing that only copies share is a template."""
+    def two_parts(end):
+        return f"<html><body><div class='post'><p>{LONG}</p><div class='part'><p>{'The second part of it. ' * 10}</p></div><p>{end}</p></div></body></html>"
+
+    got = extracted(spark, [("https://a.example/1", two_parts("end")), ("https://a.example/2", two_parts("end")), ("https://a.example/3", two_parts("END")), ("https://a.example/4", page(LONG + "other"))])
+    assert all("The second part of it." in got[i] for i in range(3))
+
+
+@pytest.mark.parametrize(
+    ("html", "expected"),
+    [
+        ("<body><article><p>Short news.</p></article><div class='comments'>" + "<p>A reader says something.</p>" * 40 + "</div></body>", "Short news."),
+        ("<body><div><p>Short news.</p></div><div id='sidebar'>" + "<p>Other things.</p>" * 40 + "</div></body>", "Short news."),
+        ("<body><article><p>Short news.</p></article><div class='comments'>" + "<article class='comment-body'><p>A reader.</p></article>" * 40 + "</div></body>", "Short news."),
+        (f"<body><div class='content-sidebar-wrap'><main><p>{LONG}</p></main><div class='sidebar'><p>Side.</p></div></div><p>Legal.</p></body>", LONG.strip()),
+        ("<body><form id='aspnetForm'><p>News.</p><div class='comments'><p>A reader.</p></div></form></body>", "News."),
+        ("<body><div class='header'><p>Site</p></div><div class='post-comments'><p>All the text of the page.</p><div class='ad'>buy</div></div></body>", "All the text of the page."),
+        ("<body><div class='comments'><a href='/x'>only a link</a></div></body>", ""),
+    ],
+)
+def test_marks_give_way_only_around_the_article(html, expected):
+    assert extract(html, []) == expected
+
+
 def test_no_pages(spark):
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     assert html_extract.extract_pages(empty).collect() == []
