@@ -16,8 +16,10 @@
 
 Words are compared, not hashes: an anchor's collision only files more stretches
 together, and stretches are told apart by a 128-bit BLAKE2 digest. An anchor with
-more than HOT_ANCHOR different stretches is filed again by window, so no shard
-grows with the data.
+more than HOT_ANCHOR different stretches is filed again by window: equal windows are
+aggregated to one row with the smallest and largest doc_id, only those that recur are
+read by the automata, and what these locate is joined back to the stretches. So no
+shard holds more than HOT_ANCHOR stretches of one anchor.
 
 Defined results: null and empty texts have no words and keep the empty string;
 a null doc_id is compared with nothing; rows that share a doc_id are one document
@@ -176,9 +178,9 @@ def _locate_shards(window: int):
     """Rows come sorted by anchor; a shard is as many whole anchors as fit."""
 
     def one(rows: pa.Table) -> pa.RecordBatch:
-        names, shifts = rows.column("stretch").to_pylist(), rows.column("shift").to_pylist()
+        names = rows.column("stretch").to_pylist()
         found = locate([w.split(" ") for w in rows.column("words").to_pylist()], rows.column("least").to_numpy(), rows.column("most").to_numpy(), window)
-        hits = [(names[i], shifts[i] + a, shifts[i] + b, owner) for i, a, b, owner in found]
+        hits = [(names[i], a, b, owner) for i, a, b, owner in found]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*hits, strict=True) if hits else [[]] * 4, _FOUND.types, strict=True)], schema=_FOUND)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,17 +218,25 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "text_key", "n_removed", "kept"])
 
 
-def _spread(distinct: DataFrame, window: int, hot_anchor: int) -> DataFrame:
-    """distinct with a shift of 0, and each stretch of a hot anchor as its single windows under anchors of their own."""
+def _spread(distinct: DataFrame, window: int, hot_anchor: int) -> tuple[DataFrame, DataFrame | None]:
+    """What the automata read: stretches of other than hot anchors, and each recurring window of the hot ones once, as a stretch of its own.
+
+    Also (name, stretch, shift), where those windows stand; None without hot anchors. A window's words
+    are fetched only if it recurs, so what is shuffled for the others is a digest and two ids.
+    """
     hot = materialize(distinct.groupBy("anchor").count().where(F.col("count") > hot_anchor).select("anchor", F.lit(True).alias("hot")), "hot")
     few = hot.limit(BROADCAST_ANCHORS + 1).count()
+    columns = ["anchor", "stretch", "words", "least", "most"]
     if not few:
-        return distinct.withColumn("shift", F.lit(0).cast("long"))
+        return distinct.select(*columns), None
     marked = distinct.join(F.broadcast(hot) if few <= BROADCAST_ANCHORS else hot, "anchor", "left")
     single = marked.where("hot").withColumn("all", F.split("words", " ")).select("stretch", "least", "most", "all", F.explode(F.sequence(F.lit(0), F.size("all") - window)).alias("shift"))
-    single = single.withColumn("words", F.array_join(F.slice("all", F.col("shift") + 1, window), " "))
-    columns = ["anchor", "stretch", "words", "least", "most", "shift"]
-    return marked.where("hot is null").withColumn("shift", F.lit(0)).select(*columns).unionByName(single.withColumn("anchor", F.xxhash64("words")).select(*columns)).withColumn("shift", F.col("shift").cast("long"))
+    name = F.unhex(F.md5(F.array_join(F.slice("all", F.col("shift") + 1, window), " ").cast("binary")))
+    places = materialize(single.select(name.alias("name"), "stretch", "least", "most", F.col("shift").cast("long").alias("shift")), "windows")
+    recurring = places.groupBy("name").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.min(F.struct("stretch", "shift")).alias("at")).where("least < most")
+    read = recurring.select("name", "least", "most", "at.*").join(distinct.select("stretch", F.split("words", " ").alias("all")), "stretch")
+    read = read.select(F.xxhash64("name").alias("anchor"), F.col("name").alias("stretch"), F.array_join(F.slice("all", (F.col("shift") + 1).cast("int"), window), " ").alias("words"), "least", "most")
+    return marked.where("hot is null").select(*columns).unionByName(read), places.select("name", "stretch", "shift")
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, run: int = RUN, hot_anchor: int = HOT_ANCHOR) -> DataFrame:
@@ -243,11 +253,15 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     suspects = materialize(docs.join(of_doc, "doc_id"), "suspects")
     stretches = materialize(suspects.mapInArrow(_stretches(window, run), "anchor long, stretch binary, doc_id long, text_key long, start long, words string"), "stretches")
     distinct = stretches.groupBy("anchor", "stretch").agg(F.first("words").alias("words"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-    distinct = _spread(materialize(distinct, "distinct"), window, hot_anchor)
+    read, places = _spread(materialize(distinct, "distinct"), window, hot_anchor)
     # a fixed number: automata cost more than their bytes suggest, so small partitions shouldn't be merged
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = distinct.repartition(partitions, "anchor").sortWithinPartitions("anchor")
+    dealt = read.repartition(partitions, "anchor").sortWithinPartitions("anchor")
     found = dealt.mapInArrow(_locate_shards(window), "stretch binary, first long, last long, owner long")
+    if places is not None:
+        found = materialize(found, "located")
+        of_windows = places.join(found.withColumnRenamed("stretch", "name"), "name")
+        found = found.unionByName(of_windows.select("stretch", *[(F.col(c) + F.col("shift")).alias(c) for c in ("first", "last")], "owner"))
     of_stretch = materialize(found.groupBy("stretch").agg(F.collect_list(F.struct("first", "last", "owner")).alias("found")), "found")
     hits = stretches.select("stretch", "doc_id", "text_key", "start").join(of_stretch, "stretch")
     hits = hits.withColumn("found", F.filter("found", lambda f: f["owner"] < F.col("doc_id"))).where(F.size("found") > 0)

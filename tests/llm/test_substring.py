@@ -73,3 +73,22 @@ def test_a_long_periodic_text_and_an_empty_table(spark):
     docs = spark.createDataFrame([(1, long), (2, "start " + long + " end")], "doc_id long, text string")
     assert {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup.substring_dedup(docs).collect()} == {1: (40_000, 0), 2: (40_002, 40_000)}
     assert substring_dedup.substring_dedup(docs.limit(0)).count() == 0
+
+
+def test_a_window_in_very_many_documents_is_read_once(spark):
+    """5,000 documents hold one passage in surroundings of their own: what automata read has few rows of an anchor, and follows the recurring windows."""
+    shared = " ".join(f"s{i}" for i in range(50))
+    docs = spark.range(5_000).selectExpr("id AS doc_id", f"concat('a', id, ' b', id, ' {shared} c', id, ' d', id) AS text")
+    seen = []
+    spread = substring_dedup._spread
+
+    def watched(distinct, window, hot_anchor):
+        read, places = spread(distinct, window, hot_anchor)
+        seen.append(read.groupBy("anchor").count().agg(F.max("count"), F.sum("count")).first())
+        return read, places
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(substring_dedup, "_spread", watched)
+        got = substring_dedup.substring_dedup(docs, hot_anchor=100)
+        assert [(r.n_removed, r.n) for r in got.groupBy("n_removed").agg(F.count("*").alias("n")).orderBy("n_removed").collect()] == [(0, 1), (50, 4_999)]
+    assert seen[0][0] <= 100 and seen[0][1] < 100
