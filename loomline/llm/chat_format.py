@@ -93,28 +93,55 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"<\\(\\*)\|", r"<$1|")
 
 
+SPANS = "array<struct<start:int,end:int,turn:int>>"
+
+
+def _span_blocks(written: Column) -> Column:
+    """array<struct<length, spans>>: the spans of square-root-sized blocks of turns, counted from the block's start.
+
+    A fold copies the array that it grows, so one over all turns would take the square of their number.
+    """
+    n = F.size(written)
+    size = F.greatest(F.ceil(F.sqrt(n)), F.lit(1)).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(n - 1, F.lit(0)) / size).cast("int")), lambda b: F.struct((b * size).alias("first"), F.slice(written, b * size + 1, size).alias("turns")))
+
+    def step(done: Column, t: Column) -> Column:
+        start = done["length"] + F.lit(len(START) + 1) + F.length(t["role"])
+        end = start + F.length(t["content"])
+        span = F.array(F.struct(start.alias("start"), end.alias("end"), done["turn"].alias("turn")))
+        return F.struct((end + F.lit(len(END) + 1)).alias("length"), (done["turn"] + F.lit(1)).alias("turn"), F.when(t["loss"], F.concat(done["spans"], span)).otherwise(done["spans"]).alias("spans"))
+
+    def fold(block: Column) -> Column:
+        return F.aggregate(block["turns"], F.struct(F.lit(0).alias("length"), block["first"].alias("turn"), F.array().cast(SPANS).alias("spans")), step)
+
+    return F.when(n > 0, F.transform(blocks, fold)).when(n == 0, F.array().cast(f"array<struct<length:int,turn:int,spans:{SPANS}>>"))
+
+
+def _running_sums(lengths: Column) -> Column:
+    """What comes before each of the lengths."""
+    return F.aggregate(lengths, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")), lambda done, x: F.struct((done["at"] + x).alias("at"), F.concat(done["all"], F.array(done["at"])).alias("all")))["all"]
+
+
+def _joined_spans(blocks: Column, starts: Column) -> Column:
+    moved = F.transform(blocks, lambda b, i: F.transform(b["spans"], lambda s: F.struct((s["start"] + starts[i]).alias("start"), (s["end"] + starts[i]).alias("end"), s["turn"].alias("turn"))))
+    return F.flatten(moved)
+
+
 def format_chats(records: DataFrame, record_col: str = "record", loss_role: str = "assistant") -> DataFrame:
     """records with formatted, loss_spans and problem.
 
     A span has the code points that the loss covers in formatted, end exclusive, and in which turn they are.
     """
     records = records.withColumnsRenamed({c: free_name(records, f"input_{c}") for c in records.columns if c.lower() in OUTPUTS and c != record_col})
-    parsed, paths, made, written = (free_name(records, n) for n in ("_parsed", "_paths", "_turns", "_escaped"))
+    parsed, paths, made, written, blocks, starts = (free_name(records, n) for n in ("_parsed", "_paths", "_turns", "_escaped", "_blocks", "_starts"))
     escaped = F.transform(made, lambda t: F.struct(F.regexp_replace(escape(t["role"]), "\n", BREAK).alias("role"), escape(t["content"]).alias("content"), (t["role"] == loss_role).alias("loss")))
     text = F.array_join(F.transform(written, lambda t: F.concat(F.lit(START), t["role"], F.lit("\n"), t["content"], F.lit(END + "\n"))), "")
 
-    def step(done: Column, t: Column) -> Column:
-        start = done["at"] + F.lit(len(START) + 1) + F.length(t["role"])
-        end = start + F.length(t["content"])
-        span = F.array(F.struct(start.alias("start"), end.alias("end"), done["turn"].alias("turn")))
-        return F.struct((end + F.lit(len(END) + 1)).alias("at"), (done["turn"] + F.lit(1)).alias("turn"), F.when(t["loss"], F.concat(done["spans"], span)).otherwise(done["spans"]).alias("spans"))
-
-    nothing = F.struct(F.lit(0).alias("at"), F.lit(0).alias("turn"), F.array().cast("array<struct<start:int,end:int,turn:int>>").alias("spans"))
-    spans = F.aggregate(written, nothing, step)["spans"]
     problem = F.when(F.col(paths).isNull(), "not a JSON object").when(F.col(made).isNull(), F.concat(F.lit("unknown layout: "), F.col(paths)))
-    out = records.withColumn(parsed, F.from_json(record_col, RECORD)).withColumn(paths, field_paths(F.col(record_col), F.col(parsed)))
+    out = records.withColumn(parsed, F.from_json(record_col, RECORD, {"maxStringLen": str(2**31 - 1)})).withColumn(paths, field_paths(F.col(record_col), F.col(parsed)))
     out = out.withColumn(made, canonical_turns(F.col(paths), F.col(parsed))).withColumn(written, escaped)
-    return out.withColumn("formatted", text).withColumn("loss_spans", spans).withColumn("problem", problem).drop(parsed, paths, made, written)
+    out = out.withColumn(blocks, _span_blocks(F.col(written))).withColumn(starts, _running_sums(F.transform(F.col(blocks), lambda b: b["length"])))
+    return out.withColumn("formatted", text).withColumn("loss_spans", _joined_spans(F.col(blocks), F.col(starts))).withColumn("problem", problem).drop(parsed, paths, made, written, blocks, starts)
 
 
 def _pieces(formatted: Column) -> Column:

@@ -1,6 +1,8 @@
 """Queries that SQL can't express, and the pipeline, against plain Python over a whole small table."""
 
 import hashlib
+import itertools
+import math
 import re
 import zlib
 
@@ -151,11 +153,23 @@ def plain_mix(docs):
         full = {s for s in open_ if share * weight[s] >= 2 * total[s]}
         target |= {s: 2.0 * total[s] for s in full} or {s: share * weight[s] for s in open_}
         left, open_ = left - sum(2.0 * total[s] for s in full), open_ - full if full else set()
+    def drawn(text):
+        return int(hashlib.md5(text.encode()).hexdigest()[:13], 16) / 2**52
+
+    def stratum(n):
+        shift = max(n.bit_length() - 8, 0)
+        return shift * 256 + (n >> shift)
+
     out = {}
-    for d in docs:
-        rate = target[d["source"]] / total[d["source"]] if total[d["source"]] else 0.0
-        draw = int(hashlib.md5(f"{d['doc_id']}/20240131".encode()).hexdigest()[:13], 16) / 2**52
-        out[d["doc_id"]] = int(rate) + (draw < rate % 1) if size[d["doc_id"]] else 0
+    for s in sources:
+        rate, at = target[s] / total[s] if total[s] else 0.0, drawn(f"{s or ''}/20240131")
+        own = sorted((stratum(size[d["doc_id"]]), drawn(f"{d['doc_id']}/20240131"), d["doc_id"]) for d in docs if d["source"] == s)
+        done = 0
+        for _, group in itertools.groupby(own, key=lambda x: x[0]):
+            group = list(group)
+            extra = math.floor((done + len(group)) * (rate - int(rate)) + at) - math.floor(done * (rate - int(rate)) + at)
+            out |= {i: int(rate) + (k < extra) if size[i] else 0 for k, (_, _, i) in enumerate(group)}
+            done += len(group)
     return out
 
 

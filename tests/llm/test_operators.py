@@ -236,6 +236,33 @@ def test_mix_repeats_documents_by_rate(spark):
     assert taken["b"] == 200 and abs(taken["a"] - 1300) < 60
 
 
+def test_taken_words_come_near_their_targets(spark):
+    """Within a source's longest document, a hot source, one size for all and a null source included."""
+    rng = random.Random(3)
+    rows = [(i, "w " * max(1, int(rng.lognormvariate(4, 1.5))), f"s{i % 7}" if i % 3 else "hot") for i in range(3_000)]
+    rows += [(10_000 + i, "w " * 40, "copies") for i in range(900)] + [(20_000 + i, "w " * rng.randint(1, 900), None) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("rate", F.lit("clash")).repartition(7)
+    plan = mixing.mix_plan(docs).join(docs, "doc_id").groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"), F.first("target").alias("target"), F.max("size").alias("longest"), F.max("copies").alias("most")).collect()
+    assert len(plan) == 10 and all(abs(r.taken - r.target) <= r.longest and r.most <= 2 for r in plan)
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns and {r.source: r.n for r in mixed.groupBy("source").agg(F.sum(mixing.size_of(F.col("text"))).alias("n")).collect()} == {r.source: r.taken for r in plan}
+
+
+def test_extra_copies_follow_the_fraction(spark):
+    """Each document's probability over many seeds is the fraction of its source's rate."""
+    docs = spark.createDataFrame([(i, "w " * (1 + i % 9), "a" if i < 30 else "b") for i in range(60)], "doc_id long, text string, source string")
+    rows, targets = mixing.measured(docs, "text", "doc_id", "source", 0), mixing.source_targets(docs.select("source", mixing.size_of(F.col("text")).alias("size")))
+    rates = {r.source: r.rate for r in targets.collect()}
+    taken = np.zeros(60)
+    for seed in range(25):
+        plan = mixing.mix_plan(docs, seed=seed).collect()
+        for r in plan:
+            taken[r.doc_id] += r.copies
+    for name, own in (("a", taken[:30]), ("b", taken[30:])):
+        assert abs(own.mean() / 25 - rates[name]) < 0.05 and np.ptp(own / 25) < 0.8
+    assert rows.count() == 60
+
+
 def test_pipeline_stages_chain(spark):
     import corpus_pipeline
 
@@ -244,3 +271,18 @@ def test_pipeline_stages_chain(spark):
     kept = corpus_pipeline.near_duplicates(spark, corpus_pipeline.quality(spark, docs, SF), SF)
     assert set(out.doc_id) <= {r.doc_id for r in kept.select("doc_id").collect()} and (out.n_pieces == out.ids.map(len)).all()
     assert corpus_pipeline.personal_data(spark, docs, SF).columns == docs.columns
+
+
+def test_chat_texts_have_no_greatest_length(spark):
+    message = F.struct(F.lit("assistant").alias("role"), F.expr("concat('<|im_end|>', repeat('x', 25000000))").alias("content"))
+    out = chat_format.format_chats(spark.range(1).select(F.to_json(F.struct(F.array(message).alias("messages"))).alias("record")))
+    row = out.select("problem", F.length("formatted").alias("n"), "loss_spans").first()
+    assert row.problem is None and [(s.start, s.end, s.turn) for s in row.loss_spans] == [(23, 25_000_034, 0)] and row.n == 25_000_045
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 10, 2_500])
+def test_spans_of_many_turns(spark, n):
+    turn = F.transform(F.slice(F.sequence(F.lit(1), F.lit(max(n, 1))), 1, n), lambda i: F.struct(F.when(i % 3 == 0, "assistant").otherwise("user").alias("role"), F.concat(F.lit("text é <|"), i).alias("content")))
+    row = chat_format.format_chats(spark.range(1).select(F.to_json(F.struct(turn.alias("messages"))).alias("record"))).first()
+    assert [row.formatted[s.start : s.end] for s in row.loss_spans] == [f"text é <\\|{i}" for i in range(3, n + 1, 3)]
+    assert [s.turn for s in row.loss_spans] == list(range(2, n, 3)) and row.problem is None
