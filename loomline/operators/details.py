@@ -13,7 +13,7 @@ from ..functions.columns import in_period
 from .lookups import latest_limits
 from .practice import CACHE_READS, CANCELS, CONVERSATIONS, FILE_REFS
 from .pricing import rate_label
-from .shared import written
+from .shared import placed
 
 
 def _read_rate() -> Column:
@@ -34,16 +34,10 @@ def model_rows(priced: DataFrame) -> DataFrame:
 
 def report_calls(priced: DataFrame) -> DataFrame:
     """Every call, numbered by time."""
-    rows = priced.repartitionByRange("timestamp", "seq").sortWithinPartitions(F.col("timestamp").asc_nulls_first(), "seq")
-    # places by range partition: a count for each partition, then an offset, so that no window holds all calls
-    rows = rows.withColumns({"part": F.spark_partition_id(), "nth": F.monotonically_increasing_id()})
-    rows = written(rows, "calls")
-    sizes = rows.groupBy("part").agg(F.count("*").alias("n"), F.min("nth").alias("first"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each partition
-    offsets = sizes.select("part", (before - F.col("first") + 1).alias("shift"))
+    rows = placed(priced, "calls", F.col("timestamp").asc_nulls_first(), F.col("seq").asc())
     prompt = F.trim(F.regexp_replace("user_message", r"\s+", " "))
-    return rows.join(F.broadcast(offsets), "part").select(
-        (F.col("nth") + F.col("shift")).alias("place"), "timestamp", "tool", "model", "identity", F.coalesce("session_key", F.lit("")).alias("session_key"), "dedup_key", F.round("cost", 6).alias("cost_usd"),
+    return rows.select(
+        "place", "timestamp", "tool", "model", "identity", F.coalesce("session_key", F.lit("")).alias("session_key"), "dedup_key", F.round("cost", 6).alias("cost_usd"),
         "input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens", _read_rate().alias("cache_read_rate"), _write_rate().alias("cache_write_rate"), F.array_join("tools", ", ").alias("tools"), F.array_join("commands", " && ").alias("commands"), prompt.alias("prompt"),
     )
 
@@ -70,7 +64,7 @@ def report_categories(calls: DataFrame) -> DataFrame:
 def raw_limits(snapshots: DataFrame, period: str, now: datetime) -> DataFrame:
     """Every observation of a period, by time."""
     rows = snapshots.where(in_period(F.col("observed_at"), period, now))
-    return rows.select(F.row_number().over(Window.orderBy("observed_at", "seq")).cast("long").alias("place"), "tool", "limit_id", "observed_at", F.round("used_percent", 6).alias("used_percent"), "window_minutes", "plan_type")
+    return placed(rows, "limits", "observed_at", "seq").select("place", "tool", "limit_id", "observed_at", F.round("used_percent", 6).alias("used_percent"), "window_minutes", "plan_type")
 
 
 def report_latest_limits(snapshots: DataFrame, period: str, now: datetime) -> DataFrame:
@@ -80,16 +74,14 @@ def report_latest_limits(snapshots: DataFrame, period: str, now: datetime) -> Da
 
 
 def limit_windows(snapshots: DataFrame, now: datetime) -> DataFrame:
-    """Of each limit's newest observation its one or two windows that aren't hidden, by tool, limit and length.
+    """Of each limit's newest observation its windows that aren't hidden, by tool, limit and length.
 
+    snapshots has structs primary and secondary of (used_percent, minutes, resets_at), null where the tool reported none.
     A window with a reset is stale after it and hidden a week later; one without is stale a week after its observation and hidden after two.
     """
     t = F.lit(now).cast("timestamp_ntz")
-    late = latest_limits(snapshots)
-    reset = F.when(F.col("seq") % 3 > 0, F.col("resets_at"))
-    window = lambda kind, used, minutes, resets: F.struct(F.lit(kind).alias("kind"), used.alias("used_percent"), minutes.alias("minutes"), resets.alias("resets_at"))
-    second = F.when(F.col("seq") % 2 == 0, window("secondary", 100 - F.col("used_percent") / 2, F.lit(43200).cast("long"), F.lit(None).cast("timestamp_ntz")))
-    rows = late.select("tool", "limit_id", "observed_at", F.explode(F.array_compact(F.array(window("primary", F.col("used_percent"), F.col("window_minutes"), reset), second))).alias("w")).select("tool", "limit_id", "observed_at", "w.*")
+    kinds = F.array(*[F.when(F.col(k).isNotNull(), F.struct(F.lit(k).alias("kind"), F.col(k).alias("of"))) for k in ("primary", "secondary")])
+    rows = latest_limits(snapshots).select("tool", "limit_id", "observed_at", F.explode(F.array_compact(kinds)).alias("w")).select("tool", "limit_id", "observed_at", "w.kind", "w.of.*")
     days = lambda c, n: c + F.expr(f"INTERVAL {n} DAYS")
     rows = rows.withColumns({"stale": F.coalesce(F.col("resets_at") < t, days(F.col("observed_at"), 7) < t), "hidden": F.coalesce(days(F.col("resets_at"), 7) < t, days(F.col("observed_at"), 14) < t)}).where(~F.col("hidden"))
     label = F.when(F.col("minutes") == 300, "5h").when(F.col("minutes") == 10080, "weekly").when(F.col("minutes") == 43200, "monthly").otherwise(F.concat("minutes", F.lit("m")))

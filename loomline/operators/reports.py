@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import uuid
-from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import usage
+from .shared import placed
 
 
 def pseudonym(name: Column, salt: str) -> Column:
@@ -17,17 +17,9 @@ def pseudonym(name: Column, salt: str) -> Column:
 
 
 def numbered(x: DataFrame, column: str, order: str, label: str) -> DataFrame:
-    """(column, alias): distinct values numbered from 1 as they come first by order.
-
-    Sorted by range, so no task holds all; the driver sees one row for each range.
-    """
+    """(column, alias): distinct values numbered from 1 as they come first by order."""
     first = x.where(F.col(column).isNotNull()).groupBy(column).agg(F.min(order).alias("first"))
-    rows = first.repartitionByRange("first", column).sortWithinPartitions("first", column)
-    rows = rows.select(column, F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("place"))
-    sizes = {r.part: r.n for r in rows.groupBy("part").agg(F.count("*").alias("n")).collect()}
-    starts = list(zip(sorted(sizes), accumulate([sizes[p] for p in sorted(sizes)], initial=0)))
-    offsets = x.sparkSession.createDataFrame(starts, "part int, start long")
-    return rows.join(F.broadcast(offsets), "part").select(column, F.concat(F.lit(f"{label}-"), F.col("start") + F.col("place") + 1).alias("alias"))
+    return placed(first, f"{label}_names", "first", column).select(column, F.concat(F.lit(f"{label}-"), "place").alias("alias"))
 
 
 def redacted(x: DataFrame) -> DataFrame:

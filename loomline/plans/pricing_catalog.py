@@ -137,7 +137,7 @@ SELECT category, cost, calls, tokens, row_number() OVER (ORDER BY cost DESC, cal
 SELECT row_number() OVER (ORDER BY observed_at, seq)::BIGINT AS place, tool, limit_id, observed_at, round(used_percent, 6) AS used_percent, window_minutes, plan_type FROM l WHERE {in_month}""")
     over("A39_latest_limits", lambda spark, d: details.report_latest_limits(limits(spark, d), "month", now.replace(year=1995, month=3)), latest_sql + f"""
 SELECT tool, limit_id, observed_at, round(used_percent, 6) AS used_percent, plan_type, row_number() OVER (ORDER BY tool, limit_id)::BIGINT AS place FROM (SELECT *, row_number() OVER (PARTITION BY tool, limit_id ORDER BY observed_at DESC, seq DESC) AS nth FROM l WHERE {in_month}) WHERE nth = 1""")
-    over("A28_limit_windows", lambda spark, d: details.limit_windows(limits(spark, d), now.replace(year=1998, month=8)), latest_sql + """
+    over("A28_limit_windows", lambda spark, d: details.limit_windows(tables.limit_states(limits(spark, d)), now.replace(year=1998, month=8)), latest_sql + """
 , a AS (SELECT *, row_number() OVER (PARTITION BY tool, limit_id ORDER BY observed_at DESC, seq DESC) AS nth FROM l),
 w AS (SELECT tool, limit_id, observed_at, 'primary' AS kind, used_percent, window_minutes, CASE WHEN seq % 3 > 0 THEN observed_at + to_minutes(window_minutes) END AS resets_at FROM a WHERE nth = 1
   UNION ALL SELECT tool, limit_id, observed_at, 'secondary', 100 - used_percent / 2, 43200::BIGINT, NULL FROM a WHERE nth = 1 AND seq % 2 = 0),

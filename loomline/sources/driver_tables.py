@@ -136,6 +136,14 @@ def limit_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def limit_states(snapshots: DataFrame) -> DataFrame:
+    """limit_snapshots with its window as primary, without a reset in a third of the rows, and a monthly secondary one in half of them."""
+    window = lambda used, minutes, resets: F.struct(used.alias("used_percent"), minutes.alias("minutes"), resets.cast("timestamp_ntz").alias("resets_at"))
+    primary = window(F.col("used_percent"), F.col("window_minutes"), F.when(F.col("seq") % 3 > 0, F.col("resets_at")))
+    secondary = F.when(F.col("seq") % 2 == 0, window(100 - F.col("used_percent") / 2, F.lit(43200).cast("long"), F.lit(None)))
+    return snapshots.withColumns({"primary": primary, "secondary": secondary})
+
+
 #: The same calls as a DuckDB query.
 CALLS_SQL = """
 calls AS (

@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from loomline.operators import archive, reports
+from loomline.operators import archive, details, reports
 from loomline.operators.usage import enrich
 from loomline.plans import catalog
 
@@ -77,3 +77,17 @@ def test_redaction_and_report_files(spark, tmp_path):
         folder = reports.write_tables(tables, str(tmp_path), form, f"r-{form}")
         reader = spark.read.option("header", True) if form == "csv" else spark.read
         assert reader.format(form).load(f"{folder}/projects").count() == len(seen)
+
+
+def test_every_name_gets_a_number_of_its_own(spark):
+    x = spark.range(400_000).selectExpr("id % 390001 AS seq", "concat('n', id % 390001) AS name")
+    got = reports.numbered(x, "name", "seq", "project").agg(F.count("*"), F.count_distinct("alias"), F.max(F.expr("int(substr(alias, 9))")), F.sum((F.expr("concat('project-', int(substr(name, 2)) + 1)") == F.col("alias")).cast("int"))).first()
+    assert tuple(got) == (390_001,) * 4
+
+
+def test_limits_show_only_reported_windows(spark):
+    window = "struct<used_percent:double,minutes:bigint,resets_at:timestamp_ntz>"
+    rows = [("codex", "l1", 1, dt.datetime(2024, 1, 30), (97.6, 300, dt.datetime(2024, 1, 31, 3)), None), ("codex", "l1", 0, dt.datetime(2024, 1, 1), (5.0, 300, None), (5.0, 10080, None)), ("copilot", "l2", 2, dt.datetime(2024, 1, 20), (101.0, 77, None), (-1.0, 43200, dt.datetime(2024, 1, 1)))]
+    snapshots = spark.createDataFrame(rows, f"tool string, limit_id string, seq long, observed_at timestamp_ntz, primary {window}, secondary {window}")
+    got = [tuple(r) for r in details.limit_windows(snapshots, dt.datetime(2024, 1, 31)).collect()]
+    assert got == [("codex", "l1", "primary", "5h", 98, 2, False, 1), ("copilot", "l2", "primary", "77m", 100, 0, True, 2)]
