@@ -31,7 +31,7 @@ DEFAULT_CODEX_MODEL = "gpt-5"
 MOST_FILES, FILE_CHARS, PROMPT_CHARS = 64, 512, 500
 
 
-def read_lines(spark: SparkSession, path: str, pattern: str = "*.jsonl") -> DataFrame:
+def read_lines(spark: SparkSession, path: str | list[str], pattern: str = "*.jsonl") -> DataFrame:
     """(path, line, value), with line rising in file order; splits of large files stay in order by their start."""
     rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path)
     rows = rows.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"))
@@ -83,36 +83,45 @@ _BLOCK = "array<struct<type:string,text:string,name:string,input:struct<command:
 
 
 def _claude_text(content: Column, blocks: Column, between: str) -> Column:
-    """A string as it is, or the text blocks joined."""
+    """A string as it is, or the text blocks joined; blocks: null for a string, which may start with a bracket too."""
     parts = F.transform(F.filter(blocks, lambda b: (b["type"] == "text") & b["text"].isNotNull()), lambda b: b["text"])
-    return F.when(F.ltrim(content).startswith("["), F.array_join(parts, between)).otherwise(F.coalesce(content, F.lit("")))
+    return F.coalesce(F.array_join(parts, between), content, F.lit(""))
 
 
-def claude_calls(lines: DataFrame) -> DataFrame:
-    """Assistant lines with a model and usage; lines that repeat a message's id add activity, tokens stay the first line's."""
+def claude_rows(lines: DataFrame) -> DataFrame:
+    """Lines with what their file carries forward: the prompt, the project, the last call that began, and which call an interruption cancels."""
     order = Window.partitionBy("path").orderBy("line")
     kind, role, content = _json("value", "type"), _json("value", "message", "role"), _json("value", "message", "content")
     rows = lines.where(F.get_json_object("value", "$.type").isNotNull()).select("path", "line", "value", kind.alias("kind"), role.alias("role"), content.alias("content"), _time(_json("value", "timestamp")).alias("timestamp"))
-    rows = rows.withColumn("blocks", F.coalesce(F.from_json(F.when(F.ltrim("content").startswith("["), F.col("content")), _BLOCK), F.array().cast(_BLOCK)))
+    rows = rows.withColumn("blocks", F.from_json(F.when(F.ltrim("content").startswith("["), F.col("content")), _BLOCK))
     text = F.when((F.col("kind") == "user") & (F.col("role") == "user"), _claude_text(F.col("content"), F.col("blocks"), " "))
     shown = F.trim(text)
     plain = (shown != "") & ~shown.startswith(INTERRUPTED) & ~shown.startswith(WRAPPERS[0]) & ~shown.startswith(WRAPPERS[1])
     prompt = F.when(plain, F.struct(text.alias("text"), F.col("timestamp").alias("at")))
     cwd = _json("value", "cwd")
     rows = rows.withColumn("prompt", _forward(prompt, order)).withColumn("project", _forward(F.when(F.trim(cwd) != "", cwd), order)).withColumn("interrupted", shown.startswith(INTERRUPTED))
-    usage = lambda *p: _long("value", "message", "usage", *p)
     key = F.coalesce(_json("value", "message", "id"), F.concat(F.lit("claude:"), F.coalesce(_json("value", "timestamp"), F.lit(""))))
     billed = (F.col("kind") == "assistant") & _json("value", "message", "model").isNotNull() & _json("value", "message", "usage").isNotNull()
     rows = rows.withColumn("dedup_key", F.when(F.col("kind") == "assistant", key))
     # an interruption belongs to the last call that began before it
-    begun = F.when(billed, F.col("dedup_key"))
-    rows = rows.withColumn("cancels", F.when(F.col("interrupted"), _forward(begun, order)))
+    rows = rows.withColumn("billed", billed).withColumn("begun", _forward(F.when(billed, F.col("dedup_key")), order))
+    return rows.withColumn("cancels", F.when(F.col("interrupted"), F.col("begun")))
+
+
+def claude_calls(lines: DataFrame) -> DataFrame:
+    """Assistant lines with a model and usage; lines that repeat a message's id add activity, tokens stay the first line's."""
+    return claude_calls_of(claude_rows(lines))
+
+
+def claude_calls_of(rows: DataFrame) -> DataFrame:
+    """claude_calls of claude_rows."""
+    usage = lambda *p: _long("value", "message", "usage", *p)
     canceled = rows.where("cancels is not null").select("path", F.col("cancels").alias("dedup_key"), F.lit(True).alias("is_canceled")).distinct()
-    uses = F.filter("blocks", lambda b: (b["type"] == "tool_use") & (b["name"] != ""))
+    uses = F.filter(F.coalesce("blocks", F.array().cast(_BLOCK)), lambda b: (b["type"] == "tool_use") & (b["name"] != ""))
     edits = F.filter(uses, lambda b: b["name"].isin("Write", "Edit", "MultiEdit", "NotebookEdit"))
     total = F.greatest(usage("cache_creation_input_tokens"), usage("cache_creation", "ephemeral_5m_input_tokens") + usage("cache_creation", "ephemeral_1h_input_tokens"))
     made = rows.where("dedup_key is not null").select(
-        "path", "line", "dedup_key", "timestamp", "project", "prompt", billed.alias("billed"),
+        "path", "line", "dedup_key", "timestamp", "project", "prompt", "billed",
         F.transform(uses, lambda b: b["name"]).alias("tools"),
         F.flatten(F.transform(F.filter(uses, lambda b: b["name"].isin("Bash", "BashOutput") & b["input"]["command"].isNotNull()), lambda b: split_commands(b["input"]["command"]))).alias("commands"),
         F.transform(edits, lambda b: F.coalesce(b["input"]["file_path"], b["input"]["notebook_path"])).alias("edited_files"),

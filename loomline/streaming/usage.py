@@ -5,11 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.archive import merge_calls
-from ..operators.lookups import first_wins
+from ..operators import growing
 
 
 def first_seen(stream: DataFrame, lateness: str = "2 days") -> DataFrame:
@@ -27,24 +26,18 @@ def activity_blocks(stream: DataFrame, gap: str = "15 minutes", lateness: str =
     return stream.withWatermark("timestamp", lateness).groupBy(F.session_window("timestamp", gap), "session_key").agg(F.count("*").alias("calls"), F.sum("cost").alias("cost"))
 
 
-def merge_batches(path: str) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch, whose numbers are consecutive; each batch writes the archive after it, merged from the one before.
+def merge_batches(path: str, buckets: int = growing.BUCKETS) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch; each batch rewrites those buckets of the archive that its keys change.
 
-    A repeated batch starts from the same archive and changes nothing; a key that comes again in a later batch is one row.
+    A repeated batch changes nothing; a key that comes again in a later batch is one row.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        fresh = batch if batch_id == 0 else merge_calls(archive_after(batch.sparkSession, path, batch_id - 1), batch)
-        (first_wins(fresh) if batch_id == 0 else fresh).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        growing.upsert(batch.sparkSession, path, batch, batch_id, buckets=buckets)
 
     return write
 
 
-def archive_after(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
-    """The archive as a batch of merge_batches left it."""
-    return spark.read.parquet(f"{path}/batch={batch_id}")
-
-
 #: A usage alert's thresholds and the least time between two alerts.
 ALERT_COST, ALERT_TOKENS, ALERT_CALLS, COOLDOWN_MS = 1.0, 100_000, 25, 30 * 60_000
 State = tuple[float, int, int, int]

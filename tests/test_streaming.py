@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from loomline.operators import growing
 from loomline.streaming import usage as streams
 
 
@@ -51,11 +52,11 @@ def test_batches_merge_into_one_archive(spark, tmp_path):
 
     kinds = "seq long, tool string, dedup_key string, timestamp timestamp_ntz, timestamp_quality string, cost double, input_tokens long"
     path = str(tmp_path / "archive")
-    write = streaming.merge_batches(path)
+    write = streaming.merge_batches(path, buckets=4)
     first = spark.createDataFrame([(1, "codex", "a", None, "exact", 1.0, 10), (2, "codex", "a", None, "exact", 9.0, 90), (3, "cursor", "b", None, "exact", 2.0, 20)], kinds)
     second = spark.createDataFrame([(4, "codex", "a", None, "exact", 5.0, 50), (5, "cursor", "b", None, "exact", 7.0, 70), (6, "codex", "c", None, "exact", 3.0, 30)], kinds)
     write(first, 0)
     for _ in range(2):
         write(second, 1)
-    got = {(r.tool, r.dedup_key): (r.cost, r.input_tokens) for r in streaming.archive_after(spark, path, 1).collect()}
+    got = {(r.tool, r.dedup_key): (r.cost, r.input_tokens) for r in growing.read(spark, path).collect()}
     assert got == {("codex", "a"): (1.0, 10), ("cursor", "b"): (2.0, 70), ("codex", "c"): (3.0, 30)}
