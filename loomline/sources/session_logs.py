@@ -69,14 +69,14 @@ def _stem(path: str = "path") -> Column:
     return F.regexp_replace(F.substring_index(path, "/", -1), r"\.[^.]*$", "")
 
 
-def as_calls(rows: DataFrame) -> DataFrame:
-    """rows with all columns of CALLS: zero tokens, empty lists and nulls where a source has none."""
+def as_calls(rows: DataFrame, *more: str) -> DataFrame:
+    """rows with all columns of CALLS, and those in more: zero tokens, empty lists and nulls where a source has none."""
     out = []
     for field in CALLS.split(", "):
         name, kind = field.split(" ")
         empty = F.lit(0) if kind == "bigint" and name.endswith(("tokens", "requests")) else F.array() if kind == "array<string>" else F.lit(False) if kind == "boolean" else F.lit("standard") if name == "speed" else F.lit(None)
         out.append((F.coalesce(F.col(name).cast(kind), empty.cast(kind)) if name in rows.columns else empty.cast(kind)).alias(name))
-    return rows.select(*out)
+    return rows.select(*out, *more)
 
 
 _BLOCK = "array<struct<type:string,text:string,name:string,input:struct<command:string,file_path:string,notebook_path:string>>>"
