@@ -4,17 +4,27 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Used only where the session names no shared folder and runs on one machine (tests).
+LOCAL_FOLDER = "file:///tmp/checkpoints/loomline"
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which all executors share; unset: a local one in local mode, else under the warehouse."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    return LOCAL_FOLDER if spark.sparkContext.master.startswith("local") else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/loomline"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as Parquet in the folder that spark.checkpoint.dir names, which all executors share; unset: under the warehouse, or a local folder on one machine."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or ("file:///tmp/checkpoints/loomline" if spark.sparkContext.master.startswith("local") else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/loomline")
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """df as Parquet in the shared folder, computed once however often it is read; the copy survives lost executors."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def placed(df: DataFrame, name: str, *order: str | Column) -> DataFrame:

@@ -16,7 +16,7 @@ from ..functions.columns import caps_letter_ratio
 from ..operators import lookups, panels, prompt_rules, search, turns, usage
 from ..sources import driver_tables as tables
 from ..sources.driver_tables import CALLS_SQL
-from . import activity_catalog, archive_catalog, practice_catalog, pricing_catalog, search_catalog
+from . import activity_catalog, archive_catalog, practice_catalog, pricing_catalog, search_catalog, source_catalog
 
 NOW = datetime(2024, 1, 31)
 PRICE_CHANGE = datetime(1995, 1, 1)
@@ -375,6 +375,7 @@ pricing_catalog.register(_over_calls, _over, NOW, _LATEST)
 search_catalog.register(_over, CALLS_SQL)
 activity_catalog.register(_over_calls, _signals_sql, _KEPT, NOW)
 archive_catalog.register(_over_calls, _over, _signals_sql, NOW)
+source_catalog.register(_over_calls, _over)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
