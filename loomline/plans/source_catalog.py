@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import archive, growing
 from ..operators.shared import shared_folder
-from ..sources import copilot_stores, rendered
+from ..sources import copilot_stores, cursor_state, rendered
 from ..sources import driver_tables as tables
 from ..streaming import tail
 
@@ -62,7 +62,7 @@ def _tailed(spark: SparkSession, sf_dir: str) -> DataFrame:
     query = tail.follow_claude(tail.tail_lines(spark, f"{folder}/files", "part-*"), f"{folder}/archive", f"{folder}/checkpoint", buckets=8)
     query.awaitTermination()
     calls = growing.read(spark, f"{folder}/archive/calls")
-    return calls.select("dedup_key", "session_id", "input_tokens", "output_tokens", "response_chars", "prompt_chars", "user_message")
+    return calls.select("dedup_key", "session_id", "input_tokens", "output_tokens", "response_chars", "prompt_chars", "user_message").fillna({"prompt_chars": 0, "user_message": ""})
 
 
 def register(over_calls: Callable, over: Callable) -> None:
@@ -86,11 +86,23 @@ SELECT 'copilot-chatsession:s' || conv_id || ':r' || i AS dedup_key, 'gpt-5' AS
 gone AS (SELECT 'copilot:cli:' || s AS dedup_key FROM e UNION SELECT 'copilot:' || s || ':turn-' || ti FROM e WHERE ti IS NOT NULL)
 SELECT dedup_key, CASE WHEN g.dedup_key IS NULL THEN input_tokens ELSE 0 END::BIGINT AS input_tokens, CASE WHEN g.dedup_key IS NULL THEN output_tokens ELSE 0 END::BIGINT AS output_tokens, CASE WHEN g.dedup_key IS NULL THEN cache_read_tokens ELSE 0 END::BIGINT AS cache_read_tokens
 FROM every LEFT JOIN gone AS g USING (dedup_key)""")
+    shown = ("dedup_key", "session_id", "model", "input_tokens", "output_tokens", "prompt_chars", "response_chars", "user_message", "token_quality", "interaction_mode")
+    filled = {"prompt_chars": 0, "response_chars": 0, "user_message": ""}
+    over("S35_cursor_calls", lambda spark, d: cursor_state.cursor_calls(rendered.cursor_stores(_conversations(spark, d))).select(*shown, F.array_join("tools", ",").alias("tools")).fillna(filled), """
+WITH c AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS n FROM conversations),
+o AS (SELECT *, sum((role = 'user')::INT) OVER (PARTITION BY conv_id ORDER BY n) - 1 AS place, CASE WHEN conv_id % 4 = 0 AND role <> 'user' THEN n % 3 * 5 ELSE 0 END AS made FROM c),
+t AS (SELECT conv_id, place, min(n) FILTER (role = 'user') AS n, regexp_replace(max(text) FILTER (role = 'user'), '^\\s+|\\s+$', '', 'g') AS said, coalesce(string_agg(text, chr(10) ORDER BY n) FILTER (role <> 'user' AND text <> ''), '') AS told, sum(made)::BIGINT AS made FROM o WHERE place >= 0 GROUP BY conv_id, place),
+a AS (SELECT *, CASE WHEN conv_id % 5 = 0 AND place = 0 THEN 'stored answer' ELSE told END AS answer, conv_id % 3 = 0 AND conv_id > 0 AND max(made) OVER (PARTITION BY conv_id) = 0 AS metered FROM t),
+k AS (SELECT *, length(answer) AS chars, CASE WHEN metered THEN 0 ELSE length(said) END AS counted FROM a)
+SELECT 'cursor:composer:c' || conv_id || ':' || CASE WHEN n % 4 < 2 THEN 'r' || conv_id || '-' || n ELSE 'b' || n END AS dedup_key, 'c' || conv_id AS session_id, CASE WHEN conv_id % 2 = 0 THEN 'gpt-5' ELSE 'cursor-auto' END AS model, ((counted + 3) // 4)::BIGINT AS input_tokens,
+  CASE WHEN made = 0 THEN (chars + 3) // 4 ELSE made END::BIGINT AS output_tokens, length(said)::BIGINT AS prompt_chars, chars::BIGINT AS response_chars, left(said, 500) AS user_message,
+  CASE WHEN made > 0 AND counted > 0 THEN 'mixed' WHEN made > 0 THEN 'exact' WHEN counted > 0 OR chars > 0 THEN 'estimated' ELSE 'unknown' END AS token_quality, 'chat' AS interaction_mode, CASE WHEN conv_id % 5 = 0 AND place = 0 THEN 'Read' ELSE '' END AS tools FROM k
+UNION ALL SELECT DISTINCT 'cursor:composer-input:c' || conv_id, 'c' || conv_id, CASE WHEN conv_id % 2 = 0 THEN 'gpt-5' ELSE 'cursor-auto' END, (conv_id * 10)::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, '', 'estimated', 'chat', '' FROM k WHERE metered""")
     over("S13_tailed_calls", _tailed, f"""
 WITH c AS (SELECT *, coalesce(text, '') AS t, coalesce(role, '') = 'assistant' AS reply FROM conversations),
 p AS (SELECT *, last_value(CASE WHEN NOT reply AND trim(t) <> '' AND NOT starts_with(trim(t), '<command-') AND NOT starts_with(trim(t), '<local-command-') AND NOT starts_with(trim(t), '[Request interrupted by user') THEN t END IGNORE NULLS)
   OVER (PARTITION BY conv_id % {rendered.FILES} ORDER BY conv_id, turn, role ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS prompt FROM c)
-SELECT 'm' || conv_id || '-' || turn AS dedup_key, 's' || conv_id AS session_id, length(t)::BIGINT AS input_tokens, turn::BIGINT AS output_tokens, length(t)::BIGINT AS response_chars, length(prompt)::BIGINT AS prompt_chars, left(prompt, 500) AS user_message FROM p WHERE reply""")
+SELECT 'm' || conv_id || '-' || turn AS dedup_key, 's' || conv_id AS session_id, length(t)::BIGINT AS input_tokens, turn::BIGINT AS output_tokens, length(t)::BIGINT AS response_chars, length(coalesce(prompt, ''))::BIGINT AS prompt_chars, left(coalesce(prompt, ''), 500) AS user_message FROM p WHERE reply""")
     over_calls("O15_grown_archive", _grown, """
 SELECT tool, dedup_key, round(cost + CASE WHEN seq % 3 = 0 THEN 1 ELSE 0 END, 6) AS cost, input_tokens + CASE WHEN seq % 3 = 0 OR tool = 'cursor' THEN 5 ELSE 0 END AS input_tokens, len(tools)::BIGINT AS n_tools FROM x""")
     opus = lambda x: tables.detailed_calls(x).withColumn("model", F.when(F.col("seq") % 5 == 0, "vendor/claude-opus-5-20260401").otherwise(F.col("model")))

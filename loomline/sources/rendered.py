@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import cursor_state
 from .copilot_stores import ATTRIBUTES
 
 
@@ -70,3 +73,26 @@ def session_files(conversations: DataFrame, folder: str) -> None:
     reply = F.struct(F.lit("assistant").alias("type"), F.concat(F.lit("s"), "conv_id").alias("sessionId"), F.lit("2024-01-01T10:00:05Z").alias("timestamp"), F.struct(key.alias("id"), F.lit("assistant").alias("role"), F.lit("claude-opus-4").alias("model"), F.col("text").alias("content"), usage.alias("usage")).alias("message"))
     rows = conversations.withColumns({"text": F.coalesce("text", F.lit("")), "file": F.col("conv_id") % FILES}).select("file", "conv_id", "turn", "role", F.when(F.col("role") == "assistant", F.to_json(reply)).otherwise(F.to_json(user)).alias("value"))
     rows.repartition("file").sortWithinPartitions("file", "conv_id", "turn", "role", "value").select("file", "value").write.partitionBy("file").text(folder)
+
+
+def _as(df: DataFrame, schema: str) -> DataFrame:
+    """df with all columns of a schema, null where it has none."""
+    fields = [f.split(" ") for f in schema.split(", ")]
+    return df.select(*[(F.col(name) if name in df.columns else F.lit(None)).cast(kind).alias(name) for name, kind in fields])
+
+
+def cursor_stores(conversations: DataFrame) -> cursor_state.Stores:
+    """Conversations as Cursor's: headers in their order, every fourth with its own tokens, every third with a meter, every fifth with a store's turns."""
+    i = F.col("conv_id")
+    every = F.sort_array(F.collect_list(F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))))
+    gathered = conversations.groupBy("conv_id").agg(every.alias("rows"))
+    composer = F.concat(F.lit("c"), i)
+    composers = gathered.select(composer.alias("id"), F.transform("rows", lambda r, n: F.concat(F.lit("b"), n)).alias("headers"), F.when(i % 2 == 0, "gpt-5").alias("model"), F.when(i % 3 == 0, (i * 10).cast("string")).alias("meter_used"), F.lit("ask").alias("unified_mode"))
+    each = gathered.select("conv_id", F.posexplode("rows").alias("n", "r")).select("conv_id", "n", "r.*")
+    bubbles = each.select(
+        composer.alias("composer_id"), F.concat(F.lit("bubbleId:"), "n").alias("key"), F.concat(F.lit("b"), "n").alias("id"), F.when(F.col("role") == "user", 1).otherwise(2).alias("type"), "text",
+        F.when((F.col("role") == "user") & (F.col("n") % 4 < 2), F.concat(F.lit("r"), i, F.lit("-"), "n")).alias("request_id"), F.when((i % 4 == 0) & (F.col("role") != "user"), F.col("n") % 3 * 5).alias("output_tokens"),
+    )
+    stored = gathered.where(i % 5 == 0).select(composer.alias("composer_id"), F.lit(0).alias("place"), F.lit("stored answer").alias("response_text"), F.array(F.lit("Read")).alias("tools"))
+    spark = conversations.sparkSession
+    return dataclasses.replace(cursor_state.empty(spark), composers=_as(composers, cursor_state.COMPOSERS), bubbles=_as(bubbles, cursor_state.BUBBLES), store_turns=_as(stored, cursor_state.TURNS))
