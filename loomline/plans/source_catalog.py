@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import scripts
 from ..operators import archive, growing
 from ..operators.shared import shared_folder
 from ..sources import copilot_stores, cursor_state, rendered
@@ -56,6 +57,20 @@ def _grown(x: DataFrame) -> DataFrame:
     return growing.read(spark, folder).select("tool", "dedup_key", F.round("cost", 6).alias("cost"), "input_tokens", F.size("tools").cast("long").alias("n_tools"))
 
 
+def _added(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as diffs: lines that begin with a to m are added."""
+    diff = F.regexp_replace("text", "(?dm)^([a-m])", "+$1")
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", scripts.added_lines(diff).alias("added"), scripts.lines_of(F.coalesce("text", F.lit(""))).alias("lines"))
+
+
+def _nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A script for each event: two calls, and others in a comment and a string."""
+    i = F.col("event_id")
+    script = F.concat(F.lit("const r = await Promise.all([tools.exec_command({cmd: 'git add "), i, F.lit("'}), // tools.no()\n tools.t"), i % 3, F.lit('({q: "tools.no() (", n: (1)})]); /* tools.no( */ tools.open('))
+    calls = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.posexplode(scripts.nested_calls_of(F.when(i % 5 > 0, script))).alias("place", "c"))
+    return calls.select("event_id", F.col("place").cast("long").alias("place"), "c.name", F.coalesce("c.command", F.lit("")).alias("command"))
+
+
 def _tailed(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/tailed-{uuid.uuid4().hex}"
     rendered.session_files(_conversations(spark, sf_dir), f"{folder}/files")
@@ -98,6 +113,12 @@ SELECT 'cursor:composer:c' || conv_id || ':' || CASE WHEN n % 4 < 2 THEN 'r' ||
   CASE WHEN made = 0 THEN (chars + 3) // 4 ELSE made END::BIGINT AS output_tokens, length(said)::BIGINT AS prompt_chars, chars::BIGINT AS response_chars, left(said, 500) AS user_message,
   CASE WHEN made > 0 AND counted > 0 THEN 'mixed' WHEN made > 0 THEN 'exact' WHEN counted > 0 OR chars > 0 THEN 'estimated' ELSE 'unknown' END AS token_quality, 'chat' AS interaction_mode, CASE WHEN conv_id % 5 = 0 AND place = 0 THEN 'Read' ELSE '' END AS tools FROM k
 UNION ALL SELECT DISTINCT 'cursor:composer-input:c' || conv_id, 'c' || conv_id, CASE WHEN conv_id % 2 = 0 THEN 'gpt-5' ELSE 'cursor-auto' END, (conv_id * 10)::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, '', 'estimated', 'chat', '' FROM k WHERE metered""")
+    over("S20_added_lines", _added, r"""
+SELECT doc_id, len(list_filter(string_split(regexp_replace(coalesce(text, ''), '(?m)^([a-m])', '+\1', 'g'), chr(10)), lambda x: starts_with(x, '+') AND NOT starts_with(x, '+++')))::BIGINT AS added,
+  (length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) + CASE WHEN text <> '' AND NOT ends_with(text, chr(10)) THEN 1 ELSE 0 END)::BIGINT AS lines FROM documents""")
+    over("S21_nested_calls", _nested, """
+SELECT event_id, 0::BIGINT AS place, 'exec_command' AS name, 'git add ' || event_id AS command FROM events WHERE event_id % 5 > 0
+UNION ALL SELECT event_id, 1, 't' || (event_id % 3), '' FROM events WHERE event_id % 5 > 0""")
     over("S13_tailed_calls", _tailed, f"""
 WITH c AS (SELECT *, coalesce(text, '') AS t, coalesce(role, '') = 'assistant' AS reply FROM conversations),
 p AS (SELECT *, last_value(CASE WHEN NOT reply AND trim(t) <> '' AND NOT starts_with(trim(t), '<command-') AND NOT starts_with(trim(t), '<local-command-') AND NOT starts_with(trim(t), '[Request interrupted by user') THEN t END IGNORE NULLS)

@@ -10,12 +10,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.fences import code_fences, file_language
+from ..functions.scripts import added_lines, lines_of, nested_calls_of
 from ..functions.texts import elapsed_ms, split_commands
+from ..operators.archive import merge_blocks
 
 CALLS = (
     "tool string, model string, input_tokens bigint, output_tokens bigint, cache_write_tokens bigint, cache_write_1h_tokens bigint, cache_read_tokens bigint, reasoning_tokens bigint, "
     "web_search_requests bigint, tools array<string>, commands array<string>, timestamp timestamp, speed string, dedup_key string, user_message string, session_id string, project string, "
-    "is_canceled boolean, prompt_chars bigint, response_chars bigint, elapsed_ms bigint, edited_files array<string>, referenced_files array<string>, transcript_user string, transcript_assistant string, "
+    "is_canceled boolean, prompt_chars bigint, response_chars bigint, elapsed_ms bigint, edited_files array<string>, referenced_files array<string>, code_blocks array<struct<language:string,loc:bigint>>, transcript_user string, transcript_assistant string, "
     "path string, line bigint"
 )
 # An interruption's mark, wrappers that aren't prompts, names of the same tool.
@@ -74,12 +77,13 @@ def as_calls(rows: DataFrame, *more: str) -> DataFrame:
     out = []
     for field in CALLS.split(", "):
         name, kind = field.split(" ")
-        empty = F.lit(0) if kind == "bigint" and name.endswith(("tokens", "requests")) else F.array() if kind == "array<string>" else F.lit(False) if kind == "boolean" else F.lit("standard") if name == "speed" else F.lit(None)
+        empty = F.lit(0) if kind == "bigint" and name.endswith(("tokens", "requests")) else F.array() if kind.startswith("array") else F.lit(False) if kind == "boolean" else F.lit("standard") if name == "speed" else F.lit(None)
         out.append((F.coalesce(F.col(name).cast(kind), empty.cast(kind)) if name in rows.columns else empty.cast(kind)).alias(name))
     return rows.select(*out, *more)
 
 
-_BLOCK = "array<struct<type:string,text:string,name:string,input:struct<command:string,file_path:string,notebook_path:string>>>"
+_BLOCK = "array<struct<type:string,text:string,name:string,input:struct<command:string,file_path:string,notebook_path:string,content:string,new_string:string,new_source:string,edits:array<struct<new_string:string>>>>>"
+_CODE = "array<struct<language:string,loc:bigint>>"
 
 
 def _claude_text(content: Column, blocks: Column, between: str) -> Column:
@@ -88,6 +92,21 @@ def _claude_text(content: Column, blocks: Column, between: str) -> Column:
     return F.coalesce(F.array_join(parts, between), content, F.lit(""))
 
 
+def _edit_blocks(edits: Column) -> Column:
+    """Lines that edits write, by the language of the file."""
+    nothing = F.array().cast(_CODE)
+
+    def of(b: Column) -> Column:
+        given = b["input"]
+        language = file_language(F.coalesce(given["file_path"], given["notebook_path"]))
+        one = lambda text: F.when(text != "", F.array(F.struct(language.alias("language"), lines_of(text).alias("loc"))))
+        many = F.flatten(F.transform(F.coalesce(given["edits"], F.array().cast("array<struct<new_string:string>>")), lambda e: F.coalesce(one(e["new_string"]), nothing)))
+        payload = F.when(b["name"] == "Write", one(given["content"])).when(b["name"] == "Edit", one(given["new_string"])).when(b["name"] == "NotebookEdit", one(given["new_source"])).otherwise(many)
+        return F.coalesce(payload, nothing)
+
+    return F.flatten(F.transform(edits, of))
+
+
 def claude_rows(lines: DataFrame) -> DataFrame:
     """Lines with what their file carries forward: the prompt, the project, the last call that began, and which call an interruption cancels."""
     order = Window.partitionBy("path").orderBy("line")
@@ -126,7 +145,7 @@ def claude_calls_of(rows: DataFrame) -> DataFrame:
         F.flatten(F.transform(F.filter(uses, lambda b: b["name"].isin("Bash", "BashOutput") & b["input"]["command"].isNotNull()), lambda b: split_commands(b["input"]["command"]))).alias("commands"),
         F.transform(edits, lambda b: F.coalesce(b["input"]["file_path"], b["input"]["notebook_path"])).alias("edited_files"),
         F.transform(F.filter(uses, lambda b: b["name"] == "Read"), lambda b: b["input"]["file_path"]).alias("referenced_files"),
-        _claude_text(F.col("content"), F.col("blocks"), "\n").alias("reply"),
+        _claude_text(F.col("content"), F.col("blocks"), "\n").alias("reply"), _edit_blocks(edits).alias("written"),
         _json("value", "message", "model").alias("model"), F.coalesce(_json("value", "sessionId"), _stem()).alias("session_id"),
         usage("input_tokens").alias("input_tokens"), usage("output_tokens").alias("output_tokens"), total.alias("cache_write_tokens"),
         F.least(usage("cache_creation", "ephemeral_1h_input_tokens"), total).alias("cache_write_1h_tokens"), usage("cache_read_input_tokens").alias("cache_read_tokens"),
@@ -136,12 +155,12 @@ def claude_calls_of(rows: DataFrame) -> DataFrame:
     # what comes before the billed line of a message doesn't count
     ordered = made.withColumn("first", F.min(F.when(F.col("billed"), F.col("line"))).over(Window.partitionBy("path", "dedup_key"))).where("line >= first")
     from_first = [F.min_by(c, "line").alias(c) for c in ("timestamp", "project", "prompt", "model", "session_id", "input_tokens", "output_tokens", "cache_write_tokens", "cache_write_1h_tokens", "cache_read_tokens", "web_search_requests", "speed")]
-    gathered = F.sort_array(F.collect_list(F.struct("line", "tools", "commands", "edited_files", "referenced_files", "reply"))).alias("all")
+    gathered = F.sort_array(F.collect_list(F.struct("line", "tools", "commands", "edited_files", "referenced_files", "reply", F.concat(code_fences(F.col("reply")), F.col("written")).alias("code")))).alias("all")
     calls = ordered.groupBy("path", "dedup_key").agg(*from_first, gathered, F.min("line").alias("line")).join(canceled, ["path", "dedup_key"], "left")
     replies = F.filter(F.col("all.reply"), lambda r: r != "")
     calls = calls.select(
         "*", F.lit("claude-code").alias("tool"), F.flatten("all.tools").alias("tools"), F.flatten("all.commands").alias("commands"), _some(F.flatten("all.edited_files")).alias("edited_files"),
-        _some(F.flatten("all.referenced_files")).alias("referenced_files"), F.array_join(replies, "\n").alias("transcript_assistant"), F.aggregate(F.transform(replies, F.length), F.lit(0), lambda a, n: a + n).alias("response_chars"),
+        _some(F.flatten("all.referenced_files")).alias("referenced_files"), merge_blocks(F.flatten("all.code")).alias("code_blocks"), F.array_join(replies, "\n").alias("transcript_assistant"), F.aggregate(F.transform(replies, F.length), F.lit(0), lambda a, n: a + n).alias("response_chars"),
         F.col("prompt.text").alias("transcript_user"), F.left("prompt.text", F.lit(PROMPT_CHARS)).alias("user_message"), F.length("prompt.text").alias("prompt_chars"), elapsed_ms(F.col("timestamp"), F.col("prompt.at")).alias("elapsed_ms"),
     )
     return as_calls(calls)
@@ -162,13 +181,23 @@ def codex_calls(lines: DataFrame) -> DataFrame:
     raw, space = p("name"), p("namespace")
     is_call = (F.col("kind") == "response_item") & F.col("event").isin("function_call", "custom_tool_call") & raw.isNotNull()
     named = F.when(space.rlike("^mcp__.+__$"), F.concat(space, raw)).otherwise(_renamed(CODEX_TOOLS, raw))
-    args = F.when(is_call & (raw == "exec_command"), split_commands(_json(p("arguments"), "cmd")))
+    # a script names the tools that it calls
+    inner = nested_calls_of(F.when(is_call & (raw == "exec"), F.coalesce(p("arguments"), p("input"))))
+    rows = rows.withColumn("inner", inner)
+    scripted = F.size("inner") > 0
+    named = F.when(scripted, F.transform("inner", lambda c: _renamed(CODEX_TOOLS, c["name"]))).otherwise(F.array(named))
+    commands = F.flatten(F.transform(F.filter("inner", lambda c: (c["name"] == "exec_command") & c["command"].isNotNull()), lambda c: split_commands(c["command"])))
+    args = F.when(scripted, commands).when(is_call & (raw == "exec_command"), split_commands(_json(p("arguments"), "cmd")))
     reply = F.when((F.col("kind") == "event_msg") & (F.col("event") == "agent_message"), p("message"))
     ends = counted & p("info").isNotNull() & (p("info", "total_token_usage").isNotNull() | p("info", "last_token_usage").isNotNull())
     rows = rows.withColumns({"named": F.when(is_call, named), "args": args, "reply": reply, "ends": ends, "aborted": (F.col("kind") == "event_msg") & (F.col("event") == "turn_aborted")})
     rows = rows.withColumn("step", F.coalesce(F.sum(F.col("ends").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    changes = F.when((F.col("kind") == "event_msg") & (F.col("event") == "patch_apply_end") & (p("success") == "true"), F.json_object_keys(p("changes")))
-    steps = rows.groupBy("path", "step").agg(F.sort_array(F.collect_list(F.struct("line", F.col("named"), F.col("args"), F.col("reply"), changes.alias("files")))).alias("all"))
+    patched = F.when((F.col("kind") == "event_msg") & (F.col("event") == "patch_apply_end") & (p("success") == "true"), p("changes"))
+    changes = F.json_object_keys(patched)
+    diffs = F.map_entries(F.from_json(patched, "map<string,struct<unified_diff:string>>"))
+    added = F.filter(F.transform(diffs, lambda d: F.struct(file_language(d["key"]).alias("language"), added_lines(d["value"]["unified_diff"]).alias("loc"))), lambda b: b["loc"] > 0)
+    code = F.concat(code_fences(F.col("reply")), F.coalesce(added, F.array().cast(_CODE)))
+    steps = rows.groupBy("path", "step").agg(F.sort_array(F.collect_list(F.struct("line", F.col("named"), F.col("args"), F.col("reply"), changes.alias("files"), code.alias("code")))).alias("all"))
     names = ("input_tokens", "cached_input_tokens", "output_tokens", "reasoning_output_tokens", "total_tokens")
     total, last = p("info", "total_token_usage"), p("info", "last_token_usage")
     events = rows.where("ends").select("path", "line", "step", "at", "timestamp", "meta", "model", "prompt", total.isNotNull().alias("running"), F.struct(*[_long(F.coalesce(total, last), n).alias(n) for n in names]).alias("t"))
@@ -190,7 +219,7 @@ def codex_calls(lines: DataFrame) -> DataFrame:
     calls = joined.select(
         "path", "line", "timestamp", "dedup_key", "is_canceled", F.lit("codex").alias("tool"), F.coalesce("model", F.lit(DEFAULT_CODEX_MODEL)).alias("model"),
         F.greatest(F.col("input_tokens") - F.col("cached_input_tokens"), F.lit(0)).alias("input_tokens"), (F.col("output_tokens") + F.col("reasoning_output_tokens")).alias("output_tokens"),
-        F.col("cached_input_tokens").alias("cache_read_tokens"), F.col("reasoning_output_tokens").alias("reasoning_tokens"), F.filter("all.named", lambda n: n.isNotNull()).alias("tools"),
+        F.col("cached_input_tokens").alias("cache_read_tokens"), F.col("reasoning_output_tokens").alias("reasoning_tokens"), F.flatten(F.filter("all.named", lambda n: n.isNotNull())).alias("tools"), merge_blocks(F.flatten("all.code")).alias("code_blocks"),
         F.flatten(F.filter("all.args", lambda a: a.isNotNull())).alias("commands"), _some(F.flatten(F.filter("all.files", lambda a: a.isNotNull()))).alias("edited_files"), _stem().alias("session_id"),
         F.col("meta.cwd").alias("project"), F.col("prompt.text").alias("transcript_user"), F.left("prompt.text", F.lit(PROMPT_CHARS)).alias("user_message"), F.length("prompt.text").alias("prompt_chars"),
         F.array_join(replies, "\n").alias("transcript_assistant"), F.when(F.size(replies) > 0, F.aggregate(F.transform(replies, F.length), F.lit(0), lambda a, n: a + n)).alias("response_chars"),
@@ -234,7 +263,7 @@ def gemini_calls(files: DataFrame) -> DataFrame:
         (made + unexplained + F.col("t_thoughts")).alias("output_tokens"), F.col("t_cached").alias("cache_read_tokens"), F.col("t_thoughts").alias("reasoning_tokens"),
         F.when(F.coalesce(_json("m", "id"), F.lit("")) != "", by_id).otherwise(by_what).alias("dedup_key"), F.coalesce("at", _time(F.col("started"))).alias("timestamp"),
         F.filter(F.transform(used, tool), lambda n: n != "").alias("tools"), F.flatten(F.transform(F.filter(used, lambda c: (tool(c) == "Bash") & c["args"]["command"].isNotNull()), lambda c: split_commands(c["args"]["command"]))).alias("commands"),
-        F.col("prompt.text").alias("transcript_user"), F.left("prompt.text", F.lit(PROMPT_CHARS)).alias("user_message"), F.length("prompt.text").alias("prompt_chars"), F.col("text").alias("transcript_assistant"),
+        F.col("prompt.text").alias("transcript_user"), F.left("prompt.text", F.lit(PROMPT_CHARS)).alias("user_message"), F.length("prompt.text").alias("prompt_chars"), F.col("text").alias("transcript_assistant"), merge_blocks(code_fences(F.col("text"))).alias("code_blocks"),
         F.length("text").alias("response_chars"), elapsed_ms(F.col("at"), F.col("prompt.at")).alias("elapsed_ms"),
     )
     calls = calls.withColumn("place", F.row_number().over(Window.partitionBy("dedup_key").orderBy("path", "line"))).where("place = 1")

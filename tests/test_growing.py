@@ -9,7 +9,7 @@ from loomline.operators import growing
 from loomline.sources import session_logs as logs
 from loomline.streaming import tail
 
-SHOWN = ("dedup_key", "model", "input_tokens", "output_tokens", "tools", "commands", "edited_files", "is_canceled", "prompt_chars", "response_chars", "elapsed_ms", "user_message", "project", "session_id")
+SHOWN = ("dedup_key", "model", "input_tokens", "output_tokens", "tools", "commands", "edited_files", "code_blocks", "is_canceled", "prompt_chars", "response_chars", "elapsed_ms", "user_message", "project", "session_id")
 KINDS = "seq long, tool string, dedup_key string, timestamp timestamp_ntz, timestamp_quality string, cost double, input_tokens long"
 
 
