@@ -1,36 +1,15 @@
-"""Lineage cuts that every executor can read: Parquet tables in the shared checkpoint folder."""
+"""Lineage cuts that every executor can read, free column names and bounded Arrow batches."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no shared folder and runs on one machine (tests).
-LOCAL_FOLDER = "file:///tmp/checkpoints/loomline"
-ARROW_ROWS, ARROW_BYTES = "1024", str(16 << 20)
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; unset: a local one in local mode, else the warehouse."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        return LOCAL_FOLDER
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/loomline"
+from ..operators.shared import shared_folder, written
 
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df once as Parquet in the shared folder and read it back.
-
-    The copy survives lost executors and is computed once however often it is read.
-    An empty df gives an empty table with the same columns.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["free_name", "materialize", "shared_folder", "small_batches"]
+ARROW_ROWS, ARROW_BYTES = "1024", str(16 << 20)
+#: Parquet in the folder that spark.checkpoint.dir names; an empty table keeps its columns.
+materialize = written
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -131,7 +131,41 @@ def test_base_rules(spark, docs):
         lines = [x for x in t.split("\n") if WORD.search(x)]
         r = got[d["doc_id"]]
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered))
-        assert r.base_failed == (len(w) < 20 or 100 * len(covered) > 30 * len(w)) and not (r.base_failed and r.kept)
+        assert r.base_failed == (len(w) < 20 or 100 * len(covered) > 30 * len(w))
+        assert r.kept == (not r.base_failed and plain_verdict(t.encode()))
+
+
+def plain_limits(length):
+    """The band at a length, between its neighbours by the logarithm; None below the first."""
+    bands = quality_rules.BANDS
+    if length < bands[0][0]:
+        return None
+    for (a, low, high), (b, next_low, next_high) in itertools.pairwise(bands):
+        if a <= length <= b:
+            part = (math.log(length) - math.log(a)) / (math.log(b) - math.log(a))
+            return low + part * (next_low - low), high + part * (next_high - high)
+    return bands[-1][1:]
+
+
+def plain_verdict(raw):
+    """Whether the whole and enough of its chunks of 4,096 bytes lie in the bands."""
+
+    def fits(part):
+        limits = plain_limits(len(part))
+        return limits is None or limits[0] <= len(zstandard.compress(part, 3)) / len(part) <= limits[1]
+
+    chunks = [c for i in range(0, len(raw), 4096) if len(c := raw[i : i + 4096]) >= 1000]
+    return fits(raw) and (not chunks or sum(not fits(c) for c in chunks) / len(chunks) <= 0.25)
+
+
+def test_bands_are_those_of_the_clean_documents(spark):
+    """The table in the module, from sf0.1; its upper limits are wider, and the longest lengths are rare."""
+    sf = SF.replace("0.001", "0.1")
+    fitted = quality_rules.fit_bands(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    known = {length: (low, high) for length, low, high in quality_rules.BANDS}
+    assert len(fitted) >= 12
+    for length, low, high in fitted:
+        assert abs(low - known[length][0]) < (0.003 if length <= 10_000 else 0.01) and -0.005 < known[length][1] - high < 0.03
 
 
 def test_pieces(spark, docs, model):
