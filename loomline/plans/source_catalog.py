@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import scripts
 from ..operators import archive, growing
 from ..operators.shared import shared_folder
-from ..sources import copilot_stores, cursor_state, rendered
+from ..sources import copilot_stores, cursor_state, limit_states, rendered
 from ..sources import driver_tables as tables
 from ..streaming import tail
 
@@ -80,6 +81,19 @@ def _tailed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calls.select("dedup_key", "session_id", "input_tokens", "output_tokens", "response_chars", "prompt_chars", "user_message").fillna({"prompt_chars": 0, "user_message": ""})
 
 
+def _limits(form: str, read: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = read(rendered.limit_documents(spark.read.parquet(f"{sf_dir}/orders.parquet"))[form])
+        number = lambda c: F.coalesce(F.round(c, 6), F.lit(-1.0))
+        epoch = lambda c: F.coalesce(F.unix_seconds(c), F.lit(-1).cast("long"))
+        return rows.select(
+            "path", "limit_id", F.coalesce("plan_type", F.lit("")).alias("plan_type"), epoch(F.col("observed_at")).alias("observed"), number(F.col("primary.used_percent")).alias("used"), F.coalesce("primary.minutes", F.lit(-1).cast("long")).alias("minutes"), epoch(F.col("primary.resets_at")).alias("resets"),
+            number(F.col("secondary.used_percent")).alias("used_2"), F.coalesce("credits.has_credits", F.lit(False)).alias("has_credits"), number(F.col("credits.balance")).alias("balance"), F.coalesce("reached", F.lit("")).alias("reached"),
+        )
+
+    return query
+
+
 def register(over_calls: Callable, over: Callable) -> None:
     """Add the queries; over_calls(name, build, sql) files one over the enriched calls, over(name, query, sql) one over the tables."""
     over("S30_span_calls", _spans, """
@@ -119,6 +133,14 @@ SELECT doc_id, len(list_filter(string_split(regexp_replace(coalesce(text, ''), '
     over("S21_nested_calls", _nested, """
 SELECT event_id, 0::BIGINT AS place, 'exec_command' AS name, 'git add ' || event_id AS command FROM events WHERE event_id % 5 > 0
 UNION ALL SELECT event_id, 1, 't' || (event_id % 3), '' FROM events WHERE event_id % 5 > 0""")
+    shape = lambda limit, plan, observed, used, minutes, resets, second="-1.0", has="false", balance="-1.0", reached="''": f"SELECT '/limits/' || i AS path, {limit} AS limit_id, {plan} AS plan_type, {observed} AS observed, round(({used})::DOUBLE, 6) AS used, ({minutes})::BIGINT AS minutes, ({resets})::BIGINT AS resets, ({second})::DOUBLE AS used_2, {has} AS has_credits, round(({balance})::DOUBLE, 6) AS balance, {reached} AS reached FROM o"
+    head = "WITH o AS (SELECT o_orderkey AS i, epoch(o_orderdate)::BIGINT AS seen, epoch(TIMESTAMP '2024-01-01' + to_days((o_orderkey % 9)::INT))::BIGINT AS told FROM orders)\n"
+    over("S43_status_limits", _limits("status", limit_states.claude_status_limits), head + shape("'claude-code'", "''", "seen", "i % 101", "300", "i * 1000", "CASE WHEN i % 3 <> 0 THEN i % 7 ELSE -1 END"))
+    over("S44_claude_limits", _limits("claude", limit_states.claude_subscription_limits), head + shape("'claude-code'", "''", "told", "least(i % 150, 100)", "300", "CASE WHEN i % 4 <> 0 THEN told ELSE -1 END") + " WHERE i % 150 > 0 OR i % 4 <> 0 UNION ALL " + shape("'seven_day_opus'", "''", "told", "i % 5", "10080", "-1") + " WHERE i % 5 > 0 UNION ALL "
+         + shape("'extra_usage'", "''", "told", "CASE WHEN i % 3 > 0 THEN least((i % 900)::DOUBLE / (i % 3 * 1000) * 100, 100) ELSE 0 END", "43200", "-1", has="i % 3 > 0", balance="CASE WHEN i % 3 > 0 THEN greatest(i % 3 * 1000 - i % 900, 0) / 100.0::DOUBLE ELSE -1 END") + " WHERE i % 2 = 0")
+    over("S45_codex_limits", _limits("codex", lambda files: limit_states.codex_subscription_limits(files, datetime(2024, 1, 31))), head + shape("'codex'", "'plus'", "seen", "least(i % 120, 100)", "CASE WHEN i % 3 > 0 THEN i % 3 * 60 ELSE 300 END", "CASE WHEN i % 2 = 0 THEN i * 1000 ELSE -1 END", reached="CASE WHEN i % 11 = 0 THEN 'limit_reached' ELSE '' END")
+         + " WHERE i % 120 > 0 OR i % 2 = 0 UNION ALL " + shape("'extra_usage'", "'plus'", "seen", "-1", "-1", "-1", has="i % 6 = 0", balance="CASE WHEN i % 4 = 0 THEN i % 10 ELSE -1 END", reached="CASE WHEN i % 9 = 0 THEN 'out_of_credits' ELSE '' END") + " WHERE i % 6 = 0 OR i % 4 = 0 OR i % 9 = 0")
+    over("S46_quota_limits", _limits("copilot", limit_states.copilot_quota_limits), head + shape("'premium_interactions' || CASE WHEN i % 5 = 0 THEN '@me' ELSE '' END", "CASE i % 3 WHEN 0 THEN 'copilot_pro' WHEN 1 THEN 'copilot_business' ELSE 'copilot_pro_plus' END", "seen", "100 - least((i % 400)::DOUBLE / 300 * 100, 100)", "43200", "epoch(TIMESTAMP '2024-02-01')", has="true", balance="i % 400", reached="CASE WHEN i % 400 = 0 THEN 'primary' ELSE '' END"))
     over("S13_tailed_calls", _tailed, f"""
 WITH c AS (SELECT *, coalesce(text, '') AS t, coalesce(role, '') = 'assistant' AS reply FROM conversations),
 p AS (SELECT *, last_value(CASE WHEN NOT reply AND trim(t) <> '' AND NOT starts_with(trim(t), '<command-') AND NOT starts_with(trim(t), '<local-command-') AND NOT starts_with(trim(t), '[Request interrupted by user') THEN t END IGNORE NULLS)

@@ -96,3 +96,21 @@ def cursor_stores(conversations: DataFrame) -> cursor_state.Stores:
     stored = gathered.where(i % 5 == 0).select(composer.alias("composer_id"), F.lit(0).alias("place"), F.lit("stored answer").alias("response_text"), F.array(F.lit("Read")).alias("tools"))
     spark = conversations.sparkSession
     return dataclasses.replace(cursor_state.empty(spark), composers=_as(composers, cursor_state.COMPOSERS), bubbles=_as(bubbles, cursor_state.BUBBLES), store_turns=_as(stored, cursor_state.TURNS))
+
+
+def _document(orders: DataFrame, value: Column) -> DataFrame:
+    return orders.select(F.concat(F.lit("/limits/"), "o_orderkey").alias("path"), F.to_json(value).alias("value"), F.col("o_orderdate").cast("timestamp").alias("modified"))
+
+
+def limit_documents(orders: DataFrame) -> dict[str, DataFrame]:
+    """(path, value, modified) for each order in the form of a status line, of two subscriptions and of quotas."""
+    i = F.col("o_orderkey")
+    s = lambda **fields: F.struct(*[c.alias(n) for n, c in fields.items()])
+    at = F.concat(F.lit("2024-01-0"), i % 9 + 1, F.lit("T00:00:00Z"))
+    status = s(rate_limits=s(five_hour=s(used_percentage=i % 101, resets_at=i * 1000), seven_day=F.when(i % 3 != 0, s(used_percentage=i % 7))))
+    claude = s(observed_at=at, usage=s(five_hour=s(utilization=i % 150, resets_at=F.when(i % 4 != 0, at)), seven_day_opus=s(utilization=i % 5)), overage=F.when(i % 2 == 0, s(monthly_limit=i % 3 * 1000, used_credits=i % 900)))
+    codex = s(plan_type=F.lit("plus"), rate_limit=s(primary_window=s(used_percent=i % 120, limit_window_seconds=i % 3 * 3600, reset_at=F.when(i % 2 == 0, i * 1000)), limit_reached=i % 11 == 0), credits=s(has_credits=i % 6 == 0, balance=F.when(i % 4 == 0, (i % 10).cast("string"))), spend_control=s(reached=i % 9 == 0))
+    sku = F.when(i % 3 == 0, "monthly_subscriber_quota").when(i % 3 == 1, "copilot_business_seat")
+    quotas = F.create_map(F.lit("premium_interactions"), s(entitlement=F.lit(300), remaining=i % 400, unlimited=F.lit(False)), F.lit("chat"), s(entitlement=F.lit(0), remaining=F.lit(0).cast("long"), unlimited=F.lit(True)))
+    copilot = s(login=F.when(i % 5 == 0, "me"), payload=s(access_type_sku=sku, copilot_plan=F.lit("individual_max"), quota_reset_date=F.lit("2024-02-01"), quota_snapshots=quotas))
+    return {name: _document(orders, value) for name, value in (("status", status), ("claude", claude), ("codex", codex), ("copilot", copilot))}
