@@ -27,6 +27,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,7 +37,7 @@ from .terms import LETTERS, terms_of
 
 MIN_DOCUMENTS, TOP_TERMS, SCALE = 3, 200, 1_000_000_000
 #: Counts held in a task before they are handed on.
-HELD = 200_000
+HELD = 400_000
 #: The histograms of one language meet its groups in so many parts.
 PARTS = 16
 
@@ -47,11 +48,18 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     docs: dict[tuple[str, str], Counter] = {}
 
     def flushed() -> pa.RecordBatch:
-        rows = [(lang, source, None, 0, 0) for lang, source in total]
-        rows += [(*group, term, n, docs[group][term]) for group, own in total.items() for term, n in own.items()]
-        lang, source, term, n, d = zip(*rows, strict=True)
-        terms = pa.array(term, pa.binary()).cast(pa.string())
-        return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(source, pa.string()), terms, pa.array(n, pa.int64()), pa.array(d, pa.int64())], ["lang", "source", "term", "n", "docs"])
+        terms, counts, in_docs, sizes = [], [], [], []
+        for group, own in total.items():
+            terms.append(None)
+            counts.append(0)
+            in_docs.append(0)
+            terms.extend(own)
+            counts.extend(own.values())
+            in_docs.extend(map(docs[group].__getitem__, own))
+            sizes.append(1 + len(own))
+        which = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+        lang, source = (pa.array([g[i] for g in total], pa.string()).take(which) for i in (0, 1))
+        return pa.RecordBatch.from_arrays([lang, source, pa.array(terms, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64()), pa.array(in_docs, pa.int64())], ["lang", "source", "term", "n", "docs"])
 
     for batch in batches:
         for lang, source, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
