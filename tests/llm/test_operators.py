@@ -277,7 +277,7 @@ def test_chat_texts_have_no_greatest_length(spark):
     message = F.struct(F.lit("assistant").alias("role"), F.expr("concat('<|im_end|>', repeat('x', 25000000))").alias("content"))
     out = chat_format.format_chats(spark.range(1).select(F.to_json(F.struct(F.array(message).alias("messages"))).alias("record")))
     row = out.select("problem", F.length("formatted").alias("n"), "loss_spans").first()
-    assert row.problem is None and [(s.start, s.end, s.turn) for s in row.loss_spans] == [(23, 25_000_034, 0)] and row.n == 25_000_045
+    assert row.problem is None and [(s.start, s.end, s.turn) for s in row.loss_spans] == [(22, 25_000_033, 0)] and row.n == 25_000_044
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 10, 2_500])
