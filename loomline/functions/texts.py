@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -44,46 +45,51 @@ def phrase_pattern(phrases: Iterable[str]) -> str:
     return "(^|[^a-z0-9'_])(" + "|".join(phrases) + ")([^a-z0-9'_]|$)"
 
 
-def has_phrase(text: Column, phrases: Iterable[str]) -> Column:
-    return F.lower(text).rlike(phrase_pattern(phrases))
+def has_phrase(lowered: Column, phrases: Iterable[str]) -> Column:
+    """What phrase_pattern finds in a lowered text.
 
+    A phrase is sought as plain bytes before a pattern judges its neighbours, and that pattern begins with the phrase: phrase_pattern tries every character.
+    """
+    found = lambda p: lowered.contains(p) & lowered.rlike(f"{p}(?<![a-z0-9'_]{p})(?![a-z0-9'_])")
+    return reduce(lambda a, b: a | b, map(found, phrases))
 
-def phrase_hits(text: Column, phrases: Iterable[str]) -> Column:
+
+def phrase_hits(lowered: Column, phrases: Iterable[str]) -> Column:
     """How many of the phrases occur."""
-    return sum((has_phrase(text, [p]).cast("long") for p in phrases), F.lit(0).cast("long"))
+    return sum((has_phrase(lowered, [p]).cast("long") for p in phrases), F.lit(0).cast("long"))
 
 
-def has_constraint(text: Column) -> Column:
-    """Over the first 500 characters."""
-    return has_phrase(F.left(text, F.lit(500)), CONSTRAINTS)
+def has_constraint(lowered: Column) -> Column:
+    """Over the first 500 characters, lowered."""
+    return has_phrase(lowered, CONSTRAINTS)
 
 
-def is_frustrated(text: Column) -> Column:
+def is_frustrated(text: Column, lowered: Column) -> Column:
     """X12."""
-    return text.contains("!!!") | text.contains("???") | has_phrase(text, FRUSTRATION)
+    return text.contains("!!!") | text.contains("???") | has_phrase(lowered, FRUSTRATION)
 
 
-def is_lookup(text: Column) -> Column:
+def is_lookup(lowered: Column) -> Column:
     """Opens like a question that looks something up."""
-    return F.lower(text).rlike(r"^\s*(" + "|".join(LOOKUPS) + ")")
+    return lowered.rlike(r"^\s*(" + "|".join(LOOKUPS) + ")")
 
 
-def has_refinement(text: Column) -> Column:
+def has_refinement(lowered: Column) -> Column:
     """X16."""
-    return has_phrase(text, REFINEMENTS)
+    return has_phrase(lowered, REFINEMENTS)
 
 
-def looks_like_spec(text: Column) -> Column:
+def looks_like_spec(text: Column, lowered: Column) -> Column:
     """A list, a heading, four lines or more, or words of a specification."""
     lines = F.regexp_count(F.regexp_replace(text, r"\n$", ""), F.lit(r"\n")) + 1
-    return text.rlike(SPEC_LINE) | (lines >= 4) | has_phrase(text, SPEC_WORDS)
+    return text.rlike(SPEC_LINE) | (lines >= 4) | has_phrase(lowered, SPEC_WORDS)
 
 
-def work_type(text: Column) -> Column:
-    """The first type with a phrase in the first 300 characters, else feature."""
-    head, out = F.left(text, F.lit(300)), None
+def work_type(lowered: Column) -> Column:
+    """The first type with a phrase in the first 300 characters, lowered, else feature."""
+    out = None
     for name, phrases in WORK_TYPES:
-        hit = has_phrase(head, phrases)
+        hit = has_phrase(lowered, phrases)
         out = F.when(hit, name) if out is None else out.when(hit, name)
     return out.otherwise("feature")
 

@@ -15,10 +15,13 @@ SIGNALS = ("constraint", "frustrated", "lookup", "refinement", "spec")
 def signals(docs: DataFrame, text: str = "text") -> DataFrame:
     """X11-X16 for each row of docs: flags, distinct fillers, share of words in capitals and the work type."""
     t = F.coalesce(F.col(text), F.lit(""))
+    # lowered once, as columns of their own: every phrase reads them
+    docs = docs.withColumns({"low": F.lower(t), "low_500": F.lower(F.left(t, F.lit(500))), "low_300": F.lower(F.left(t, F.lit(300)))})
+    low = F.col("low")
     return docs.withColumns({
-        "constraint": texts.has_constraint(t), "frustrated": texts.is_frustrated(t), "lookup": texts.is_lookup(t), "refinement": texts.has_refinement(t), "spec": texts.looks_like_spec(t),
-        "fillers": texts.phrase_hits(t, texts.FILLERS), "caps_words": F.round(texts.caps_word_ratio(t), 6), "work_type": texts.work_type(t),
-    })
+        "constraint": texts.has_constraint(F.col("low_500")), "frustrated": texts.is_frustrated(t, low), "lookup": texts.is_lookup(low), "refinement": texts.has_refinement(low), "spec": texts.looks_like_spec(t, low),
+        "fillers": texts.phrase_hits(low, texts.FILLERS), "caps_words": F.round(texts.caps_word_ratio(t), 6), "work_type": texts.work_type(F.col("low_300")),
+    }).drop("low", "low_500", "low_300")
 
 
 def _n(condition: Column | str) -> Column:

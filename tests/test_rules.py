@@ -2,6 +2,9 @@
 
 import datetime as dt
 
+from pyspark.sql import functions as F
+
+from loomline.functions.texts import has_phrase, phrase_pattern
 from loomline.operators import prompt_rules
 
 AT = dt.datetime(2026, 1, 1)
@@ -19,3 +22,15 @@ def test_signals_of_odd_texts(spark):
     got = [r for r in prompt_rules.signals(spark.createDataFrame(list(enumerate(texts)), "i int, text string")).orderBy("i").collect()]
     assert [r.frustrated for r in got][:4] == [False, False, True, True] and [r.spec for r in got][4:8] == [True, True, False, True]
     assert [r.constraint for r in got][6:8] == [False, True] and got[8].lookup and got[9].fillers == 3 and got[0].work_type == "feature" and got[2].caps_words == 1.0
+
+
+def test_phrases_are_sought_before_their_neighbours_are_judged(spark):
+    edges = ["", " ", "\n", "x", "'", "_", "7", "-", "é", "\U0001f600", "\r\n", "every "]
+    phrases = ("very", "ui", "come on", "doesn't work")
+    texts = spark.createDataFrame([(a + p + b,) for a in edges for b in edges for p in (*phrases, "come  on", "very very", "xvery very")], "text string")
+    whole = {p: F.col("text").rlike(phrase_pattern([p])) for p in phrases}
+    one = texts.select(*[(has_phrase(F.col("text"), [p]) == whole[p]).alias(p) for p in phrases], (has_phrase(F.col("text"), phrases) == F.col("text").rlike(phrase_pattern(phrases))).alias("any"))
+    assert one.distinct().collect() == [(True,) * 5]
+    # a pattern that opens with a class is tried at every character of every text, 24 times over
+    plan = prompt_rules.signals(texts)._jdf.queryExecution().optimizedPlan().toString()
+    assert "(^|[^a-z0-9'_])" not in plan and plan.lower().count("lower(") == 3
