@@ -7,6 +7,8 @@ from datetime import date, datetime
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .shared import written
+
 #: Fixed values: (tool or None for all, key, effective from or None, input, output, cache write, cache read), dollars for a million tokens.
 PRICES = (
     (None, "claude-opus-4", None, 15.0, 75.0, 18.75, 1.5),
@@ -48,7 +50,9 @@ def priced(calls: DataFrame, book: DataFrame) -> DataFrame:
 def output_rates(x: DataFrame, book: DataFrame, day: date) -> DataFrame:
     """x with output_rate, the price of a million output tokens of its tool's model on a day."""
     keys = x.select("tool", "canonical").distinct().withColumns({"timestamp": F.lit(day).cast("timestamp_ntz"), "output_tokens": F.lit(1_000_000)} | {c: F.lit(0) for c in ("input_tokens", "cache_write_tokens", "cache_read_tokens")})
-    return x.join(priced(keys, book).select("tool", "canonical", F.round("priced_cost", 6).alias("output_rate")), ["tool", "canonical"])
+    # written, so that its size is known: a plain join sorts all calls by the few models
+    rates = written(priced(keys, book).select("tool", "canonical", F.round("priced_cost", 6).alias("output_rate")), "rates")
+    return x.join(rates, ["tool", "canonical"])
 
 
 def as_of_prices(lines: DataFrame, parts: DataFrame, change: datetime) -> DataFrame:

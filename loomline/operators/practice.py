@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import caps_letter_ratio
+from ..functions.texts import WORK_TYPES
 from . import turns as plain_turns
 from .prompt_rules import signals
 from .shared import written
@@ -86,16 +87,18 @@ def practice_turns(x: DataFrame, period: Column | None = None) -> DataFrame:
     order = Window.partitionBy("skey").orderBy(F.col("timestamp").asc_nulls_first(), "seq")
     at, exact = F.struct("timestamp", "seq"), F.col("timestamp_quality") == "exact"
     same = F.lag("user_message").over(order).eqNullSafe(F.col("user_message")) & F.lag("prompt_chars").over(order).eqNullSafe(F.col("prompt_chars")) & F.lag("seq").over(order).isNotNull()
-    rows = x.withColumn("skey", key).withColumn("turn", F.sum((~same).cast("long")).over(order)).withColumn("opened", F.min(at).over(Window.partitionBy("skey")))
     loc = F.aggregate(F.transform("code_blocks", lambda b: b["loc"]), F.lit(0).cast("long"), lambda a, n: a + n)
+    size = lambda c: F.size(c).cast("long").alias(c)
+    # the sorts carry sizes and names, not files and blocks; the first of a sorted session is its least
+    plain = ("timestamp", "seq", "timestamp_quality", "tool", "project", "model", "canonical", "output_rate", "user_message", "prompt_chars", "elapsed_ms", "output_tokens", "input_tokens", "cache_read_tokens", "cache_write_tokens", "is_canceled")
+    rows = x.select(key.alias("skey"), *plain, loc.alias("loc"), size("edited_files"), size("referenced_files"), size("tools").alias("tool_calls"), F.struct("tools", F.transform("code_blocks", lambda b: b["language"]).alias("languages")).alias("names"))
+    rows = rows.withColumns({"new": (~same).cast("long"), "opened": F.first(at).over(order)}).withColumn("turn", F.sum("new").over(order))
     first = F.min_by(F.struct("tool", "project", "model", "canonical", "output_rate", F.col("user_message").alias("message"), F.col("prompt_chars").alias("chars")), at)
-    size = lambda c: F.sum(F.size(c)).cast("long")
     t = rows.groupBy("skey", "turn").agg(
         first.alias("f"), F.min("opened").alias("opened"), F.min(F.when(exact, F.col("timestamp"))).alias("start_at"), F.max(F.when(exact, F.col("timestamp"))).alias("end_at"), F.max(F.when(exact, F.col("elapsed_ms"))).alias("elapsed"),
-        F.sum("output_tokens").alias("output_tokens"), F.sum(F.col("input_tokens") + F.col("cache_read_tokens") + F.col("cache_write_tokens")).alias("full_prompt"), F.sum("cache_read_tokens").alias("cache_read"), F.sum(loc).alias("loc"),
-        F.array_distinct(F.flatten(F.collect_list(F.transform("code_blocks", lambda b: b["language"])))).alias("languages"), size("tools").alias("tool_calls"), F.array_distinct(F.flatten(F.collect_list("tools"))).alias("tool_names"),
-        size("edited_files").alias("edited"), size("referenced_files").alias("referenced"), F.max("is_canceled").alias("canceled"),
-    ).select("*", "f.*").drop("f")
+        F.sum("output_tokens").alias("output_tokens"), F.sum(F.col("input_tokens") + F.col("cache_read_tokens") + F.col("cache_write_tokens")).alias("full_prompt"), F.sum("cache_read_tokens").alias("cache_read"), F.sum("loc").alias("loc"),
+        F.collect_list("names").alias("names"), F.sum("tool_calls").alias("tool_calls"), F.sum("edited_files").alias("edited"), F.sum("referenced_files").alias("referenced"), F.max("is_canceled").alias("canceled"),
+    ).select("*", "f.*", F.array_distinct(F.flatten("names.languages")).alias("languages"), F.array_distinct(F.flatten("names.tools")).alias("tool_names")).drop("f", "names")
     w = Window.partitionBy("skey").orderBy("turn")
     gap = F.timestamp_diff("MILLISECOND", F.col("end_at"), F.lead("start_at").over(w)) - F.coalesce(F.lead("elapsed").over(w), F.lit(0))
     t = signals(t, "message").withColumnRenamed("constraint", "constrained")
@@ -113,36 +116,70 @@ def sessions(t: DataFrame) -> DataFrame:
     spoken = F.col("message") != ""
     later = (F.col("turn") > 1) & ((F.col("edited") > 0) | (spoken & F.col("refinement")))
     opening = F.min_by(F.when(spoken, F.struct("message", "spec")), F.when(spoken, F.col("turn")))
+    # work types are few and fixed, so a bit for each tells how many there are
+    bit = F.expr("shiftleft(1, " + "CASE work_type " + " ".join(f"WHEN '{n}' THEN {i}" for i, (n, _) in enumerate(WORK_TYPES, 1)) + " ELSE 0 END)")
     return t.groupBy("period", "skey").agg(
-        F.min("opened").alias("opened"), F.lit(0).cast("long").alias("turn"), F.count("*").alias("n_turns"), F.sum("loc").alias("loc"), F.count_distinct(F.when(spoken, F.col("work_type"))).alias("kinds"), F.max(later).alias("refined"),
+        F.min("opened").alias("opened"), F.lit(0).cast("long").alias("turn"), F.count("*").alias("n_turns"), F.sum("loc").alias("loc"), F.coalesce(F.bit_count(F.bit_or(F.when(spoken, bit))), F.lit(0)).cast("long").alias("kinds"), F.max(later).alias("refined"),
         F.min_by(F.struct("project", "conversational", "message"), "turn").alias("f"), opening.alias("o"), F.size(F.array_distinct(F.flatten(F.collect_list("tool_names")))).cast("long").alias("distinct_tools"),
     ).select("*", "f.project", "f.conversational", F.col("f.message").alias("first_message"), F.col("o.message").alias("opening"), F.col("o.spec").alias("opening_spec")).drop("f", "o")
 
 
-def _detected(rows: DataFrame, source: str) -> DataFrame:
-    """(period, rule, hit, value, more, text, detail, opened, turn) for each row that a rule of this source counts."""
+def _hour() -> Column:
+    """Whole hours up to the session's first call; a session without a time comes first."""
+    return F.coalesce(F.timestamp_diff("HOUR", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("opened.timestamp")), F.lit(-(1 << 62)))
+
+
+def _judged(r: Rule) -> tuple[Column, Column, Column]:
+    """Whether a row counts, whether it hits, and the text of its example."""
+    member = F.coalesce(F.expr(r.member), F.lit(False))
+    hit = member & F.coalesce(F.expr(r.hit), F.lit(False))
+    text = F.expr(r.text)
+    return member, hit, F.when(hit if r.blank else hit & (text != ""), text)
+
+
+def _counted(rows: DataFrame, source: str) -> DataFrame:
+    """(period, hour, rule) with the figures of each rule of this source: one aggregation over rows as they are, not over a row for each rule."""
     made = []
     for r in RULES:
         if r.source == source:
-            example = F.expr(f"CASE WHEN {r.hit} THEN {r.text} END")
-            shown = example if r.blank else F.when(example != "", example)
-            made.append(F.when(F.expr(r.member), F.struct(F.lit(r.name).alias("rule"), F.coalesce(F.expr(r.hit), F.lit(False)).alias("hit"), F.expr(r.value).cast("long").alias("value"), F.expr(r.more).cast("long").alias("more"), shown.alias("text"), F.expr(r.detail).alias("detail"))))
-    found = rows.select("period", "opened", "turn", F.explode(F.array_compact(F.array(*made))).alias("d"))
-    return found.select("period", "d.*", "opened", "turn")
+            member, hit, text = _judged(r)
+            occurrences, total = F.count_if(hit), F.count_if(member)
+
+            def figure(of, what: str, who: Column, many: Column) -> Column:
+                return F.when(many > 0, F.lit(0).cast("long")) if what == "0" else of(F.when(who, F.expr(what).cast("long")))  # noqa: B023
+
+            figures = {
+                "occurrences": occurrences, "total": total, "best": figure(F.max, r.value, member, total), "sum_value": figure(F.sum, r.value, hit, occurrences), "sum_more": figure(F.sum, r.more, hit, occurrences),
+                "sum_all": figure(F.sum, r.value, member, total), "shown": F.count_if(text.isNotNull()),
+            }
+            made.append(F.struct(F.lit(r.name).alias("rule"), *[c.alias(n) for n, c in figures.items()]))
+    sums = rows.groupBy("period", _hour().alias("hour")).agg(F.array(*made).alias("made"))
+    return written(sums.select("period", "hour", F.explode("made").alias("d")).select("period", "hour", "d.*").where("total > 0"), f"{source}-figures")
 
 
-def _summed(found: DataFrame) -> DataFrame:
-    hit = F.col("hit")
-    return found.groupBy("period", "rule").agg(
-        F.count_if(hit).alias("occurrences"), F.count("*").alias("total"), F.max("value").alias("best"), F.sum(F.when(hit, F.col("value"))).alias("sum_value"), F.sum(F.when(hit, F.col("more"))).alias("sum_more"), F.sum("value").alias("sum_all"),
-        F.lit(None).cast("string").alias("top_name"),
-    )
+def _summed(counted: DataFrame) -> DataFrame:
+    sums = [F.sum(c).alias(c) for c in ("sum_value", "sum_more", "sum_all")]
+    return counted.groupBy("period", "rule").agg(F.sum("occurrences").alias("occurrences"), F.sum("total").alias("total"), F.max("best").alias("best"), *sums, F.lit(None).cast("string").alias("top_name"))
+
+
+def _early_hits(rows: DataFrame, source: str, counted: DataFrame) -> DataFrame:
+    """(period, rule, text, detail, opened, turn) of hits with a text, up to the hour of a session's opening by which a rule has EXAMPLES of them."""
+    before = F.sum("shown").over(Window.partitionBy("period", "rule").orderBy("hour")) - F.col("shown")
+    last = counted.where("shown > 0").withColumn("before", before).where(F.col("before") < EXAMPLES).groupBy("period", "rule").agg(F.max("hour").alias("until"))
+    last = last.groupBy("period").agg(F.max("until").alias("last"), F.map_from_entries(F.collect_list(F.struct("rule", "until"))).alias("until"))
+    early = rows.withColumn("hour", _hour()).join(F.broadcast(last), "period").where(F.col("hour") <= F.col("last"))  # a row for each period
+    made = []
+    for r in RULES:
+        if r.source == source:
+            text = _judged(r)[2]
+            made.append(F.when(text.isNotNull() & (F.col("hour") <= F.col("until")[r.name]), F.struct(F.lit(r.name).alias("rule"), text.alias("text"), F.expr(r.detail).alias("detail"))))
+    return early.select("period", "opened", "turn", F.explode(F.array_compact(F.array(*made))).alias("d")).select("period", "d.*", "opened", "turn")
 
 
-def _first_examples(found: DataFrame, *order: Column) -> DataFrame:
-    """The first EXAMPLES rows with a text of each rule, as one text."""
+def _first_examples(hits: DataFrame, *order: Column) -> DataFrame:
+    """The first EXAMPLES of each rule, as one text."""
     place = F.row_number().over(Window.partitionBy("period", "rule").orderBy(*order))
-    kept = found.where("hit and text is not null").withColumn("place", place).where(F.col("place") <= EXAMPLES)
+    kept = hits.withColumn("place", place).where(F.col("place") <= EXAMPLES)
     line = F.concat(F.left(F.trim("text"), F.lit(EXAMPLE_CHARS)), F.lit(" | "), "detail")
     return kept.groupBy("period", "rule").agg(F.array_join(F.sort_array(F.collect_list(F.struct("place", line.alias("line"))))["line"], "\n").alias("examples"))
 
@@ -171,7 +208,7 @@ def outcomes(x: DataFrame, period: Column | None = None) -> DataFrame:
     """Every rule in every period that has calls, whether it fires or not."""
     t = written(practice_turns(x, period), "turns")
     s = written(sessions(t), "sessions")
-    by_turn, by_session = _detected(t, "turn"), _detected(s, "session")
+    by_turn, by_session = _counted(t, "turn"), _counted(s, "session")
     prompts = t.where("prompted").withColumn("key", F.trim(F.lower(F.left("message", F.lit(100)))))
     every = prompts.groupBy("period").agg(F.count("*").alias("total"))
     groups = prompts.where(F.length("key") >= 10).groupBy("period", "key").agg(F.count("*").alias("n"), F.min_by("message", F.struct("opened", "turn")).alias("text")).where("n >= 3")
@@ -180,17 +217,17 @@ def outcomes(x: DataFrame, period: Column | None = None) -> DataFrame:
     flow = plain_turns.session_flow(t.select("skey", "turn", F.col("start_at").alias("start"), F.col("end_at").alias("end"), F.col("elapsed").alias("elapsed_ms")))
     days = flow.groupBy(F.substring_index("skey", "|", 1).alias("period"), "day").agg(F.round(F.avg("score")).cast("long").alias("score"))
     days = days.select("*", F.lit(None).cast("struct<timestamp:timestamp_ntz,seq:bigint>").alias("opened"), F.lit(0).cast("long").alias("turn"))
-    chains = retry_chains(x, period).select("*", F.lit(None).cast("struct<timestamp:timestamp_ntz,seq:bigint>").alias("opened"), F.lit(0).cast("long").alias("turn"))
+    chains = written(retry_chains(x, period), "chains").select("*", F.lit(None).cast("struct<timestamp:timestamp_ntz,seq:bigint>").alias("opened"), F.lit(0).cast("long").alias("turn"))
     weeks = t.where("start_at is not null and size(languages) > 0").select("period", (F.extract(F.lit("YEAROFWEEK"), "start_at") * 53 + F.weekofyear("start_at")).cast("long").alias("week"), F.explode("languages").alias("language"))
     seen = weeks.where("language <> 'unknown'").groupBy("period", "language").agg(F.min("week").alias("week")).groupBy("period").agg(F.max("week").alias("newest"), F.count("*").alias("best"))
     active = weeks.groupBy("period").agg(F.max("week").alias("last"), F.count_distinct("week").alias("total"))
     languages = active.join(seen, "period").select("period", F.lit("no-language-exploration").alias("rule"), F.greatest(F.col("last") - F.col("newest"), F.lit(0)).cast("long").alias("occurrences"), "total", "best", zero.alias("sum_value"), zero.alias("sum_more"), zero.alias("sum_all"), F.lit(None).cast("string").alias("top_name"))
-    figures = _summed(by_turn).unionByName(_summed(by_session)).unionByName(_summed(_detected(days, "day"))).unionByName(_summed(_detected(chains, "chain"))).unionByName(repeated).unionByName(languages)
+    figures = _summed(by_turn).unionByName(_summed(by_session)).unionByName(_summed(_counted(days, "day"))).unionByName(_summed(_counted(chains, "chain"))).unionByName(repeated).unionByName(languages)
     figures = figures.unionByName(_shares(s, "tunnel-vision", "project", F.col("n_turns"))).unionByName(_shares(t.where("model <> ''"), "model-overreliance", "canonical", F.lit(1)))
     order = (F.col("opened").asc_nulls_first(), F.col("turn").asc())
-    files = chains.where("retries > 0").groupBy("period", F.col("file").alias("text")).agg(F.sum("retries").alias("n")).select("period", F.lit("retry-loops").alias("rule"), F.lit(True).alias("hit"), "text", F.concat("n", F.lit(" shell-verified re-edits")).alias("detail"), "n")
-    same = groups.select("period", F.lit("repeated-prompts").alias("rule"), F.lit(True).alias("hit"), "text", F.concat(F.lit("repeated "), "n", F.lit("x")).alias("detail"), "n", "key")
-    examples = _first_examples(by_turn, *order).unionByName(_first_examples(by_session, *order)).unionByName(_first_examples(files, F.desc("n"), F.asc("text"))).unionByName(_first_examples(same, F.desc("n"), F.asc("key")))
+    files = chains.where("retries > 0").groupBy("period", F.col("file").alias("text")).agg(F.sum("retries").alias("n")).select("period", F.lit("retry-loops").alias("rule"), "text", F.concat("n", F.lit(" shell-verified re-edits")).alias("detail"), "n")
+    same = groups.select("period", F.lit("repeated-prompts").alias("rule"), "text", F.concat(F.lit("repeated "), "n", F.lit("x")).alias("detail"), "n", "key")
+    examples = _first_examples(_early_hits(t, "turn", by_turn), *order).unionByName(_first_examples(_early_hits(s, "session", by_session), *order)).unionByName(_first_examples(files, F.desc("n"), F.asc("text"))).unionByName(_first_examples(same, F.desc("n"), F.asc("key")))
     rules = x.sparkSession.createDataFrame([(r.name, r.group, r.severity) for r in RULES], "rule string, group string, severity string")
     full = t.select("period").distinct().crossJoin(F.broadcast(rules)).join(figures, ["period", "rule"], "left").join(examples, ["period", "rule"], "left")  # 28 rules
     full = full.withColumns({"occurrences": F.coalesce("occurrences", F.lit(0)).cast("long"), "total": F.coalesce("total", F.lit(0)).cast("long")})

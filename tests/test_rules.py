@@ -5,7 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from loomline.functions.texts import has_phrase, phrase_pattern
-from loomline.operators import prompt_rules
+from loomline.operators import lookups, practice, prompt_rules
 
 AT = dt.datetime(2026, 1, 1)
 
@@ -34,3 +34,34 @@ def test_phrases_are_sought_before_their_neighbours_are_judged(spark):
     # a pattern that opens with a class is tried at every character of every text, 24 times over
     plan = prompt_rules.signals(texts)._jdf.queryExecution().optimizedPlan().toString()
     assert "(^|[^a-z0-9'_])" not in plan and plan.lower().count("lower(") == 3
+
+
+def test_examples_are_the_first_of_all_hours(spark, monkeypatch):
+    rules = (
+        practice.Rule("often", "g", "low", "turn", "true", "kept", "n % 2 = 0", "n", text="message", detail="concat(n, '')"),
+        practice.Rule("rare", "g", "low", "turn", "true", hit="n in (40, 95)", text="message"),
+        practice.Rule("never", "g", "low", "turn", "true", hit="n < 0", text="message"),
+        practice.Rule("empty", "g", "low", "turn", "true", hit="n < 30", text="''", blank=True),
+    )
+    monkeypatch.setattr(practice, "RULES", rules)
+    rows = [("p" if n % 3 else "q", (None if n >= 90 else AT - dt.timedelta(minutes=25 * n), n), n % 4, f"m{n}" if n % 5 else "", n, n % 7 > 0) for n in range(100)]
+    t = spark.createDataFrame(rows, "period string, opened struct<timestamp:timestamp_ntz,seq:long>, turn long, message string, n long, kept boolean").repartition(5)
+    counted = practice._counted(t, "turn")
+    figures = {(r.period, r.rule): (r.occurrences, r.total, r.best, r.sum_value, r.sum_all) for r in practice._summed(counted).collect()}
+    examples = {(r.period, r.rule): r.examples for r in practice._first_examples(practice._early_hits(t, "turn", counted), F.col("opened").asc_nulls_first(), F.col("turn").asc()).collect()}
+    for period in "pq":
+        of = sorted((r for r in rows if r[0] == period), key=lambda r: (r[1][0] or dt.datetime.min, r[1][1]))
+        kept = [r[4] for r in of if r[5]]
+        even = [n for n in kept if n % 2 == 0]
+        assert figures[period, "often"] == (len(even), len(kept), max(kept), sum(even), sum(kept)) and figures[period, "never"] == (0, len(of), 0, None, 0)
+        assert examples[period, "often"] == "\n".join(f"m{n} | {n}" for n in [n for n in even if n % 5][:3])
+        assert examples.get((period, "rare")) is None and (period, "never") not in examples and examples[period, "empty"] == "\n".join([" | "] * 3)
+    early = practice._early_hits(t, "turn", counted)
+    assert early.count() < t.where("kept and n % 2 = 0 and message <> ''").count()
+    assert "Generate" not in counted._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rates_of_few_models_do_not_sort_the_calls(spark):
+    calls = spark.range(10_000_000).select("id", F.concat(F.lit("t"), F.col("id") % 5).alias("tool"), F.lit("gpt-5").alias("canonical"))
+    plan = lookups.output_rates(calls, lookups.price_book(spark), AT.date())._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
