@@ -51,6 +51,14 @@ def as_limits(rows: DataFrame) -> DataFrame:
     return rows.select(*[(F.col(n) if n in rows.columns else F.lit(None)).cast(kind).alias(n) for n, kind in fields])
 
 
+def _each(rows: DataFrame, entries: Column | str, *columns: str) -> DataFrame:
+    """columns with a row for each entry; null and empty arrays give none.
+
+    The filter stands after the explosion: one before it, which a plain explode infers, would read every document again and make its entries several times.
+    """
+    return rows.select(*columns, F.explode_outer(entries).alias("x")).where(F.col("x").isNotNull()).select(*columns, "x.*")
+
+
 def _documents(files: DataFrame, payload: str, schema: str, more: str = "") -> DataFrame:
     """Documents that are what payload names themselves, or wrap it with the time of their observation."""
     wrapped = F.from_json("value", f"struct<observed_at:string,{more}{payload}:{schema}>")
@@ -88,7 +96,7 @@ def claude_subscription_limits(files: DataFrame) -> DataFrame:
     every = F.array(
         F.when(five.isNotNull() | seven.isNotNull(), row("claude-code", None, five, seven)), *[F.when(window(f"seven_day_{m}", WEEK).isNotNull(), row(f"seven_day_{m}", m.capitalize(), window(f"seven_day_{m}", WEEK))) for m in ("opus", "sonnet")], F.when(F.col("w.overage").isNotNull() & F.col("w.usage").isNotNull(), extra_row)
     )
-    return as_limits(rows.select("path", "observed_at", F.explode(F.array_compact(every)).alias("x")).select("path", "observed_at", "x.*").withColumn("tool", F.lit("claude-code")))
+    return as_limits(_each(rows, F.array_compact(every), "path", "observed_at").withColumn("tool", F.lit("claude-code")))
 
 
 def codex_subscription_limits(files: DataFrame, now: datetime) -> DataFrame:
@@ -114,14 +122,14 @@ def codex_subscription_limits(files: DataFrame, now: datetime) -> DataFrame:
         F.when(first.isNotNull() | second.isNotNull(), row("codex", None, first, second, none_c, F.when(F.col("u.rate_limit.limit_reached"), "limit_reached"))),
         F.when(F.col("u.credits").isNotNull() & (has | unlimited | balance.isNotNull() | out), row("extra_usage", "Extra Usage", none_w, none_w, _credits(has, unlimited, balance), F.when(out, "out_of_credits"))),
     )
-    return as_limits(rows.select("path", "observed_at", F.col("u.plan_type").alias("plan_type"), F.explode(F.array_compact(every)).alias("x")).select("path", "observed_at", "plan_type", "x.*").withColumn("tool", F.lit("codex")))
+    return as_limits(_each(rows.withColumn("plan_type", F.col("u.plan_type")), F.array_compact(every), "path", "observed_at", "plan_type").withColumn("tool", F.lit("codex")))
 
 
 def copilot_quota_limits(files: DataFrame) -> DataFrame:
     """A row for each quota by name; unlimited quotas without an entitlement are placeholders, and if there is nothing else and no reset, one row says that an organisation manages the seat."""
     quota = "struct<entitlement:double,percent_remaining:double,remaining:double,quota_remaining:double,unlimited:boolean,overage_permitted:boolean,timestamp_utc:string,token_based_billing:boolean>"
     usage = f"struct<copilot_plan:string,access_type_sku:string,quota_reset_date:string,quota_reset_date_utc:string,quota_snapshots:map<string,{quota}>,token_based_billing:string>"
-    rows = _documents(files, "payload", usage, "host:string,login:string,").where("u.quota_snapshots is not null")
+    rows = _documents(files, "payload", usage, "host:string,login:string,")  # without quotas there are no entries
     day = lambda c: F.coalesce(_zoned(c), F.when(c.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.try_to_timestamp(c)))
     billed = F.coalesce(F.col("u.token_based_billing").try_cast("boolean"), F.get_json_object("u.token_based_billing", "$.enabled").try_cast("boolean"))
     plan = F.coalesce(_named(PLANS_BY_SKU, F.coalesce("u.access_type_sku", F.lit(""))), _named(PLANS, F.coalesce("u.copilot_plan", F.lit(""))), F.col("u.copilot_plan"))
@@ -146,7 +154,7 @@ def copilot_quota_limits(files: DataFrame) -> DataFrame:
     shown = F.filter("all", lambda r: r["primary"].isNotNull())
     managed = F.struct(F.lit(False).alias("placeholder"), F.lit("org_managed_credits").alias("limit_id"), F.lit("Org-managed credits").alias("limit_name"), F.col("observed_at").alias("at"), _window(F.lit(0.0), MONTH, F.lit(None)).alias("primary"), _credits(F.lit(False), F.lit(True), F.lit(None)).alias("credits"), F.lit(None).cast("string").alias("reached"))
     rows = rows.withColumn("shown", F.when((F.size(shown) == 0) & F.exists("all", lambda r: r["placeholder"]) & F.col("resets_at").isNull(), F.array(managed)).otherwise(shown))
-    rows = rows.select("path", "host", "login", "plan_type", F.explode("shown").alias("x")).select("path", "host", "login", "plan_type", "x.*")
+    rows = _each(rows, "shown", "path", "host", "login", "plan_type")
     # accounts are told apart by their host and login
     account, label = F.concat_ws("/", "host", "login"), F.coalesce("login", "host")
     return as_limits(rows.withColumns({"limit_id": F.when(label.isNull(), F.col("limit_id")).otherwise(F.concat("limit_id", F.lit("@"), account)), "limit_name": F.when(label.isNull(), F.col("limit_name")).otherwise(F.concat("limit_name", F.lit(" · "), label)), "observed_at": F.col("at"), "tool": F.lit("copilot")}))

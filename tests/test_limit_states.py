@@ -84,3 +84,12 @@ def test_states_feed_the_limit_windows(spark, quotas):
     rows = quotas.selectExpr("tool", "limit_id", "0L AS seq", "cast(observed_at AS timestamp_ntz) AS observed_at", *[f"cast({w} AS struct<used_percent:double,minutes:bigint,resets_at:timestamp_ntz>) AS {w}" for w in ("primary", "secondary")])
     got = details.limit_windows(rows, datetime(2026, 6, 5)).where("limit_id like 'premium%me'").collect()
     assert [(r.kind, r.label, r.used, r.remaining, r.stale) for r in got] == [("primary", "monthly", 75, 25, False)]
+
+
+def test_no_filter_reads_documents_again(spark):
+    odd = files(spark, {"payload": {"quota_snapshots": {}}}, {}, "no json", None)
+    for read in (limits.claude_subscription_limits, lambda f: limits.codex_subscription_limits(f, NOW), limits.copilot_quota_limits):
+        found = read(odd)
+        lines = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        assert not [x for x in lines if "Filter" in x and ("from_json" in x or "array_compact" in x or "filter(" in x or "transform(" in x)]
+        assert found.count() == 0
