@@ -120,6 +120,8 @@ def snippet(text: Column, n: int) -> Column:
 
 def caps_word_ratio(text: Column, min_length: int = 3) -> Column:
     """X11: share of words without a small ASCII letter, and with a capital one, among the longer words of the first 2,000 characters."""
-    words = F.filter(F.split(F.left(text, F.lit(2000)), r"\s+"), lambda w: F.length(w) >= min_length)
-    loud = F.filter(words, lambda w: w.rlike("[A-Z]") & ~w.rlike("[a-z]"))
-    return F.coalesce(F.try_divide(F.size(loud), F.size(words)), F.lit(0.0))
+    head = F.left(text, F.lit(2000))
+    words = F.regexp_count(head, F.lit(rf"\S{{{min_length},}}"))
+    loud = F.regexp_count(head, F.lit(rf"(?<!\S)(?=\S*[A-Z])[^\sa-z]{{{min_length},}}(?!\S)"))
+    # counted only in a text that has a capital letter
+    return F.when(text.rlike("[A-Z]"), F.coalesce(F.try_divide(loud, words), F.lit(0.0))).otherwise(0.0)

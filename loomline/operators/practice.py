@@ -78,10 +78,22 @@ RULES = (
 )
 
 
-def practice_turns(x: DataFrame, period: Column | None = None) -> DataFrame:
+def effort(model: Column) -> Column:
+    """The last part of a model's name that is an effort."""
+    named = F.regexp_extract(F.lower(model), r"(?s)^(?:.*[-:])?(low|medium|high|xhigh|max)(?:[-:].*)?\z", 1)
+    return F.replace(F.nullif(named, F.lit("")), F.lit("xhigh"), F.lit("max"))
+
+
+def _judged_prompts(t: DataFrame) -> DataFrame:
+    """t with the signals of its message."""
+    capitals = F.when(F.col("message").rlike("[A-Z]"), caps_letter_ratio(F.col("message")))
+    return signals(t, "message").withColumnRenamed("constraint", "constrained").withColumn("caps", F.coalesce(capitals, F.lit(0.0)))
+
+
+def practice_turns(x: DataFrame, period: Column | None = None, once: bool = False) -> DataFrame:
     """Turns of sessions (split by period, a string) with their signals and the gap before the next turn.
 
-    x: enriched calls with user_message, edited_files, referenced_files and output_rate.
+    x: enriched calls with user_message, edited_files, referenced_files and output_rate; once: each text is judged once, then looked up.
     """
     key = F.concat_ws("|", F.lit("all") if period is None else period, F.coalesce("session_key", F.concat_ws(":", "tool", "project")))
     order = Window.partitionBy("skey").orderBy(F.col("timestamp").asc_nulls_first(), "seq")
@@ -101,12 +113,17 @@ def practice_turns(x: DataFrame, period: Column | None = None) -> DataFrame:
     ).select("*", "f.*", F.array_distinct(F.flatten("names.languages")).alias("languages"), F.array_distinct(F.flatten("names.tools")).alias("tool_names")).drop("f", "names")
     w = Window.partitionBy("skey").orderBy("turn")
     gap = F.timestamp_diff("MILLISECOND", F.col("end_at"), F.lead("start_at").over(w)) - F.coalesce(F.lead("elapsed").over(w), F.lit(0))
-    t = signals(t, "message").withColumnRenamed("constraint", "constrained")
-    effort = F.element_at(F.filter(F.split(F.lower("model"), "[-:]"), lambda p: p.isin("low", "medium", "high", "xhigh", "max")), -1)
+    t = t.withColumn("gap", gap)
+    if once:
+        # a prompt stands in all calls of its turn, and many are said again; written, so that few texts are known to be few
+        said = written(_judged_prompts(x.select(F.col("user_message").alias("message")).distinct()), "prompts").withColumnRenamed("message", "said")
+        t = t.join(said, t["message"].eqNullSafe(said["said"]), "left").drop("said")
+    else:
+        t = _judged_prompts(t)
     has = lambda tools: F.col("tool").isin(*tools)
     return t.withColumns({
-        "period": F.substring_index("skey", "|", 1), "gap": gap, "prompted": (F.coalesce("chars", F.lit(0)) > 0) & (F.col("message") != ""), "caps": F.coalesce(caps_letter_ratio(F.col("message")), F.lit(0.0)),
-        "start_hour": F.hour("start_at"), "on_weekend": F.weekday("start_at") >= 5, "effort": F.when(F.size(F.filter(F.split(F.lower("model"), "[-:]"), lambda p: p.isin("low", "medium", "high", "xhigh", "max"))) > 0, F.replace(effort, F.lit("xhigh"), F.lit("max"))),
+        "period": F.substring_index("skey", "|", 1), "prompted": (F.coalesce("chars", F.lit(0)) > 0) & (F.col("message") != ""),
+        "start_hour": F.hour("start_at"), "on_weekend": F.weekday("start_at") >= 5, "effort": effort(F.col("model")),
         "premium": F.col("output_rate") >= PREMIUM_RATE, "has_cancel": has(CANCELS), "has_file_refs": has(FILE_REFS), "has_cache_reads": has(CACHE_READS), "conversational": has(CONVERSATIONS),
     })
 
@@ -204,9 +221,9 @@ def retry_chains(x: DataFrame, period: Column | None = None) -> DataFrame:
     return edits.withColumn("again", again).groupBy(F.substring_index("skey", "|", 1).alias("period"), "skey", "file").agg(F.count("*").alias("edits"), F.count_if("again").alias("retries"))
 
 
-def outcomes(x: DataFrame, period: Column | None = None) -> DataFrame:
-    """Every rule in every period that has calls, whether it fires or not."""
-    t = written(practice_turns(x, period), "turns")
+def outcomes(x: DataFrame, period: Column | None = None, examples: bool = True) -> DataFrame:
+    """Every rule in every period that has calls, whether it fires or not; findings and scores ask for no examples."""
+    t = written(practice_turns(x, period, once=True), "turns")
     s = written(sessions(t), "sessions")
     by_turn, by_session = _counted(t, "turn"), _counted(s, "session")
     prompts = t.where("prompted").withColumn("key", F.trim(F.lower(F.left("message", F.lit(100)))))
@@ -224,12 +241,14 @@ def outcomes(x: DataFrame, period: Column | None = None) -> DataFrame:
     languages = active.join(seen, "period").select("period", F.lit("no-language-exploration").alias("rule"), F.greatest(F.col("last") - F.col("newest"), F.lit(0)).cast("long").alias("occurrences"), "total", "best", zero.alias("sum_value"), zero.alias("sum_more"), zero.alias("sum_all"), F.lit(None).cast("string").alias("top_name"))
     figures = _summed(by_turn).unionByName(_summed(by_session)).unionByName(_summed(_counted(days, "day"))).unionByName(_summed(_counted(chains, "chain"))).unionByName(repeated).unionByName(languages)
     figures = figures.unionByName(_shares(s, "tunnel-vision", "project", F.col("n_turns"))).unionByName(_shares(t.where("model <> ''"), "model-overreliance", "canonical", F.lit(1)))
-    order = (F.col("opened").asc_nulls_first(), F.col("turn").asc())
-    files = chains.where("retries > 0").groupBy("period", F.col("file").alias("text")).agg(F.sum("retries").alias("n")).select("period", F.lit("retry-loops").alias("rule"), "text", F.concat("n", F.lit(" shell-verified re-edits")).alias("detail"), "n")
-    same = groups.select("period", F.lit("repeated-prompts").alias("rule"), "text", F.concat(F.lit("repeated "), "n", F.lit("x")).alias("detail"), "n", "key")
-    examples = _first_examples(_early_hits(t, "turn", by_turn), *order).unionByName(_first_examples(_early_hits(s, "session", by_session), *order)).unionByName(_first_examples(files, F.desc("n"), F.asc("text"))).unionByName(_first_examples(same, F.desc("n"), F.asc("key")))
     rules = x.sparkSession.createDataFrame([(r.name, r.group, r.severity) for r in RULES], "rule string, group string, severity string")
-    full = t.select("period").distinct().crossJoin(F.broadcast(rules)).join(figures, ["period", "rule"], "left").join(examples, ["period", "rule"], "left")  # 28 rules
+    full = t.select("period").distinct().crossJoin(F.broadcast(rules)).join(figures, ["period", "rule"], "left")  # 28 rules
+    if examples:
+        order = (F.col("opened").asc_nulls_first(), F.col("turn").asc())
+        files = chains.where("retries > 0").groupBy("period", F.col("file").alias("text")).agg(F.sum("retries").alias("n")).select("period", F.lit("retry-loops").alias("rule"), "text", F.concat("n", F.lit(" shell-verified re-edits")).alias("detail"), "n")
+        same = groups.select("period", F.lit("repeated-prompts").alias("rule"), "text", F.concat(F.lit("repeated "), "n", F.lit("x")).alias("detail"), "n", "key")
+        shown = _first_examples(_early_hits(t, "turn", by_turn), *order).unionByName(_first_examples(_early_hits(s, "session", by_session), *order)).unionByName(_first_examples(files, F.desc("n"), F.asc("text"))).unionByName(_first_examples(same, F.desc("n"), F.asc("key")))
+        full = full.join(shown, ["period", "rule"], "left")
     full = full.withColumns({"occurrences": F.coalesce("occurrences", F.lit(0)).cast("long"), "total": F.coalesce("total", F.lit(0)).cast("long")})
 
     def of_rule(pick) -> Column:
@@ -242,8 +261,8 @@ def outcomes(x: DataFrame, period: Column | None = None) -> DataFrame:
     full = full.withColumn("fires", fires).withColumn("escalate", F.col("fires") & F.coalesce(of_rule(lambda r: r.escalate), F.lit(False)))
     pct = F.round(of_rule(lambda r: f"CAST({r.pct} AS DOUBLE)") * 100).cast("long")
     effective = F.when(F.col("escalate"), "high").otherwise(F.col("severity"))
-    shown = lambda c: F.when(F.col("fires"), c)
-    return full.select("period", "rule", "group", "severity", effective.alias("effective"), "fires", "occurrences", "total", shown(pct).alias("pct"), shown(of_rule(lambda r: f"CAST({r.stat} AS STRING)")).alias("stat"), "escalate", shown(F.col("examples")).alias("examples"))
+    fired = lambda c: F.when(F.col("fires"), c)
+    return full.select("period", "rule", "group", "severity", effective.alias("effective"), "fires", "occurrences", "total", fired(pct).alias("pct"), fired(of_rule(lambda r: f"CAST({r.stat} AS STRING)")).alias("stat"), "escalate", *([fired(F.col("examples")).alias("examples")] if examples else []))
 
 
 def _penalty(severity: str = "effective") -> Column:

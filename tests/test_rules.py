@@ -4,8 +4,9 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from loomline.functions.texts import has_phrase, phrase_pattern
+from loomline.functions.texts import caps_word_ratio, has_phrase, phrase_pattern
 from loomline.operators import lookups, practice, prompt_rules
+from loomline.plans import catalog
 
 AT = dt.datetime(2026, 1, 1)
 
@@ -65,3 +66,51 @@ def test_rates_of_few_models_do_not_sort_the_calls(spark):
     calls = spark.range(10_000_000).select("id", F.concat(F.lit("t"), F.col("id") % 5).alias("tool"), F.lit("gpt-5").alias("canonical"))
     plan = lookups.output_rates(calls, lookups.price_book(spark), AT.date())._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_capitals_are_read_without_splitting(spark):
+    odd = ["", " ", "abc", "ABC", "ABC def", "A BC DEF", "AB1 12345 ÀÉÎ", "x" * 1999 + " ABC", "x" * 1996 + " ABCD", "WTF\nIS\tTHIS\x0bBUG\x0cNOW\rOK?", " FIX  This ", "\U0001f600\U0001f600A b", "AB\u00a0CD EFG", "ABc DEF ---", "- a", "a\n  2) b", "a\n\n\nb", "a\n\n\n", "a\r\n# b", "\t* b", "a - b"]
+    rows = spark.createDataFrame([(t,) for t in odd], "text string").repartition(1)
+    t = F.col("text")
+    words = F.filter(F.split(F.left(t, F.lit(2000)), r"\s+"), lambda w: F.length(w) >= 3)
+    loud = F.filter(words, lambda w: w.rlike("[A-Z]") & ~w.rlike("[a-z]"))
+    got = rows.select("text", caps_word_ratio(t).alias("caps"), F.coalesce(F.try_divide(F.size(loud), F.size(words)), F.lit(0.0)).alias("by_words")).collect()
+    assert [(r.text, r.caps) for r in got] == [(r.text, r.by_words) for r in got] and len({r.caps for r in got}) == 4
+    plan = prompt_rules.signals(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan and "lambdafunction" not in plan
+
+
+def test_the_effort_is_the_last_part_that_names_one(spark):
+    models = {None: None, "": None, "high": "high", "gpt-5-high": "high", "a:XHIGH": "max", "max-low-x": "low", "low\n-b": None, "a\nb-max": "max", "highest-x": None, "a--medium-": "medium", "max\n": None}
+    rows = spark.createDataFrame([(m,) for m in models], "model string")
+    assert {r.model: r.effort for r in rows.select("model", practice.effort(F.col("model")).alias("effort")).collect()} == models
+
+
+def test_each_prompt_is_judged_once(spark, monkeypatch):
+    judged, plain = [], practice.signals
+
+    def counting(docs, text):
+        judged.append(sorted(map(str, (r[0] for r in docs.select(text).collect()))))
+        return plain(docs, text)
+
+    kinds = "session_key string, timestamp timestamp_ntz, seq long, timestamp_quality string, tool string, project string, model string, canonical string, output_rate double, user_message string, prompt_chars long, elapsed_ms long, output_tokens long, input_tokens long, cache_read_tokens long, cache_write_tokens long, is_canceled boolean, code_blocks array<struct<language:string,loc:bigint>>, edited_files array<string>, referenced_files array<string>, tools array<string>"
+    said = ["FIX the bug!!!", None, "continue", "", "continue", "FIX the bug!!!", None, "you must not"]
+    x = spark.createDataFrame([(f"s{i % 2}", AT + dt.timedelta(minutes=i), i, "exact", "codex", "p", "gpt-5-high", "gpt-5", 1.0, m, None if m is None else len(m), 5, 1, 1, 1, 1, False, [], [], [], ["Read"]) for i, m in enumerate(said)], kinds)
+    each = practice.practice_turns(x)
+    monkeypatch.setattr(practice, "signals", counting)
+    once = practice.practice_turns(x, once=True)
+    assert judged == [["", "FIX the bug!!!", "None", "continue", "you must not"]]
+    assert sorted(map(str, once.select(sorted(once.columns)).collect())) == sorted(map(str, each.select(sorted(each.columns)).collect())) and once.count() == 7
+
+
+def _without_examples(spark, monkeypatch, name):
+    def never(*_):
+        raise AssertionError("examples are made")
+
+    monkeypatch.setattr(practice, "_first_examples", never)
+    monkeypatch.setattr(practice, "_early_hits", never)
+    return catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
+
+
+def test_findings_make_no_examples(spark, monkeypatch):
+    assert "examples" not in _without_examples(spark, monkeypatch, "R31_findings").columns
