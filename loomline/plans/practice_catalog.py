@@ -103,8 +103,8 @@ def register(over_calls, signals_sql, now) -> None:
     over_calls("R01_rule_outcomes", lambda x: practice.outcomes(practice_view(x, now)), whole + f"SELECT {columns} FROM outcome")
     over_calls("R31_findings", lambda x: practice.findings(plain(x)), whole + """
 SELECT period, rule, effective, occurrences, row_number() OVER (PARTITION BY period ORDER BY penalty DESC, occurrences DESC, rule)::BIGINT AS place FROM outcome WHERE fires""")
-    over_calls("C15_group_scores", lambda x: practice.group_scores(practice.outcomes(practice_view(x, now))), whole + "SELECT * FROM gscore")
-    over_calls("C16_composite", lambda x: practice.composite(practice.group_scores(practice.outcomes(practice_view(x, now)))), whole + """
+    over_calls("C15_group_scores", lambda x: practice.group_scores(plain(x)), whole + "SELECT * FROM gscore")
+    over_calls("C16_composite", lambda x: practice.composite(practice.group_scores(plain(x))), whole + """
 SELECT period, score, CASE WHEN score >= 97 THEN 'a_plus' WHEN score >= 90 THEN 'a' WHEN score >= 85 THEN 'b_plus' WHEN score >= 80 THEN 'b' WHEN score >= 70 THEN 'c' WHEN score >= 60 THEN 'd' ELSE 'f' END AS grade
 FROM (SELECT period, round(sum(score * total_rules) / sum(total_rules))::BIGINT AS score FROM gscore GROUP BY period)""")
     over_calls("C14_weekly_groups", lambda x: practice.group_scores(by_week(x)), weekly + "SELECT * FROM gscore")

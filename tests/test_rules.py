@@ -114,3 +114,7 @@ def _without_examples(spark, monkeypatch, name):
 
 def test_findings_make_no_examples(spark, monkeypatch):
     assert "examples" not in _without_examples(spark, monkeypatch, "R31_findings").columns
+
+
+def test_group_scores_make_no_examples(spark, monkeypatch):
+    assert "score" in _without_examples(spark, monkeypatch, "C15_group_scores").columns
