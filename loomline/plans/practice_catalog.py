@@ -98,7 +98,7 @@ def register(over_calls, signals_sql, now) -> None:
     """The queries; over_calls(name, build, sql) files one over the enriched calls."""
     whole, weekly = turns_sql(signals_sql("message"), "'all'", now) + outcomes_sql(), turns_sql(signals_sql("message"), "(isoyear(timestamp) * 53 + week(timestamp))", now).replace("FROM pc JOIN rate USING (tool, canonical))", "FROM pc JOIN rate USING (tool, canonical) WHERE timestamp_quality = 'exact')") + outcomes_sql()
     columns = 'period, rule, "group", severity, effective, fires, occurrences, total, pct, stat, escalate, examples'
-    by_week = lambda x: practice.outcomes(practice_view(x, now).where("timestamp_quality = 'exact' and timestamp is not null"), practice.week_of(F.col("timestamp")))
+    by_week = lambda x: practice.outcomes(practice_view(x, now).where("timestamp_quality = 'exact' and timestamp is not null"), practice.week_of(F.col("timestamp")), examples=False)
     plain = lambda x: practice.outcomes(practice_view(x, now), examples=False)
     over_calls("R01_rule_outcomes", lambda x: practice.outcomes(practice_view(x, now)), whole + f"SELECT {columns} FROM outcome")
     over_calls("R31_findings", lambda x: practice.findings(plain(x)), whole + """

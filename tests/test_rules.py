@@ -118,3 +118,7 @@ def test_findings_make_no_examples(spark, monkeypatch):
 
 def test_group_scores_make_no_examples(spark, monkeypatch):
     assert "score" in _without_examples(spark, monkeypatch, "C15_group_scores").columns
+
+
+def test_trends_make_no_examples(spark, monkeypatch):
+    assert "trend" in _without_examples(spark, monkeypatch, "C15_trends").columns
